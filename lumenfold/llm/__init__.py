@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lumenfold.llm import bpe, packing
+from lumenfold.llm import bpe, langid, packing, quality, secrets, sharding, urls
 
 QUERIES: dict[str, Callable] = {
+    "op1_kneser_ney_langid": langid.op1_kneser_ney_langid,
+    "op2_weak_supervision": quality.op2_weak_supervision,
+    "op3_link_trust": urls.op3_link_trust,
     "op5_harmonic_packing": packing.op5_harmonic_packing,
+    "op8_virtual_slots": sharding.op8_virtual_slots,
+    "op9_randomness_battery": secrets.op9_randomness_battery,
     "op10_tree_bpe": bpe.op10_tree_bpe,
 }
 
