@@ -1,9 +1,9 @@
 """Quality rules as weak supervision.
 
-Each rule looks at one property of a text and votes bad, good or abstains. How often every rule gives each vote
-to good and to bad documents is not known; expectation-maximisation estimates it from how the votes agree over the
-whole corpus, and a document is judged by its posterior probability of being good instead of having to pass all
-rules. Votes make at most 3^rules patterns, so the corpus is summarised by one count per pattern and the fitting is
+Each rule looks at one property of a text and votes or abstains: some know a defect and vote bad, others a trait of
+prose and vote good. How often a rule is right is not known; expectation-maximisation estimates it from how the
+votes agree over the whole corpus, and a document is judged by its posterior probability of being good instead of
+having to pass all rules. Votes make at most 2^rules patterns, so the corpus is summarised by one count per pattern and the fitting is
 independent of its size.
 
 Cases: a null text has no words and fails the base rules, as an empty one; texts of any length are read whole, in
@@ -28,25 +28,33 @@ SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 5
 KEEP_FROM = 0.5
 
-#: (name, bad if, good if) over the measures of a text; neither: the rule abstains.
-RULES = [
-    ("length", lambda m: m["n_words"] < 10, lambda m: m["n_words"] >= 50),
-    ("symbols", lambda m: m["n_symbols"] > 0.3 * m["n_words"], lambda m: m["n_symbols"] == 0),
-    ("repeats", lambda m: m["n_repeat_words"] > 0.2 * m["n_words"], lambda m: m["n_repeat_words"] == 0),
-    ("lines", lambda m: m["n_dup_lines"] > 0.3 * m["n_lines"], lambda m: m["n_dup_lines"] == 0),
-    ("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 20 * m["n_words"]),
-     lambda m: (m["word_chars"] > 3 * m["n_words"]) & (m["word_chars"] < 12 * m["n_words"])),
-    ("capitals", lambda m: m["n_upper"] > 0.5 * m["n_letters"], lambda m: m["n_upper"] < 0.2 * m["n_letters"]),
-    ("letters", lambda m: m["n_letters"] < 0.6 * m["word_chars"], lambda m: m["n_letters"] > 0.85 * m["word_chars"]),
-    ("variety", lambda m: (m["n_words"] >= 50) & (m["n_distinct"] < 0.1 * m["n_words"]), lambda m: m["n_distinct"] > 0.3 * m["n_words"]),
+#: Rules that vote bad, or abstain: each knows one defect.
+DEFECTS = [
+    ("short", lambda m: m["n_words"] < 10),
+    ("symbols", lambda m: m["n_symbols"] > 0.1 * m["n_words"]),
+    ("repeats", lambda m: m["n_repeat_words"] > 0.2 * m["n_words"]),
+    ("lines", lambda m: m["n_dup_lines"] > 0.3 * m["n_lines"]),
+    ("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 20 * m["n_words"])),
+    ("capitals", lambda m: m["n_upper"] > 0.5 * m["n_letters"]),
+    ("letters", lambda m: m["n_letters"] < 0.6 * m["word_chars"]),
+    ("variety", lambda m: m["n_distinct"] <= np.where(m["n_words"] < 50, 0.5, 0.1) * m["n_words"]),
+]
+#: Rules that vote good, or abstain: each knows one trait of running prose.
+TRAITS = [
+    ("plain", lambda m: (m["n_words"] >= 20) & (m["n_symbols"] == 0) & (m["n_letters"] > 0.85 * m["word_chars"])),
+    ("sentences", lambda m: (m["n_symbols"] < 0.02 * m["n_words"]) & (m["n_upper"] > 0) & (m["n_upper"] < 0.2 * m["n_letters"])
+     & (m["word_chars"] > 3 * m["n_words"]) & (m["word_chars"] < 12 * m["n_words"])),
+    ("fresh", lambda m: (m["n_words"] >= 20) & (m["n_symbols"] < 0.02 * m["n_words"]) & (m["n_repeat_words"] == 0) & (m["n_dup_lines"] == 0)
+     & (m["n_distinct"] > 0.2 * m["n_words"])),
 ]
+RULES = [name for name, _ in DEFECTS + TRAITS]
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_distinct")
-GOOD, BAD, ABSTAIN = 0, 1, 2
-
-#: Prior counts, as votes on 100 documents of each class (good, bad, abstain), that hold the two classes apart.
-PRIOR = {GOOD: (60.0, 1.0, 39.0), BAD: (35.0, 30.0, 35.0)}
-PRIOR_GOOD = 0.8
-ROUNDS = 100
+#: Each rule's accuracy is believed to be this before any vote is seen, as firmly as after so many votes.
+PRIOR_ACCURACY, PRIOR_VOTES = 0.9, 100
+LEAST_ACCURACY = 0.55
+#: The share of good documents before any vote. One-sided rules do not tell it, so it is not estimated.
+BALANCE = 0.5
+ROUNDS = 50
 
 
 @lru_cache(1)
@@ -102,33 +110,31 @@ def measure(texts: list[str]) -> dict[str, np.ndarray]:
 
 
 def votes(m: dict[str, np.ndarray]) -> np.ndarray:
-    """The votes of all rules on each text as one number, a ternary digit per rule."""
+    """Which rules vote on each text, as one number with a bit per rule; the others abstain."""
     code = np.zeros(len(m["n_words"]), dtype=np.int64)
-    for _, bad, good in RULES:
-        code = 3 * code + np.where(bad(m), BAD, np.where(good(m), GOOD, ABSTAIN))
+    for _, applies in DEFECTS + TRAITS:
+        code = 2 * code + applies(m)
     return code
 
 
-def digits(codes: np.ndarray) -> np.ndarray:
-    return np.stack([codes // 3**i % 3 for i in reversed(range(len(RULES)))], axis=1)
-
-
 def fit_votes(counts: dict[int, int]) -> dict[int, float]:
-    """Posterior probability of a good document for each pattern of votes, by expectation-maximisation."""
+    """Posterior probability of a good document for each pattern of votes, by expectation-maximisation.
+
+    A rule that votes is right with its accuracy, which the rounds estimate; a rule that abstains says nothing.
+    """
     if not counts:
         return {}
     codes = np.array(sorted(counts))
     n = np.array([counts[c] for c in codes], dtype=float)
-    seen = digits(codes)[:, :, None] == np.arange(3)  # pattern, rule, vote
-    chance = np.array([np.tile(np.array(PRIOR[y]) / 100, (len(RULES), 1)) for y in (GOOD, BAD)])
-    good = PRIOR_GOOD
+    cast = (codes[:, None] >> np.arange(len(RULES))[::-1]) & 1  # pattern, rule
+    for_good = np.arange(len(RULES)) >= len(DEFECTS)
+    accuracy = np.full(len(RULES), PRIOR_ACCURACY)
     for _ in range(ROUNDS):
-        like = np.einsum("prv,yrv->py", seen, np.log(chance)) + np.log([good, 1 - good])
-        posterior = 1 / (1 + np.exp(np.clip(like[:, 1] - like[:, 0], -500, 500)))
-        for y, share in ((GOOD, posterior), (BAD, 1 - posterior)):
-            total = np.einsum("p,prv->rv", n * share, seen) + np.array(PRIOR[y])
-            chance[y] = total / total.sum(axis=1, keepdims=True)
-        good = (np.dot(n, posterior) + 100 * PRIOR_GOOD) / (n.sum() + 100)
+        weight = np.log(accuracy / (1 - accuracy)) * np.where(for_good, 1, -1)
+        posterior = 1 / (1 + np.exp(-(cast @ weight) - np.log(BALANCE / (1 - BALANCE))))
+        right = np.where(for_good, posterior[:, None], 1 - posterior[:, None])
+        accuracy = ((n[:, None] * cast * right).sum(0) + PRIOR_ACCURACY * PRIOR_VOTES) / ((n[:, None] * cast).sum(0) + PRIOR_VOTES)
+        accuracy = np.clip(accuracy, LEAST_ACCURACY, 0.999)
     return {int(c): float(p) for c, p in zip(codes, posterior)}
 
 
@@ -159,7 +165,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def fit(table: DataFrame) -> dict[int, float]:
-    """Posteriors from the ``votes`` of all documents; at most 3^rules rows reach the driver."""
+    """Posteriors from the ``votes`` of all documents; at most 2^rules rows reach the driver."""
     return fit_votes({r["votes"]: r["n"] for r in table.groupBy("votes").agg(F.count("*").alias("n")).collect()})
 
 
@@ -184,7 +190,7 @@ def op2_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = common.settle(measured(common.read_table(spark, sf_dir, "documents")), "quality")
     posterior = spark.createDataFrame(list(fit(table).items()) or [(0, 0.0)], "votes bigint, quality double")
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    return table.join(F.broadcast(posterior), "votes", "left").select(  # at most 3^rules rows
+    return table.join(F.broadcast(posterior), "votes", "left").select(  # at most 2^rules rows
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
         (~failed & (F.col("quality") >= KEEP_FROM)).alias("kept"),

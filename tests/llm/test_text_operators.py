@@ -85,7 +85,8 @@ def base_of(text):
 
 
 def test_base_measures_and_posterior(spark):
-    rnd, docs = random.Random(2), [r[:2] for r in corpus(300)]
+    rnd = random.Random(2)
+    docs = [(d, " ".join(w + "".join(rnd.choices(string.ascii_lowercase, k=2)) for w in t.split())) for d, t, *_ in corpus(300)]
     docs += [(1000 + i, " ".join(f"{w}{rnd.choice(['###', '$$$', '&&&'])}" for w in t.split()) + "\n" + "A B\n\nA B\n \n") for i, t in docs[:40]]
     docs += [(2000, None), (2001, ""), (2002, "word " * 5000), (2003, "a\xa0b c\x85d e\x1cf"), (2004, "x y\n" * 30), (None, "no id"), (2001, "")]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
@@ -103,12 +104,17 @@ def test_base_measures_and_posterior(spark):
 
 def test_em_recovers_accuracies():
     rng = np.random.default_rng(3)
-    good = rng.random(20_000) < 0.8
-    caught = rng.random((20_000, len(quality.RULES))) < 0.35
-    votes = np.where(good[:, None], np.where(rng.random(caught.shape) < 0.7, 0, 2), np.where(caught, 1, np.where(rng.random(caught.shape) < 0.5, 0, 2)))
-    codes = votes @ 3 ** np.arange(len(quality.RULES))[::-1]
+    n, rules = 20_000, len(quality.RULES)
+    good = rng.random(n) < 0.8
+    right = rng.uniform(0.9, 0.98, rules)
+    for_good = np.arange(rules) >= len(quality.DEFECTS)
+    # a rule votes on most documents it should vote on, and on others as its accuracy has it
+    share = np.where(for_good, good.mean(), 1 - good.mean())
+    wrong = 0.6 * share * (1 - right) / right / (1 - share)
+    cast = rng.random((n, rules)) < np.where(good[:, None] == for_good, 0.6, wrong)
+    codes = cast @ 2 ** np.arange(rules)[::-1]
     found = quality.fit_votes(dict(Counter(codes.tolist())))
-    assert np.mean((np.array([found[c] for c in codes]) >= 0.5) == good) > 0.95
+    assert np.mean((np.array([found[c] for c in codes]) >= 0.5) == good) > 0.93
 
 
 def test_bytes_law_and_places(spark):
