@@ -140,6 +140,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF) -> Dat
                     for seq, (kind, run, payload) in enumerate(parts):
                         rows.append((doc_id, key, seq, kind, run, seq == len(parts) - 1, payload, None, None, None))
                 yield _batch(rows, _PART)
+        units.forget()
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = None

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder, as in tests on one machine.
@@ -23,13 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    The lineage ends there, so a lost executor costs a reread rather than a recomputation. The table is
-    removed when the process ends.
+    The lineage ends there, so a lost executor costs a reread rather than a recomputation. Spark removes the shuffle
+    files of the finished step once the driver's JVM has collected its garbage, which is asked for here: steps follow
+    each other quickly, and their files would otherwise add up. The table is removed when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenfold/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -40,3 +44,19 @@ def _remove(spark: SparkSession, path: str) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
     except Exception:  # noqa: BLE001  the session is already closed; the folder's own retention applies
         pass
+
+
+def text_chunks(batch: pa.RecordBatch, column: int, chars: int) -> Iterator[list[str]]:
+    """The texts of a batch, null as empty, in lists of about ``chars`` characters or of one longer text."""
+    texts: list[str] = []
+    size = 0
+    for at in range(0, batch.num_rows, 64):
+        for text in batch.column(column).slice(at, 64).to_pylist():
+            text = text or ""
+            if texts and size + len(text) > chars:
+                yield texts
+                texts, size = [], 0
+            texts.append(text)
+            size += len(text)
+    if texts:
+        yield texts

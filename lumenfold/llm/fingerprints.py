@@ -50,7 +50,7 @@ def _word(digest: Column, i: int) -> Column:
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys``, ``paragraphs`` and the fingerprint's words ``w0``... of each row; ``keys`` name rows uniquely."""
+    """``keys`` and the fingerprint ``print`` (paragraphs, words) of each row; ``keys`` name rows uniquely."""
     split = texts.select(*keys, F.posexplode(F.split(F.coalesce(text, F.lit("")), PARAGRAPH)).alias("pos", "paragraph"))
     chunk = F.floor(F.col("pos") / CHUNK).alias("chunk")
     one = split.select(*keys, chunk, F.col("paragraph").alias("p"), F.xxhash64("paragraph", F.sha1(F.col("paragraph").cast("binary"))).alias("digest"))
@@ -58,7 +58,8 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     word = lambda i: F.sum(_word(F.col("digest"), i) * filled)
     sums = one.groupBy(*keys, "chunk").agg(F.sum(filled).alias("paragraphs"), *[word(i).alias(w) for i, w in enumerate(_WORDS)])
     total = lambda w: (F.sum(F.col(w).cast("decimal(20,0)")) % F.lit(MODULUS)).cast("bigint")
-    return sums.groupBy(*keys).agg(F.sum("paragraphs").alias("paragraphs"), *[total(w).alias(w) for w in _WORDS])
+    added = sums.groupBy(*keys).agg(F.sum("paragraphs").alias("paragraphs"), *[total(w).alias(w) for w in _WORDS])
+    return added.select(*keys, F.struct("paragraphs", F.array(*_WORDS).alias("words")).alias("print"))
 
 
 def insert(fingerprint: list[int], vector: list[int]) -> list[int]:
@@ -70,38 +71,38 @@ def delete(fingerprint: list[int], vector: list[int]) -> list[int]:
     return [(a - b) % MODULUS for a, b in zip(fingerprint, vector)]
 
 
-def _squares(words: list[Column], paragraphs: Column) -> Column:
+def _squares(words: Column, paragraphs: Column) -> Column:
     """Sum over all digits of the squared centred sums; of fingerprints or of their differences."""
     expected = paragraphs * (((1 << DIGIT_BITS) - 1) / 2)
-    whole = F.floor(expected)
     ones, half = sum(1 << (LANE_BITS * i) for i in range(LANES)), 1 << (LANE_BITS - 1)
-    # what every lane is expected to hold is taken off first, so that what is left is small and may be negative
+
+    def total(x: Column) -> Column:
+        def step(acc: Column, word: Column) -> Column:
+            lane = lambda i: F.shiftrightunsigned(word, LANE_BITS * i).bitwiseAND((1 << LANE_BITS) - 1) - half - x["part"]
+            return acc + sum((lane(i) * lane(i) for i in range(1, LANES)), lane(0) * lane(0))
+
+        # what every lane is expected to hold is taken off first, so that what is left is small and may be negative
+        centred = F.transform(words, lambda w: F.pmod(w + x["shift"], F.lit(MODULUS)))
+        return F.aggregate(centred, F.lit(0.0), step)
+
+    whole = F.floor(expected)
     shift = F.lit(half * ones) - F.pmod(whole, F.lit(1 << LANE_BITS)) * ones
-    out = F.lit(0.0)
-    for w in words:
-        shifted = F.pmod(w + shift, F.lit(MODULUS))
-        for i in range(LANES):
-            lane = F.shiftrightunsigned(shifted, LANE_BITS * i).bitwiseAND((1 << LANE_BITS) - 1) - half
-            centred = lane - (expected - whole)
-            out = out + centred * centred
-    return out
-
-
-def likeness(a: str, b: str) -> Column:
-    """Likeness (0 to 1) of the fingerprints in the struct columns ``a`` and ``b``."""
-    words = lambda x: [F.col(f"{x}.{w}") for w in _WORDS]
-    n = lambda x: F.col(f"{x}.paragraphs").cast("double")
-    own = lambda x: _squares(words(x), n(x))
-    apart = _squares([p - q for p, q in zip(words(a), words(b))], n(a) - n(b))
-    both = own(a) + own(b)
-    raw = F.when(both > 0, (both - apart) / both).otherwise(F.lit(0.0))
-    same = (n(a) == n(b)) & (F.array(*words(a)) == F.array(*words(b)))
-    return F.when(same, F.lit(1.0)).when((n(a) == 0) | (n(b) == 0), F.lit(0.0)).otherwise(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)))
-
-
-def written(fingerprint: str) -> Column:
+    return F.transform(F.array(F.struct(shift.alias("shift"), (expected - whole).alias("part"))), total)[0]
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Likeness (0 to 1) of two fingerprints (paragraphs, words)."""
+    n, m = a["paragraphs"].cast("double"), b["paragraphs"].cast("double")
+    apart = _squares(F.zip_with(a["words"], b["words"], lambda x, y: x - y), n - m)
+    both = _squares(a["words"], n) + _squares(b["words"], m)
+    raw = F.transform(F.array(both), lambda x: F.when(x > 0, (x - apart) / x).otherwise(F.lit(0.0)))[0]
+    same = (n == m) & (a["words"] == b["words"])
+    return F.when(same, F.lit(1.0)).when((n == 0) | (m == 0), F.lit(0.0)).otherwise(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)))
+
+
+def written(fingerprint: Column) -> Column:
     """The fingerprint as text: the number of paragraphs and the words in hexadecimal."""
-    return F.concat(F.hex(F.col(f"{fingerprint}.paragraphs")), F.lit(":"), *[F.lpad(F.hex(F.col(f"{fingerprint}.{w}")), 15, "0") for w in _WORDS])
+    return F.concat_ws(":", F.hex(fingerprint["paragraphs"]), F.array_join(F.transform(fingerprint["words"], lambda w: F.lpad(F.hex(w), 15, "0")), ""))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -138,11 +139,11 @@ def op6_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["range", "at", "which", "extra", "doc_id", "n_chars", "edited_sha256"]
     flat = about.select("range", "at", "extra", "doc_id", "n_chars", "edited_sha256", F.posexplode("texts").alias("which", "t")).where("t is not null")
     prints = fingerprints(flat, keys, "t")
-    whole = F.struct("paragraphs", *_WORDS)
-    pick = lambda i: F.max(F.when(F.col("which") == i, whole))
-    wide = prints.groupBy("range", "at", "extra", "doc_id", "n_chars", "edited_sha256").agg(pick(0).alias("own"), pick(1).alias("changed"))
-    wide = wide.withColumn("next", F.lead("own").over(Window.partitionBy("range").orderBy("at")))
-    return wide.where("extra = 0").select(
-        "doc_id", "n_chars", "edited_sha256", written("own").alias("fingerprint"), written("changed").alias("edited_fingerprint"),
-        likeness("own", "changed").alias("near_edited"), likeness("own", "next").alias("near_next"),
+    # both prints of a row are in one task, next to each other in the order of (at, which)
+    order = Window.partitionBy("range").orderBy("at", "which")
+    own, changed, following = F.col("print"), F.lead("print", 1).over(order).alias("changed"), F.lead("print", 2).over(order).alias("next")
+    rows = prints.select(*keys, own, changed, following).where("which = 0 and extra = 0")
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", written(F.col("print")).alias("fingerprint"), written(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("print"), F.col("changed")).alias("near_edited"), likeness(F.col("print"), F.col("next")).alias("near_next"),
     )

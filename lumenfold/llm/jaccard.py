@@ -41,6 +41,8 @@ LEAST = (90, 100)
 #: Tokens of at most so many survivors are rare.
 RARE = 8
 ROUNDS = 3
+#: Up to so many keys (8 bytes each) are sent to all tasks; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -76,7 +78,7 @@ class Bounds:
 
     def first(self, n):
         """Shared tokens that the survivors' prefix is extended for."""
-        return 1 + self._div(self.lacks(n), 3)
+        return 1 + self._div(self.lacks(n), 2)
 
     @staticmethod
     def _div(a, b: int):
@@ -113,10 +115,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _survivors(sets: DataFrame, b: Bounds) -> DataFrame:
     """(node, key): one row's key for each set that may have a link."""
-    tokens = sets.where(b.differ(F.col("n")) >= 1).select("key", "node", "n", F.explode("tokens").alias("token"))
+    tokens = sets.where(b.differ(F.col("n")) >= 1).select("node", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
-    hits = tokens.join(shared, "token").groupBy("key", "node", "n").agg(F.count("*").alias("hits"))
-    return hits.where(F.col("hits") >= b.first(b.need(F.col("n")))).groupBy("node").agg(F.min("key").alias("key"))
+    hits = tokens.join(shared, "token").distinct().groupBy("node").agg(F.count("*").alias("hits"))  # equal sets count once
+    about = sets.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.max("n").alias("n"))
+    return hits.join(about, "node").where(F.col("hits") >= b.first(b.need(F.col("n")))).select("node", "key")
+
+
+def _full_sets(keyed: DataFrame, survivors: DataFrame, words: int) -> DataFrame:
+    """(node, n, tokens) of the survivors, one row for each set."""
+    n = survivors.count()
+    wanted = F.broadcast(survivors.select("key")) if n <= BROADCAST_KEYS else survivors.select("key")
+    full = common.settle(_sets(keyed.join(wanted, "key", "left_semi"), words, lambda n: n).select("node", "n", "tokens"), "full-sets")
+    return full if full.count() == n else common.settle(full.dropDuplicates(["node"]), "full-sets")  # repeated rows
 
 
 def _signatures(full: DataFrame, b: Bounds, rare: int) -> DataFrame:
@@ -202,8 +213,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, least: tuple[int, in
     keyed = _keyed(docs)
     sets = common.settle(_sets(keyed, words, lambda n: b.lacks(n) + b.first(n)), "shingle-sets")
     survivors = common.settle(_survivors(sets, b), "survivors")
-    texts = keyed.join(survivors.select("key"), "key", "left_semi")
-    full = common.settle(_sets(texts, words, lambda n: n).select("node", "n", "tokens").dropDuplicates(["node"]), "full-sets")
+    full = _full_sets(keyed, survivors, words)
     roots = _join_components(full, _signatures(full, b, rare), b)
     rows = sets.select("key", "doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least_id"))

@@ -43,7 +43,7 @@ SLACK = 1.5
 LEAST_EXCESS = 4.0
 #: Symbols beyond which the score no longer sharpens.
 SCORE_SYMBOLS = 60
-_CHUNK = 2_000_000
+_CHUNK = 500_000
 _MIX = np.uint32(0x9E3779B1)
 UNDETERMINED = "und"
 
@@ -261,17 +261,9 @@ def identify(docs: DataFrame, model: LanguageModels) -> DataFrame:
         table = alphabet_table(models.alphabet)
         for batch in batches:
             names, scores, entropies, rejected = [], [], [], []
-            texts = batch.column(at).to_pylist()
-            begin = 0
-            while begin < len(texts):
-                end, size = begin, 0
-                while end < len(texts) and (end == begin or size < _CHUNK):
-                    size += len(texts[end] or "")
-                    end += 1
-                for found in zip(*_judge(models, [t or "" for t in texts[begin:end]], table)):
-                    for column, value in zip((names, scores, entropies, rejected), found):
-                        column.append(value)
-                begin = end
+            for texts in common.text_chunks(batch, at, _CHUNK):
+                for column, values in zip((names, scores, entropies, rejected), _judge(models, texts, table)):
+                    column.extend(values)
             added = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(entropies, pa.float64()), pa.array(rejected, pa.bool_())]
             titles = [*batch.schema.names, *(PREFIX + x for x in ("pred", "score", "entropy", "rejected"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=titles)

@@ -131,6 +131,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, classes
                 for doc_id, packed in zip(ids[at : at + 512], encoded):
                     packer.add(doc_id, packed + end)
             yield from flush(packer)
+        units.forget()
         packer.finish()
         yield from flush(packer)
 

@@ -55,6 +55,8 @@ LEAST_ACCURACY = 0.55
 #: The share of good documents before any vote. One-sided rules do not tell it, so it is not estimated.
 BALANCE = 0.5
 ROUNDS = 50
+#: Characters that are looked at together.
+_CHUNK = 1_000_000
 
 
 @lru_cache(1)
@@ -140,15 +142,10 @@ def fit_votes(counts: dict[int, int]) -> dict[int, float]:
 
 def _measured(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, dict[str, np.ndarray]]]:
     """(begin, end, measures) of the batch in parts of bounded size."""
-    texts = [t or "" for t in batch.column(at).to_pylist()]
     begin = 0
-    while begin < len(texts):
-        end, size = begin, 0
-        while end < len(texts) and (end == begin or size < 2_000_000):
-            size += len(texts[end])
-            end += 1
-        yield begin, end, measure(texts[begin:end])
-        begin = end
+    for texts in common.text_chunks(batch, at, _CHUNK):
+        yield begin, begin + len(texts), measure(texts)
+        begin += len(texts)
 
 
 def measured(docs: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Token ids of whole texts through the tokenizers library, one space-delimited unit at a time.
 
 Neither public BPE vocabulary ever forms a token across a single space that follows a visible character, so a
-text's ids are the ids of its units in order. Units repeat, so each Python worker keeps a dictionary of those it
-has seen; it is emptied when it reaches ``CACHE_UNITS`` entries, which bounds its memory.
+text's ids are the ids of its units in order. Units repeat, so a task keeps a dictionary of those it has seen; it is
+emptied when it reaches ``CACHE_UNITS`` entries, which bounds its memory, and when the task ends, since the Python
+worker lives on and serves other stages.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_UNITS = 600_000
+CACHE_UNITS = 500_000
 
 #: Characters whose classes do not depend on a library's Unicode version.
 _STABLE = r"\x09-\x0d\x20-\x7e\xa0-ɏ"
@@ -61,6 +62,9 @@ class WordUnits:
         self.units = _Known()
         self.pieces: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.units, self.pieces = _Known(), {}
+
     def learn(self, missing: list[str]) -> list[bytes]:
         joined = " ".join(missing)
         if "<|" in joined or not _WORD_STABLE.fullmatch(joined):
@@ -123,6 +127,9 @@ class ByteUnits:
             return _SPACE_CUT.split(text)
         return text.replace(" ", "\0 ").split("\0")
 
+    def forget(self) -> None:
+        self.units = _Known()
+
     def learn(self, missing: list[str]) -> list[bytes]:
         plain = ["<|" not in unit and _BYTE_STABLE.fullmatch(unit) is not None for unit in missing]
         slow = iter(self.full.encode_batch_fast([u for u, p in zip(missing, plain) if not p], add_special_tokens=False))
@@ -190,7 +197,7 @@ def _byte_alphabet() -> dict[str, int]:
 
 @lru_cache(2)
 def word_units(path: str) -> WordUnits:
-    """One per Python worker; workers are reused, so the dictionary serves later tasks too."""
+    """One per Python worker, which serves many tasks; loading the vocabulary takes a second."""
     return WordUnits(path)
 
 

@@ -130,7 +130,7 @@ def test_fingerprint_rows(spark, tmp_path):
 def test_sums_insert_and_delete(spark):
     p = ["one.", "two.", "three.", "one."]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate([" ".join(p), "\n".join(reversed(p)), "one. two. three."])], "id long, t string")
-    got = {r.id: [r[f"w{i}"] for i in range(fingerprints.SUMS)] for r in fingerprints.fingerprints(frame, ["id"], "t").collect()}
+    got = {r.id: r.print.words for r in fingerprints.fingerprints(frame, ["id"], "t").collect()}
     vector = list(spark.range(1).select(*[v.alias(f"v{i}") for i, v in enumerate(fingerprints.vector_of(F.lit("one.")))]).first())
     assert got[0] == got[1] != got[2]
     assert fingerprints.insert(got[2], vector) == got[0] and fingerprints.delete(got[0], vector) == got[2]
