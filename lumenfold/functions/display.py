@@ -16,17 +16,15 @@ def estimate_with_error(mean: Column, error: Column) -> Column:
     scale = F.pow(F.lit(10.0), power.cast("double"))
     scaled = F.abs(error) / scale
     digits = F.when(scaled > 0, F.greatest(F.lit(1) - F.floor(F.log10(F.when(scaled > 0, scaled))).cast("int"), F.lit(0))).otherwise(F.lit(1))
-    number = lambda x: F.regexp_replace(_fixed(x, digits), ",", "")
+    number = lambda x: _fixed(x, digits)
     text = F.concat(F.lit("("), number(mean / scale), F.lit(" +- "), number(scaled), F.lit(") x 10^"), power.cast("string"))
     return F.when(size > 0, text).otherwise(F.lit("(0 +- 0) x 10^0"))
 
 
 def _fixed(x: Column, digits: Column) -> Column:
     """Fixed-point text with a number of digits that differs between rows."""
-    out = F.format_number(x, 0)
-    for d in range(1, 17):
-        out = F.when(digits == d, F.format_number(x, d)).otherwise(out)
-    return out
+    pattern = F.concat(F.lit("0"), F.when(digits > 0, F.concat(F.lit("."), F.repeat(F.lit("0"), digits))).otherwise(""))
+    return F.call_function("format_number", x, pattern)
 
 
 def human_bytes(n: Column) -> Column:

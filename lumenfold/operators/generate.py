@@ -85,4 +85,4 @@ def latent_batches(spark: SparkSession, sizes: list[int], seed: int) -> DataFram
 def batch_samples(batches: DataFrame) -> DataFrame:
     """One row per sample of latent batches (batch_id, seed, sample_index within the batch)."""
     inside = F.expr("case when nr_samples > 0 then sequence(0, nr_samples - 1) else cast(array() as array<int>) end")
-    return batches.select("batch_id", "seed", F.explode(inside).cast("bigint").alias("sample_index"))
+    return batches.select("batch_id", "seed", F.explode(inside.cast("array<bigint>")).alias("sample_index"))

@@ -24,7 +24,7 @@ def downsample(series: DataFrame, keys: Sequence[str], order: Sequence[str], bud
     sizes = series.groupBy(*keys).agg(F.count("*").alias("_n"))
     level = F.greatest(F.ceil(F.log2(F.col("_n") / budget)), F.lit(0)).cast("int")
     indexed = series.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).join(sizes, list(keys))
-    step = F.shiftleft(F.lit(1).cast("bigint"), level)
+    step = F.pow(F.lit(2.0), level).cast("bigint")
     kept = indexed.where((F.col("_i") % step == 0) | (F.col("_i") == F.col("_n") - 1))
     return kept.drop("_i", "_n")
 
@@ -57,7 +57,7 @@ def value_range(rows: DataFrame, value: Column, mode: str) -> DataFrame:
 def histogram_steps(bins: DataFrame, log_y: bool = False, epsilon: float = 2.220446049250313e-16) -> DataFrame:
     """Two corners per bin (start, stop, value, error), its centre and its error relative to the value."""
     y = F.greatest(F.col("value"), F.lit(epsilon)) if log_y else F.col("value")
-    corners = F.explode(F.array(F.struct(F.lit(0).alias("corner"), F.col("start").alias("x")), F.struct(F.lit(1), F.col("stop")))).alias("c")
+    corners = F.explode(F.array(F.struct(F.lit(0).alias("corner"), F.col("start").alias("x")), F.struct(F.lit(1).alias("corner"), F.col("stop").alias("x")))).alias("c")
     keep = [c for c in bins.columns if c not in ("x", "y")]
     out = bins.select(*keep, ((F.col("start") + F.col("stop")) / 2).alias("centre"), y.alias("y"), F.abs(F.try_divide(F.col("error"), F.col("value"))).alias("relative_error"), corners)
     return out.select(*keep, "centre", "y", "relative_error", "c.corner", "c.x")

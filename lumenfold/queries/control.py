@@ -13,7 +13,6 @@ from lumenfold.queries.registry import AS_OF, BATCHES, NODES, RUNS, SNAPSHOTS, T
 from lumenfold.sources.state import batch_ids
 
 
-
 def _as_of():
     return F.lit(AS_OF).cast("timestamp_ntz")
 
@@ -226,7 +225,7 @@ def lease_gaps(spark, sf_dir):
     return rows.select("user_id", "event_id", F.round(gap).cast("bigint").alias("silent_s"))
 
 
-@query("SELECT event_id, (epoch_ms(ts) << 22) | ((user_id % 65536) << 6) | (event_id % 64) AS batch_id FROM events")
+@query("SELECT event_id, ((epoch_us(ts) // 1000) << 22) | ((user_id % 65536) << 6) | (event_id % 64) AS batch_id FROM events")
 def sortable_batch_ids(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.select("event_id", batch_ids(F.unix_millis(F.col("ts").cast("timestamp")), F.col("user_id"), F.col("event_id")).alias("batch_id"))
@@ -241,8 +240,8 @@ def ewma_metric(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT user_id, event_id, ts, sum(event_id % 40) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS done FROM events),
-l AS (SELECT *, lag(done) OVER w AS before, lag(ts) OVER w AS then FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT user_id, event_id, round(CASE WHEN epoch_us(ts) = epoch_us(then) THEN NULL ELSE greatest((done - before)::DOUBLE / ((epoch_us(ts) - epoch_us(then)) / 1000000.0), 0.0) END, 6) AS throughput
+l AS (SELECT *, lag(done) OVER w AS before, lag(ts) OVER w AS earlier FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, event_id, round(CASE WHEN epoch_us(ts) = epoch_us(earlier) THEN NULL ELSE greatest((done - before)::DOUBLE / ((epoch_us(ts) - epoch_us(earlier)) / 1000000.0), 0.0) END, 6) AS throughput
 FROM l WHERE before IS NOT NULL""")
 def throughput(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +19,24 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
 
-def _source(spark: SparkSession, rows: DataFrame, name: str, files: int = 4) -> DataFrame:
-    """A stream of the rows, which arrive in files of consecutive times."""
+def _feed(spark: SparkSession, rows: DataFrame, name: str, run: Callable[[DataFrame], object], slices: int = 4) -> None:
+    """The rows arrive in slices of consecutive times; after each, ``run`` takes up its stream where it left it."""
     folder = _folder(spark, name)
-    rows.repartitionByRange(files, "ts", "event_id").sortWithinPartitions("ts", "event_id").write.parquet(folder)
-    return ingest.read_stream(spark, folder, rows.schema, 1)
+    at = F.unix_micros("ts")
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    place = F.floor((at - (low or 0)) / (((high or 0) - (low or 0)) // slices + 1))
+    for k in range(slices):
+        rows.where(place == k).write.mode("append").parquet(folder)
+        run(ingest.read_stream(spark, folder, rows.schema))
+
+
+def _drain(writer) -> None:
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def _appended(spark: SparkSession, out: str, name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], object]:
+    state = _folder(spark, name)
+    return lambda s: _drain(operator(s).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", state))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +48,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark, sf_dir):
     rows = _events(spark, sf_dir).select("event_id", "ts", "event_type", F.col("event_id").alias("batch_id"), (F.col("value") / 100).alias("value"), F.lit(-1.5).alias("weight"))
     sink = _folder(spark, "states")
-    ingest.merge_results(_source(spark, rows, "results"), ["event_type"], sink, _folder(spark, "ingest"))
+    done = _folder(spark, "ingest")
+    _feed(spark, rows, "results", lambda s: ingest.merge_results(s, ["event_type"], sink, done))
     return rounded(ingest.merged(spark, sink, ["event_type"]))
 
 
@@ -48,8 +64,8 @@ def stream_ewma(spark, sf_dir):
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("micro_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/micro_batch_{number}")
 
-    stream = ingest.ewma_stream(_source(spark, rows, "metrics"), "user_id")
-    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", _folder(spark, "ewma-state")).trigger(availableNow=True).start().awaitTermination()
+    state = _folder(spark, "ewma-state")
+    _feed(spark, rows, "metrics", lambda s: _drain(ingest.ewma_stream(s, "user_id").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state)))
     last = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("micro_batch")))
     found = spark.read.parquet(f"{out}/micro_batch_*").withColumn("_n", last).where("_n = 1")
     return rounded(found.select("user_id", "mean", "variance", "n"))
@@ -62,8 +78,7 @@ SELECT user_id, epoch_us(a) AS start_us, beats FROM g WHERE b + INTERVAL 12 HOUR
 def stream_lease_sessions(spark, sf_dir):
     rows = _events(spark, sf_dir).select("event_id", "ts", "user_id")
     out = _folder(spark, "sessions")
-    sessions = ingest.lease_sessions(_source(spark, rows, "beats"), "user_id", "12 hours", "1 hour")
-    sessions.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", _folder(spark, "session-state")).trigger(availableNow=True).start().awaitTermination()
+    _feed(spark, rows, "beats", _appended(spark, out, "session-state", lambda s: ingest.lease_sessions(s, "user_id", "12 hours", "1 hour")))
     # a stream gives sessions that the watermark has closed; three days before the end all of them are
     end = rows.agg(F.max("ts").alias("end"))
     found = spark.read.schema("user_id bigint, start timestamp, end timestamp, beats bigint").parquet(out)
@@ -77,9 +92,8 @@ def stream_in_order(spark, sf_dir):
     e = _events(spark, sf_dir)
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     rows = e.select("user_id", F.col("event_id").alias("id"), place.cast("bigint").alias("place"), F.col("ts"), F.hash("event_id").alias("event_id")).where("id % 60 <> 59")
-    # batches complete out of order: files are cut by a hash instead of time
+    # batches complete out of order: slices are cut by a hash instead of time
     rows = rows.withColumn("ts", F.timestamp_seconds(F.pmod("event_id", F.lit(1000))))
     out = _folder(spark, "ordered")
-    stream = ingest.release_in_order(_source(spark, rows, "completed"), "user_id")
-    stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", _folder(spark, "order-state")).trigger(availableNow=True).start().awaitTermination()
+    _feed(spark, rows, "completed", _appended(spark, out, "order-state", lambda s: ingest.release_in_order(s, "user_id")))
     return spark.read.schema("user_id bigint, place bigint, id bigint").parquet(out)

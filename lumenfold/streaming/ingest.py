@@ -16,8 +16,10 @@ from lumenfold.operators.observe import SCALAR_STATE, scalar_partial
 from lumenfold.operators.rolling import ewma_step
 
 
-def read_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int = 4) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def read_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """The files that arrive in a folder; all of them at once, or so many at a time."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(folder)
 
 
 def merge_results(stream: DataFrame, keys: list[str], sink: str, checkpoint: str) -> None:
