@@ -13,8 +13,11 @@ order of all tokens, the first l tokens that a linked pair shares lie in the fir
    one combination is common to both. There are as many combinations as tokens, not as many as pairs of tokens.
 3. *Verification in rounds.* The sets of a signature are first compared with its smallest set only, and links make
    components. Where a signature still holds different components, its next smallest set is compared, and so on
-   for ``ROUNDS`` rounds; pairs in different components that are then left are all compared. A group of many copies
-   thus costs as many comparisons as it has members, and no link that could join two components is left out.
+   for ``ROUNDS`` rounds; after them any two sets of it that are in different components are compared. A group of
+   many copies thus costs as many comparisons as it has members, and no link that could join two components is left
+   out. A pair is compared first by *parity sketches*: tokens are hashed to ``SKETCH_WORDS * 64`` bits, and a bit is
+   set if an odd number of a set's tokens fall on it. Two sketches differ in at most as many bits as the sets do in
+   tokens, so pairs whose sketches differ too much are out before any set is moved, in the condition of the join.
 
 Sets are known by a 64-bit hash of their tokens; equal sets are one set, however many documents have it.
 
@@ -41,7 +44,8 @@ LEAST = (90, 100)
 #: Tokens of at most so many survivors are rare.
 RARE = 8
 ROUNDS = 3
-#: Up to so many keys (8 bytes each) are sent to all tasks; more are joined by a shuffle.
+SKETCH_WORDS = 16
+#: Up to so many keys (8 bytes each) or pairs of keys are sent to all tasks; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -61,6 +65,13 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.unique(out)
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """Which bits an odd number of tokens fall on, in ``SKETCH_WORDS`` words."""
+    bits = SKETCH_WORDS * 64
+    odd = np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 class Bounds:
     """The sizes that the least similarity ``num / den`` implies, for numbers and for columns."""
 
@@ -91,8 +102,8 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.uint64).view(np.int64)))
 
 
-def _sets(rows: DataFrame, words: int, cut) -> DataFrame:
-    """key, n, set hash and the first ``cut(n)`` tokens, in hash order, of every row (key, text)."""
+def _sets(rows: DataFrame, words: int, cut, sketched: bool = False) -> DataFrame:
+    """key, n, set hash and the first ``cut(n)`` tokens, in hash order, of every row (key, text); and the sketch ``bits``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,10 +114,12 @@ def _sets(rows: DataFrame, words: int, cut) -> DataFrame:
                 ids = [xxhash.xxh3_64_intdigest(t.tobytes()) for t in tokens]
                 signed = pa.array(np.array(ids, dtype=np.uint64).view(np.int64), mask=np.array(sizes) == 0)
                 prefixes = _lists([t[: cut(n)] for t, n in zip(tokens, sizes)])
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(sizes, pa.int32()), signed, prefixes], names=names)
+                bits = [_lists([parity_sketch(t) for t in tokens])] if sketched else []
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(sizes, pa.int32()), signed, prefixes, *bits], names=names)
 
-    names = ["key", "doc_id", "n", "node", "tokens"]
-    return rows.select("key", "doc_id", "text").mapInArrow(run, "key bigint, doc_id bigint, n int, node bigint, tokens array<bigint>")
+    schema = "key bigint, doc_id bigint, n int, node bigint, tokens array<bigint>" + ", bits array<bigint>" * sketched
+    names = [c.split()[0] for c in schema.split(", ")]
+    return rows.select("key", "doc_id", "text").mapInArrow(run, schema)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -123,15 +136,15 @@ def _survivors(sets: DataFrame, b: Bounds) -> DataFrame:
 
 
 def _full_sets(keyed: DataFrame, survivors: DataFrame, words: int) -> DataFrame:
-    """(node, n, tokens) of the survivors, one row for each set."""
+    """(node, n, tokens, bits) of the survivors, one row for each set."""
     n = survivors.count()
     wanted = F.broadcast(survivors.select("key")) if n <= BROADCAST_KEYS else survivors.select("key")
-    full = common.settle(_sets(keyed.join(wanted, "key", "left_semi"), words, lambda n: n).select("node", "n", "tokens"), "full-sets")
+    full = common.settle(_sets(keyed.join(wanted, "key", "left_semi"), words, lambda n: n, sketched=True).select("node", "n", "tokens", "bits"), "full-sets")
     return full if full.count() == n else common.settle(full.dropDuplicates(["node"]), "full-sets")  # repeated rows
 
 
 def _signatures(full: DataFrame, b: Bounds, rare: int) -> DataFrame:
-    """(sig, node, n) of the survivors' sets (node, n, tokens)."""
+    """(sig, node) of the survivors' sets (node, n, tokens)."""
     tokens = full.select("node", "n", F.explode("tokens").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     known = tokens.join(shared, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"))
@@ -146,19 +159,24 @@ def _signatures(full: DataFrame, b: Bounds, rare: int) -> DataFrame:
     pairs = F.zip_with(F.slice("wide", 1, F.greatest(m, F.lit(0))), F.slice("wide", 2, F.greatest(m, F.lit(0))), lambda x, y: F.xxhash64(x["token"], y["token"]))
     pairs = F.when((m >= 1) & (F.col("lone") + F.col("n_rare") <= b.lacks(n)), pairs).otherwise(F.array().cast("array<bigint>"))
     every = F.concat(F.transform("single", lambda x: x["token"]), pairs)
-    return known.select(F.explode(F.array_distinct(every)).alias("sig"), "node", "n")
+    return known.select(F.explode(F.array_distinct(every)).alias("sig"), "node")
 
 
 def _linked(pairs: DataFrame, full: DataFrame, b: Bounds) -> DataFrame:
     """The pairs (x, y) whose sets are similar enough."""
     side = lambda c: full.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    pairs = common.settle(pairs, "pairs")
+    wanted = F.broadcast(pairs) if pairs.count() <= BROADCAST_KEYS else pairs
+    both = side("x").join(wanted, "x").join(side("y"), "y")
     inter = F.size(F.array_intersect("tx", "ty"))
     return both.where(b.den * inter >= b.num * (F.col("nx") + F.col("ny") - inter)).select("x", "y")
 
 
-def _close(b: Bounds, n: str, m: str) -> Column:
-    return F.least(n, m) * b.den >= F.greatest(n, m) * b.num
+def _close(b: Bounds) -> Column:
+    """Whether sets of sizes nx and ny with sketches bx and by may be similar enough."""
+    apart = sum(F.bit_count(F.col("bx")[i].bitwiseXOR(F.col("by")[i])) for i in range(SKETCH_WORDS))
+    sizes = F.least("nx", "ny") * b.den >= F.greatest("nx", "ny") * b.num
+    return sizes & (apart * (b.den + b.num) <= (F.col("nx") + F.col("ny")) * (b.den - b.num))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -183,27 +201,27 @@ def _join_components(full: DataFrame, signatures: DataFrame, b: Bounds) -> DataF
     spark = full.sparkSession
     links = spark.createDataFrame([], "x bigint, y bigint")
     roots = spark.createDataFrame([], "node bigint, root bigint")
+    sketch = lambda node: full.select(F.col("node").alias(node), F.col("n").alias(f"n{node}"), F.col("bits").alias(f"b{node}"))
     open_sigs = common.settle(signatures.withColumn("upto", F.lit(None).cast("bigint")), "signatures")
     for round_ in range(ROUNDS + 1):
         # what a signature's earlier leaders left: sets beyond them, in more than one component
         labelled = open_sigs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).where("upto is null or node > upto")
         state = labelled.groupBy("sig").agg(
-            F.min(F.struct("node", "root", "n")).alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi")
+            F.min(F.struct("node", "root")).alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi")
         )
         open_sigs = common.settle(labelled.join(state.where("lo <> hi").select("sig", "lead"), "sig"), "signatures")
         if open_sigs.isEmpty():
             break
         if round_ < ROUNDS:
-            pairs = open_sigs.select(F.col("lead.node").alias("x"), F.col("lead.root").alias("rx"), F.col("lead.n").alias("nx"), F.col("node").alias("y"),
-                                     F.col("root").alias("ry"), F.col("n").alias("ny"))
+            pairs = open_sigs.where("root <> lead.root").select(F.col("lead.node").alias("x"), F.col("node").alias("y")).distinct()
+            pairs = pairs.join(sketch("x"), "x").join(sketch("y"), "y").where(_close(b))
         else:
-            one = open_sigs.select("sig", F.col("node").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
-            other = open_sigs.select("sig", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"))
-            pairs = one.join(other, "sig").where("x < y")
-        pairs = pairs.where((F.col("rx") != F.col("ry")) & _close(b, "nx", "ny")).select("x", "y").distinct()
-        links = common.settle(links.union(_linked(pairs, full, b)), "links")
+            one = open_sigs.select("sig", F.col("node").alias("x"), F.col("root").alias("rx")).join(sketch("x"), "x")
+            other = open_sigs.select("sig", F.col("node").alias("y"), F.col("root").alias("ry")).join(sketch("y"), "y")
+            pairs = one.join(other, "sig").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & _close(b)).select("x", "y").distinct()
+        links = common.settle(links.union(_linked(pairs.select("x", "y"), full, b)), "links")
         roots = components(links)
-        open_sigs = open_sigs.select("sig", "node", "n", F.col("lead.node").alias("upto"))
+        open_sigs = open_sigs.select("sig", "node", F.col("lead.node").alias("upto"))
     return roots
 
 
