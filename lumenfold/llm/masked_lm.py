@@ -1,9 +1,9 @@
 """Masked pseudo-likelihood of documents.
 
 A small network predicts every token from the two tokens on either side of it. The vocabulary and all word counts
-are of the whole corpus. Each Spark task trains the network in numpy on every ``STRIDE``-th window of its own
-documents, starting from the same weights; the weights are averaged, by number of windows, in groups of ``FAN_IN``
-until one set is left. A document's score is the sum over its tokens of the log probability given their neighbours.
+are of the whole corpus. Each Spark task trains the network in numpy on every window of its own documents,
+starting from the same weights; the weights are averaged, by number of windows, in groups of ``FAN_IN`` until one set
+is left. A document's score is the sum over its tokens of the log probability given their neighbours.
 
 A token is one of the ``VOCABULARY`` most frequent words, or one of ``BUCKETS`` hash buckets of other words. The
 network predicts a token's class; the token within its class, and a word within its bucket, have their shares of
@@ -36,11 +36,12 @@ CLASSES = 128
 SIDE = 2
 WIDTH = 16
 HIDDEN = 32
-STRIDE = 8
 BATCH = 512
 RATE = 0.1
 FAN_IN = 32
 _BLOCK = 32_768
+#: Windows scored at once: their class scores stay in a core's cache.
+_SCORED = 1024
 #: Longer words count with others of their hash bucket only.
 LONGEST = 40
 
@@ -105,6 +106,7 @@ class Network:
     def __init__(self, words: Words, seed: int = 1):
         rng = np.random.default_rng(seed)
         normal = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
+        self.windows = 0  # that the weights were trained on
         self.weights = {
             "embed": normal(len(words.classes), WIDTH, scale=0.3),
             "w1": normal(2 * SIDE * WIDTH, HIDDEN, scale=0.2),
@@ -121,18 +123,35 @@ class Network:
         z -= z.max(axis=1, keepdims=True)
         return x, h, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
+    def log_of(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """The targets' log probabilities, as ``forward`` has them for all classes."""
+        w = self.weights
+        h = w["embed"][near].reshape(len(near), -1) @ w["w1"]
+        h += w["b1"]
+        z = np.tanh(h, out=h) @ w["w2"]
+        z += w["b2"]
+        z -= z.max(axis=1, keepdims=True)
+        own = z[np.arange(len(z)), target]
+        return own - np.log(np.exp(z, out=z).sum(axis=1))
+
     def train(self, near: np.ndarray, target: np.ndarray, squares: dict[str, np.ndarray]) -> None:
         """One step of Adagrad on a batch."""
-        w = self.weights
-        x, h, logp = self.forward(near)
-        dz = np.exp(logp)
-        dz[np.arange(len(target)), target] -= 1
-        dz /= len(target)
+        w, n = self.weights, len(target)
+        x = w["embed"][near].reshape(n, -1)
+        h = np.tanh(x @ w["w1"] + w["b1"])
+        dz = h @ w["w2"]
+        dz += w["b2"]
+        dz -= dz.max(axis=1, keepdims=True)
+        np.exp(dz, out=dz)
+        dz *= 1 / (n * dz.sum(axis=1, keepdims=True))
+        dz[np.arange(n), target] -= np.float32(1 / n)
         dh = (dz @ w["w2"].T) * (1 - h * h)
         dx = (dh @ w["w1"].T).reshape(-1, WIDTH)
-        rows, back = np.unique(near.ravel(), return_inverse=True)
-        de = np.zeros((len(rows), WIDTH), np.float32)
-        np.add.at(de, back.ravel(), dx)
+        ids = near.ravel().astype(np.uint16)  # sorted by radix
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        rows, de = ids[first], np.add.reduceat(dx[order], first, axis=0)
         for name, grad, at in (("w2", h.T @ dz, ...), ("b2", dz.sum(0), ...), ("w1", x.T @ dh, ...), ("b1", dh.sum(0), ...), ("embed", de, rows)):
             squares[name][at] += grad * grad
             w[name][at] -= RATE * grad / np.sqrt(squares[name][at] + 1e-8)
@@ -158,8 +177,8 @@ def encoded(docs: DataFrame, words: Words) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, ids binary")
 
 
-def train(table: DataFrame, words: Words, stride: int = STRIDE) -> Network:
-    """The average of the networks that the tasks train."""
+def train(table: DataFrame, words: Words, stride: int = 1) -> Network:
+    """The average of the networks that the tasks train. A ``stride`` above 1 leaves windows out; no query has one."""
     spark = table.sparkSession
     shared = spark.sparkContext.broadcast(words)
 
@@ -217,6 +236,7 @@ def train(table: DataFrame, words: Words, stride: int = STRIDE) -> Network:
         left //= FAN_IN
         parts = common.settle(parts, "networks")
     row = parts.first()
+    net.windows = row["seen"]
     net.weights = {k: (v / row["seen"]).astype(np.float32) for k, v in pickle.loads(row["weights"]).items()}
     return net
 
@@ -236,11 +256,10 @@ def score(table: DataFrame, words: Words, net: Network) -> DataFrame:
             starts = np.concatenate(([0], np.cumsum(sizes[:-1] + SIDE))) if len(texts) else np.zeros(0, np.int64)
             at = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes[:-1]))), sizes) + np.arange(sizes.sum()) if len(texts) else starts
             logs = np.empty(len(at))
-            for a in range(0, len(at), _BLOCK):
-                here = at[a : a + _BLOCK]
+            for a in range(0, len(at), _SCORED):
+                here = at[a : a + _SCORED]
                 ids = row[here + SIDE]
-                logp = network.forward(neighbours(row, here))[2]
-                logs[a : a + _BLOCK] = logp[np.arange(len(ids)), classes[ids]] + log_share[ids]
+                logs[a : a + _SCORED] = network.log_of(neighbours(row, here), classes[ids]) + log_share[ids]
             ends = np.cumsum(sizes)
             total = np.array([logs[e - n : e].sum() for e, n in zip(ends, sizes)])
             mean = pa.array(np.divide(total, sizes, out=np.zeros(len(total)), where=sizes > 0), mask=sizes == 0)

@@ -157,3 +157,14 @@ def test_likelihood_sums_to_one_and_learns(spark):
     inside = np.bincount(words.classes[1 : masked_lm.VOCABULARY + 1], np.exp(words.log_share[1 : masked_lm.VOCABULARY + 1]), masked_lm.CLASSES)
     assert inside[words.classes[words.ids["a"]]] == pytest.approx(1, abs=0.1)
     assert masked_lm.score(table.limit(0), words, masked_lm.train(table.limit(0), words)).count() == 0
+
+
+def test_trains_on_every_window(spark):
+    texts = [" ".join(["a", "b"] * 4)[: max(0, 2 * i - 1)] for i in range(8)]  # row i has i tokens
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    words = masked_lm.vocabulary(masked_lm.word_counts(frame))
+    net = masked_lm.train(masked_lm.encoded(frame, words).coalesce(1), words)
+    assert not np.array_equal(net.weights["w2"], masked_lm.Network(words).weights["w2"])
+    assert net.windows == sum(range(8))
+    near = np.array([[0, 0, 1, 2], [1, 2, 0, 0], [2, 1, 1, 2]])
+    assert net.log_of(near, np.array([0, 1, 0])) == pytest.approx(net.forward(near)[2][[0, 1, 2], [0, 1, 0]], abs=1e-5)
