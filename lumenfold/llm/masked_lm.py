@@ -6,8 +6,9 @@ starting from the same weights; the weights are averaged, by number of windows,
 is left. A document's score is the sum over its tokens of the log probability given their neighbours.
 
 A token is one of the ``VOCABULARY`` most frequent words, or one of ``BUCKETS`` hash buckets of other words. The
-network predicts a token's class; the token within its class, and a word within its bucket, have their shares of
-the corpus counts, so the probabilities of all words of the corpus sum to one.
+network predicts a token's class; the token within its class, and each word within its bucket, have their shares of
+the corpus counts, so the probabilities of all words of the corpus sum to one. Words beyond the vocabulary are joined
+with the corpus counts (``by_word``). Within a class, neighbours do not change the shares.
 
 Cases: a null or empty text has no tokens and score 0; repeated rows get a row each; equal texts have equal scores;
 an empty table gives no rows; other columns are not read; texts of any length are scored whole, in blocks.
@@ -44,6 +45,10 @@ _BLOCK = 32_768
 _SCORED = 1024
 #: Longer words count with others of their hash bucket only.
 LONGEST = 40
+#: A longer word can be frequent and yet not in the vocabulary; its rows are dealt to so many tasks.
+SALTS = 16
+#: Logarithms are summed as whole multiples of 1 / _UNIT, so that the order of the rows does not matter.
+_UNIT = 2.0**32
 
 
 @dataclass
@@ -52,14 +57,18 @@ class Words:
 
     ids: dict[str, int]
     classes: np.ndarray  # by id
-    log_share: np.ndarray  # by id: log share of the token in its class, and of a word in its bucket
+    log_share: np.ndarray  # by id: log share of the token in its class; of a bucket, that of a word with count 1
     class_share: np.ndarray
 
     def encode(self, text: str | None) -> np.ndarray:
+        return self.split(text)[0]
+
+    def split(self, text: str | None) -> tuple[np.ndarray, list[str]]:
+        """The ids of a text's words, and its words beyond the vocabulary."""
         words = (text or "").lower().split()
         get = self.ids.get
         found = [get(w, 0) or 1 + VOCABULARY + zlib.crc32(w.encode()) % BUCKETS for w in words]
-        return np.array(found, dtype=np.uint16)
+        return np.array(found, dtype=np.uint16), [w for w, i in zip(words, found) if i > VOCABULARY]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -84,19 +93,19 @@ def vocabulary(counts: DataFrame) -> Words:
     last = (top[-1]["n"], top[-1]["word"]) if top else (0, "")
     rest = counts.where((F.length("word") > LONGEST) | (F.col("n") < last[0]) | ((F.col("n") == last[0]) & (F.col("word") > last[1])))
     bucket = (F.crc32(F.col("word").cast("binary")) % BUCKETS).alias("b")
-    types = np.ones(BUCKETS)
-    for r in rest.groupBy(bucket).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():  # at most BUCKETS rows
-        n[1 + VOCABULARY + r["b"]], types[r["b"]] = r["n"], r["types"]
+    for r in rest.groupBy(bucket).agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
+        n[1 + VOCABULARY + r["b"]] = r["n"]
     classes = np.zeros(len(n), dtype=np.int64)
     own = CLASSES // 2  # the most frequent words have a class each, the others share one by their last letters
     for word, i in ids.items():
         classes[i] = i - 1 if i <= own else own + zlib.crc32(word[-2:].encode()) % (CLASSES - own)
     classes[1 + VOCABULARY :] = own + np.arange(BUCKETS) % (CLASSES - own)
+    in_bucket = np.maximum(n[1 + VOCABULARY :], 1)
     n += 1e-3
     n[0] = 0
     totals = np.bincount(classes, n, CLASSES)
     share = np.log(np.maximum(n, 1e-300) / totals[classes])
-    share[1 + VOCABULARY :] -= np.log(types)
+    share[1 + VOCABULARY :] -= np.log(in_bucket)
     return Words(ids, classes, share, (totals + 1e-3) / (totals + 1e-3).sum())
 
 
@@ -163,7 +172,7 @@ def neighbours(row: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, words: Words) -> DataFrame:
-    """doc_id and the packed ids of every row."""
+    """doc_id, the packed ids and the words beyond the vocabulary of every row, and a number of its own (``row``)."""
     shared = docs.sparkSession.sparkContext.broadcast(words)  # VOCABULARY words at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,10 +180,12 @@ def encoded(docs: DataFrame, words: Words) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = [known.encode(t).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                found = [known.split(t) for t in part.column(1).to_pylist()]
+                ids, rare = pa.array([x.tobytes() for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, rare, part.column(2)], names=["doc_id", "ids", "rare", "row"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, ids binary")
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text", F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(run, "doc_id bigint, ids binary, rare array<string>, row bigint")
 
 
 def train(table: DataFrame, words: Words, stride: int = 1) -> Network:
@@ -242,7 +253,7 @@ def train(table: DataFrame, words: Words, stride: int = 1) -> Network:
 
 
 def score(table: DataFrame, words: Words, net: Network) -> DataFrame:
-    """doc_id, n_tokens, the summed log probability and its mean per token."""
+    """doc_id, n_tokens, the summed log probability, its mean per token, and row; words beyond the vocabulary as if of count 1."""
     shared = table.sparkSession.sparkContext.broadcast((words.classes, words.log_share, net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,13 +274,28 @@ def score(table: DataFrame, words: Words, net: Network) -> DataFrame:
             ends = np.cumsum(sizes)
             total = np.array([logs[e - n : e].sum() for e, n in zip(ends, sizes)])
             mean = pa.array(np.divide(total, sizes, out=np.zeros(len(total)), where=sizes > 0), mask=sizes == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(total), mean], names=["doc_id", "n_tokens", "log_likelihood", "per_token"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(total), mean, batch.column(2)], names=["doc_id", "n_tokens", "log_likelihood", "per_token", "row"])
+
+    table = table.select("doc_id", "ids", "row")
+    return table.mapInArrow(run, "doc_id bigint, n_tokens bigint, log_likelihood double, per_token double, row bigint")
+
 
-    return table.mapInArrow(run, "doc_id bigint, n_tokens bigint, log_likelihood double, per_token double")
+def by_word(scored: DataFrame, table: DataFrame, counts: DataFrame) -> DataFrame:
+    """``scored`` with the own corpus count of every word beyond the vocabulary."""
+    long = F.length("word") > LONGEST
+    rare = table.select("row", F.explode("rare").alias("word")).withColumn("salt", F.when(long, F.pmod("row", F.lit(SALTS))).otherwise(0).cast("int"))
+    salts = F.when(long, F.array(*map(F.lit, range(SALTS)))).otherwise(F.array(F.lit(0)))
+    # the logarithm of the count 1 is 0
+    often = counts.where("n > 1").select("word", F.round(F.log("n") * _UNIT).cast("bigint").alias("log"), F.explode(salts).alias("salt"))
+    own = rare.join(often, ["word", "salt"]).groupBy("row").agg((F.sum("log") / _UNIT).alias("own"))
+    total = F.col("log_likelihood") + F.coalesce("own", F.lit(0.0))
+    mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
+    return scored.join(own, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"), mean.alias("per_token"))
 
 
 def op4_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
-    words = vocabulary(common.settle(word_counts(docs), "word-counts"))
+    counts = common.settle(word_counts(docs), "word-counts")
+    words = vocabulary(counts)
     table = common.settle(encoded(docs, words), "token-ids")
-    return score(table, words, train(table, words))
+    return by_word(score(table, words, train(table, words)), table, counts)

@@ -168,3 +168,23 @@ def test_trains_on_every_window(spark):
     assert net.windows == sum(range(8))
     near = np.array([[0, 0, 1, 2], [1, 2, 0, 0], [2, 1, 1, 2]])
     assert net.log_of(near, np.array([0, 1, 0])) == pytest.approx(net.forward(near)[2][[0, 1, 2], [0, 1, 0]], abs=1e-5)
+
+
+def test_words_beyond_the_vocabulary_have_their_own_counts(spark, tmp_path):
+    filler = " ".join(f"w{i} w{i} w{i} w{i} w{i} w{i}" for i in range(masked_lm.VOCABULARY))
+    beyond = masked_lm.Words({}, None, None, None).encode
+    same = [w for w in (f"r{i}" for i in range(20_000)) if beyond(w) == beyond("often")][:1]  # of the bucket of "often"
+    long = "l" * 50
+    texts = [filler, *["often"] * 4, *same, None, *[long] * 3, f"{long} often {long}"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = masked_lm.op4_masked_likelihood(spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts)
+    got = {r.doc_id: r.log_likelihood for r in rows}
+    assert got[1] - got[5] == pytest.approx(np.log(5 / 1), abs=1e-6) and got[1] == got[2] and got[6] == 0
+    counts = masked_lm.word_counts(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    words = masked_lm.vocabulary(counts)
+    n = {r.word: r.n for r in counts.where("n < 6").collect()}
+    assert n == {"often": 5, same[0]: 1, long: 5}
+    members = [(words.encode(w)[0], k) for w, k in [*n.items(), *((w, 6) for w in words.ids)]]
+    inside = np.bincount([words.classes[i] for i, _ in members], [np.exp(words.log_share[i]) * (k if i > masked_lm.VOCABULARY else 1) for i, k in members])
+    assert inside[inside > 0] == pytest.approx(1, abs=1e-2)
