@@ -77,9 +77,15 @@ def judged(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     )
 
 
-def parent_of(host: Column) -> Column:
-    """The host without its first label, if two labels remain."""
-    return F.when(host.rlike(r"^[^.]+\.[^.]+\.[^.]"), F.regexp_replace(host, r"^[^.]+\.", ""))
+def parents(hosts: DataFrame) -> DataFrame:
+    """(host, parent) for every step from each host up to its last two labels; an empty label ends the way."""
+    labels = F.split("host", r"\.")
+    empty = F.array_position(labels, "")
+    full = F.when(empty > 0, empty - 1).otherwise(F.size(labels)).cast("int")
+    steps = hosts.select(labels.alias("labels"), full.alias("full")).where("full >= 3")
+    steps = steps.select("labels", F.explode(F.sequence(F.lit(1), F.col("full") - 2)).alias("at"))
+    below = lambda at: F.array_join(F.slice("labels", at, F.size("labels")), ".")
+    return steps.select(below(F.col("at")).alias("host"), below(F.col("at") + 1).alias("parent"))
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
@@ -90,9 +96,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     ).where("src <> '' and src <> dst")
     links = links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     hosts = pages.select(host_of(F.col("url")).alias("host")).union(links.select("dst")).where("host <> ''").distinct()
-    up = hosts.select("host", parent_of(F.col("host")).alias("parent"))
-    above = up.where("parent is not null").select(F.col("parent").alias("host"), parent_of(F.col("parent")).alias("parent"))
-    tree = up.union(above).where("parent is not null").distinct()
+    tree = parents(hosts).distinct()
     both = tree.select(F.explode(F.array(F.struct("host", "parent"), F.struct(F.col("parent").alias("host"), F.col("host").alias("parent")))).alias("e"))
     near = both.select("e.host", "e.parent", F.lit(1.0))
     return links.union(near).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))

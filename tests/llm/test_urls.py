@@ -95,3 +95,10 @@ def test_empty_and_unseeded(spark):
     assert urls.filter_urls(frame).count() == 0
     lone = spark.createDataFrame([(1, "http://x.net/a", "<p>")], "page_id long, url string, html string")
     assert urls.filter_urls(lone).first().verdict == "allow"
+
+
+def test_deep_hosts_reach_their_domain(spark):
+    frame = spark.createDataFrame([(1, "http://a.b.c.d.example.com/", None), (2, "http://x..y.z.org/", None)], "page_id long, url string, html string")
+    got = {(r.src, r.dst) for r in urls.host_edges(frame).collect()}
+    chain = ["a.b.c.d.example.com", "b.c.d.example.com", "c.d.example.com", "d.example.com", "example.com"]
+    assert got == {e for a, b in zip(chain, chain[1:]) for e in ((a, b), (b, a))}
