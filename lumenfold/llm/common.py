@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints/lumenfold"
+#: Folders of intermediate tables that still exist.
+_settled: dict[str, SparkSession] = {}
+_own: list[str] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +20,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where the session names none, a local session has a folder of its own; on a cluster that is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="lumenfold-"))
+        named = f"file://{_own[0]}"
+    return named.rstrip("/")
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -27,25 +39,56 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
     The lineage ends there, so a lost executor costs a reread rather than a recomputation. Spark removes the shuffle
     files of the finished step once the driver's JVM has collected its garbage, which is asked for here: steps follow
-    each other quickly, and their files would otherwise add up. The table is removed when the process ends.
+    each other quickly, and their files would otherwise add up. ``release`` removes a table that nothing reads any
+    more; the others are removed when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumenfold/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    _settled[path] = spark
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._settled_at = path
+    return table
+
+
+def named(view: DataFrame, table: DataFrame) -> DataFrame:
+    """``view`` as what is to be released when ``table`` is."""
+    view._settled_at = getattr(table, "_settled_at", None)
+    return view
+
 
+def release(*tables: DataFrame) -> None:
+    """Remove tables that ``settle`` wrote and that nothing reads any more."""
+    for table in tables:
+        _remove(getattr(table, "_settled_at", None))
 
-def _remove(spark: SparkSession, path: str) -> None:
+
+def _remove(path: str | None) -> None:
+    spark = _settled.pop(path, None)
     try:
-        jvm = spark.sparkContext._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        if spark is not None:
+            jvm = spark.sparkContext._jvm
+            hadoop = jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
     except Exception:  # noqa: BLE001  the session is already closed; the folder's own retention applies
         pass
 
 
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_settled):
+        _remove(path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_chunks(batch: pa.RecordBatch, column: int, chars: int) -> Iterator[list[str]]:
     """The texts of a batch, null as empty, in lists of about ``chars`` characters or of one longer text."""
     texts: list[str] = []

@@ -4,27 +4,34 @@ Write J for the least similarity, n for the size of a set, ``e(n) = n - ceil(J n
 partner may lack, and ``d(n) = floor(n (1 - J) / J)`` for the most tokens that only one of the two has. In any common
 order of all tokens, the first l tokens that a linked pair shares lie in the first e(n) + l tokens of either set.
 
-1. *Survivors.* In hash order, a linked set shares at least ``l(ceil(J n))`` of its first ``e(n) + l(n)`` tokens with
-   other sets. Sets that do not are out. Only a part of the tokens is shuffled for this.
-2. *Signatures.* The survivors' tokens are ordered by frequency, rare ones first. A pair shares a token of its
-   ``e(n) + 1`` prefix. If that is rare, the token alone is a signature of both. If not, all the tokens they share
-   are frequent; then the prefix is extended to ``e(n) + d(n) + 2`` and combinations of two neighbouring frequent
-   tokens are signatures: of the d + 1 gaps between the first d + 2 shared tokens at most d hold another token, so
-   one combination is common to both. There are as many combinations as tokens, not as many as pairs of tokens.
-3. *Verification in rounds.* The sets of a signature are first compared with its smallest set only, and links make
-   components. Where a signature still holds different components, its next smallest set is compared, and so on
-   for ``ROUNDS`` rounds; after them any two sets of it that are in different components are compared. A group of
-   many copies thus costs as many comparisons as it has members, and no link that could join two components is left
-   out. A pair is compared first by *parity sketches*: tokens are hashed to ``SKETCH_WORDS * 64`` bits, and a bit is
-   set if an odd number of a set's tokens fall on it. Two sketches differ in at most as many bits as the sets do in
-   tokens, so pairs whose sketches differ too much are out before any set is moved, in the condition of the join.
+1. *Survivors.* In the order of hashes, a linked set shares at least ``l(ceil(J n))`` of its first ``e(n) + l(n)``
+   tokens with other sets. Sets that do not are out. Only a part of the tokens is shuffled for this.
+2. *Signatures.* Of each survivor only the window of its first ``e(n) + d(n) + 2`` tokens is looked at further. The
+   windows of a linked pair have their first d + 2 shared tokens in common. If one of these is rare, rare tokens are
+   ordered first and one of a short prefix of them is common; each is a signature alone. If all are frequent, the
+   combinations of two neighbouring frequent tokens are signatures: of the d + 1 gaps between the d + 2 shared tokens
+   at most d hold another token, so one combination is common to both. There are as many combinations as tokens, not
+   as many as pairs of tokens.
+3. *Verification.* The sets of a signature that has at most ``FEW`` of them are compared with each other. In a larger
+   one, all sets are compared with its *leader* only, the one with the fewest rare tokens, and links make components.
+   A group of many copies thus costs as many comparisons as it has members.
+4. *Refinement.* A larger signature that still holds several components is replaced by combinations with one token
+   more, taken from what tells its sets from the leader: the symmetric difference of a set and the leader. For sets x,
+   y with differences X, Y, the sets differ by |X| + |Y| - 2 |X and Y|; so if one of them is not linked to the leader
+   they can only be linked if X and Y share tokens, and enough of them for a prefix of either difference to do. What
+   all sets of the group have in common is gone from the differences, so the new groups are small. They are treated
+   in the same way, until no group holds several components. A leader is in no refinement of its own group, so this ends.
+
+A pair is compared first by *parity sketches*: tokens are hashed to ``SKETCH_WORDS * 64`` bits, and a bit is set if an
+odd number of a set's tokens fall on it. Two sketches differ in at most as many bits as the sets do in tokens, so pairs
+whose sketches differ too much are out before any set is moved.
 
 Sets are known by a 64-bit hash of their tokens; equal sets are one set, however many documents have it.
 
 Cases: null or empty texts and texts without words have an empty set and are linked with nothing; with fewer words
 than a shingle, all words are the one shingle; repeated rows are documents of the same set and give a row each; an
 empty table gives no rows; a null id is passed on and never is a component's id unless nothing else is; other
-columns are not read. Sets of any size are compared whole.
+columns are not read. Sets of any size are compared whole. The least similarity must be 0.8 or more.
 """
 
 from __future__ import annotations
@@ -34,41 +41,40 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm import common
 
 WORDS = 3
 LEAST = (90, 100)
-#: Tokens of at most so many survivors are rare.
+#: Tokens of at most so many survivors' windows are rare.
 RARE = 8
-ROUNDS = 3
+#: Up to so many sets of a signature are compared with each other.
+FEW = 16
 SKETCH_WORDS = 16
-#: Up to so many keys (8 bytes each) or pairs of keys are sent to all tasks; more are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
 
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of a text."""
+    """Sorted hashes of the distinct shingles of a text, as signed numbers."""
     found = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
     if not found:
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.int64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
     k = min(words, len(found))
     out = np.full(len(h) - k + 1, k, dtype=np.uint64)
     for i in range(k):
         out = (out ^ h[i : len(h) - k + 1 + i]) * _M[i % len(_M)]
         out ^= out >> np.uint64(32)
-    return np.unique(out)
+    return np.unique(out.view(np.int64))
 
 
 def parity_sketch(tokens: np.ndarray) -> np.ndarray:
     """Which bits an odd number of tokens fall on, in ``SKETCH_WORDS`` words."""
     bits = SKETCH_WORDS * 64
-    odd = np.bincount((tokens % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    odd = np.bincount(tokens & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
@@ -76,6 +82,8 @@ class Bounds:
     """The sizes that the least similarity ``num / den`` implies, for numbers and for columns."""
 
     def __init__(self, num: int, den: int):
+        if not 0.8 <= num / den < 1:
+            raise ValueError("the least similarity is from 0.8 to below 1")
         self.num, self.den = num, den
 
     def need(self, n):
@@ -91,6 +99,18 @@ class Bounds:
         """Shared tokens that the survivors' prefix is extended for."""
         return 1 + self._div(self.lacks(n), 2)
 
+    def window(self, n):
+        """Tokens among which a linked pair has its first ``differ + 2`` shared tokens."""
+        return self.lacks(n) + self.differ(n) + 2
+
+    def window_lacks(self, n):
+        """Tokens of the window that are not in a linked partner's window."""
+        return self.lacks(n) + self.differ(n) - self.differ(self.need(n))
+
+    def spread(self, g):
+        """How much more two sets may differ if one is larger by g."""
+        return self._div(g * (self.den - self.num) + self.den + self.num - 1, self.den + self.num)
+
     @staticmethod
     def _div(a, b: int):
         return F.floor(a / b).cast("int") if isinstance(a, Column) else a // b
@@ -98,8 +118,8 @@ class Bounds:
 
 def _lists(values: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
-    flat = np.concatenate(values) if values else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.uint64).view(np.int64)))
+    flat = np.concatenate(values) if values else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
 def _sets(rows: DataFrame, words: int, cut, sketched: bool = False) -> DataFrame:
@@ -137,46 +157,71 @@ def _survivors(sets: DataFrame, b: Bounds) -> DataFrame:
 
 def _full_sets(keyed: DataFrame, survivors: DataFrame, words: int) -> DataFrame:
     """(node, n, tokens, bits) of the survivors, one row for each set."""
-    n = survivors.count()
-    wanted = F.broadcast(survivors.select("key")) if n <= BROADCAST_KEYS else survivors.select("key")
-    full = common.settle(_sets(keyed.join(wanted, "key", "left_semi"), words, lambda n: n, sketched=True).select("node", "n", "tokens", "bits"), "full-sets")
-    return full if full.count() == n else common.settle(full.dropDuplicates(["node"]), "full-sets")  # repeated rows
+    full = _sets(keyed.join(survivors.select("key"), "key", "left_semi"), words, lambda n: n, sketched=True).select("node", "n", "tokens", "bits")
+    full = common.settle(full, "full-sets")
+    if full.count() == survivors.count():
+        return full
+    once = common.settle(full.dropDuplicates(["node"]), "full-sets")  # repeated rows
+    common.release(full)
+    return once
 
 
 def _signatures(full: DataFrame, b: Bounds, rare: int) -> DataFrame:
-    """(sig, node) of the survivors' sets (node, n, tokens)."""
-    tokens = full.select("node", "n", F.explode("tokens").alias("token"))
+    """(sig, node, odd) of the survivors' sets (node, n, tokens), with the number of its window's tokens that are not frequent."""
+    n, s = F.col("n"), F.col("s")
+    tokens = full.select("node", "n", F.explode(F.slice("tokens", 1, b.window(n))).alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     known = tokens.join(shared, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"))
-    n, s = F.col("n"), F.col("s")
-    lone = n - F.size(s)  # tokens that no other set has come first in the order
-    known = known.where(lone <= b.lacks(n)).withColumn("lone", lone)
+    lone = F.least(n, b.window(n)) - F.size(s)  # tokens that no other window has
     is_rare = lambda x: x["df"] <= rare
-    single = F.filter(F.slice(s, 1, b.lacks(n) + 1 - F.col("lone")), is_rare)
-    wide = F.filter(F.slice(s, 1, b.lacks(n) + b.differ(n) + 2 - F.col("lone")), lambda x: ~is_rare(x))
-    known = known.select("node", "n", "lone", single.alias("single"), wide.alias("wide"), F.size(F.filter(s, is_rare)).alias("n_rare"))
-    m = F.size("wide") - 1
-    pairs = F.zip_with(F.slice("wide", 1, F.greatest(m, F.lit(0))), F.slice("wide", 2, F.greatest(m, F.lit(0))), lambda x, y: F.xxhash64(x["token"], y["token"]))
-    pairs = F.when((m >= 1) & (F.col("lone") + F.col("n_rare") <= b.lacks(n)), pairs).otherwise(F.array().cast("array<bigint>"))
-    every = F.concat(F.transform("single", lambda x: x["token"]), pairs)
-    return known.select(F.explode(F.array_distinct(every)).alias("sig"), "node")
+    known = known.select("node", "s", lone.alias("lone"), (b.window_lacks(n) - lone).alias("lacks")).where("lacks >= 0")
+    single = F.transform(F.filter(F.slice(s, 1, F.col("lacks") + 1), is_rare), lambda x: x["token"])
+    wide = F.array_sort(F.transform(F.filter(s, lambda x: ~is_rare(x)), lambda x: x["token"]))  # in the order of hashes
+    known = known.select("node", "lone", "lacks", single.alias("single"), wide.alias("wide"), F.size(F.filter(s, is_rare)).alias("n_rare"))
+    m = F.greatest(F.size("wide") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("wide", 1, m), F.slice("wide", 2, m), lambda x, y: F.xxhash64(x, y))
+    pairs = F.when(F.col("n_rare") <= F.col("lacks"), pairs).otherwise(F.array().cast("array<bigint>"))
+    return known.select(F.explode(F.array_distinct(F.concat("single", pairs))).alias("sig"), "node", (F.col("lone") + F.col("n_rare")).alias("odd"))
+
+
+def _sides(pairs: DataFrame, full: DataFrame, column: str) -> DataFrame:
+    """``pairs`` (x, y) with the sizes and the ``column`` of both sets."""
+    side = lambda c: full.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col(column).alias(f"{column}_{c}"))
+    return pairs.join(side("x"), "x").join(side("y"), "y")
 
 
 def _linked(pairs: DataFrame, full: DataFrame, b: Bounds) -> DataFrame:
-    """The pairs (x, y) whose sets are similar enough."""
-    side = lambda c: full.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}"))
-    pairs = common.settle(pairs, "pairs")
-    wanted = F.broadcast(pairs) if pairs.count() <= BROADCAST_KEYS else pairs
-    both = side("x").join(wanted, "x").join(side("y"), "y")
-    inter = F.size(F.array_intersect("tx", "ty"))
-    return both.where(b.den * inter >= b.num * (F.col("nx") + F.col("ny") - inter)).select("x", "y")
-
-
-def _close(b: Bounds) -> Column:
-    """Whether sets of sizes nx and ny with sketches bx and by may be similar enough."""
-    apart = sum(F.bit_count(F.col("bx")[i].bitwiseXOR(F.col("by")[i])) for i in range(SKETCH_WORDS))
+    """The pairs (x, y) whose sets are similar enough; only those with close sketches are settled and compared whole."""
+    apart = sum(F.bit_count(F.col("bits_x")[i].bitwiseXOR(F.col("bits_y")[i])) for i in range(SKETCH_WORDS))
     sizes = F.least("nx", "ny") * b.den >= F.greatest("nx", "ny") * b.num
-    return sizes & (apart * (b.den + b.num) <= (F.col("nx") + F.col("ny")) * (b.den - b.num))
+    near = sizes & (apart * (b.den + b.num) <= (F.col("nx") + F.col("ny")) * (b.den - b.num))
+    close = common.settle(_sides(pairs.distinct(), full, "bits").where(near).select("x", "y"), "pairs")
+    inter = F.size(F.array_intersect("tokens_x", "tokens_y"))
+    links = _sides(close, full, "tokens").where(b.den * inter >= b.num * (F.col("nx") + F.col("ny") - inter)).select("x", "y")
+    links = common.settle(links, "links")
+    common.release(close)
+    return links
+
+
+def _refined(leads: DataFrame, full: DataFrame, b: Bounds) -> DataFrame:
+    """(sig, node, odd) of combinations with one token of the difference between a set x and its leader y (x, y, odd)."""
+    both = _sides(leads, full, "tokens")
+    more, less = F.array_except("tokens_x", "tokens_y"), F.array_except("tokens_y", "tokens_x")
+    # the leader's own tokens come last: many sets lack the same one
+    delta = both.select("x", "y", "odd", "nx", "ny", F.concat(F.array_sort(more), F.array_sort(less)).alias("delta"), F.size(more).alias("more"))
+    inter, size = F.col("nx") - F.col("more"), F.size("delta")
+    linked = b.den * inter >= b.num * (F.col("nx") + F.col("ny") - inter)
+    # shared tokens with a set on the other side of the link to the leader, or with both sets beyond it
+    need = F.greatest(b._div(size + 2 - b.spread(F.greatest(F.col("nx") - F.col("ny"), F.lit(0))), 2), F.lit(1))
+    delta = delta.select("x", "y", "odd", "delta", linked.alias("linked"), (size - need + 1).alias("half"), F.least(size, b.differ(F.col("nx")) + 1).alias("reach"))
+    delta = delta.withColumn("reach", F.when(F.col("linked"), F.col("half")).otherwise(F.col("reach")))
+    rows = delta.select("x", "y", "odd", "linked", "half", F.posexplode(F.slice("delta", 1, F.col("reach"))).alias("at", "token"))
+    rows = rows.select(F.xxhash64("y", "token").alias("sig"), F.col("x").alias("node"), "odd", "linked", (F.col("at") < F.col("half")).alias("near"))
+    rows = common.settle(rows, "refined")
+    groups = rows.groupBy("sig").agg(F.count("*").alias("sets"), F.max("linked").alias("any_linked")).where("sets > 1")
+    sigs = common.settle(rows.join(groups, "sig").where("near or any_linked").select("sig", "node", "odd"), "signatures")
+    common.release(rows)
+    return sigs
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -186,74 +231,110 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if state == last:
-            return edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
+            return common.named(edges.select(F.col("x").alias("node"), F.col("y").alias("root")), edges)
         last = state
         both = edges.union(edges.select("y", "x"))
         low = both.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("x", "m"))
         large = both.where("y > x").join(low, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
         low = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(low, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).union(low).where("x <> y").distinct()
-        edges = common.settle(small, "stars")
+        before, edges = edges, common.settle(small, "stars")
+        common.release(before)
 
 
-def _join_components(full: DataFrame, signatures: DataFrame, b: Bounds) -> DataFrame:
+def _join_components(full: DataFrame, signatures: DataFrame, b: Bounds, few: int) -> DataFrame:
     """(node, root) of all sets that have a link."""
     spark = full.sparkSession
     links = spark.createDataFrame([], "x bigint, y bigint")
     roots = spark.createDataFrame([], "node bigint, root bigint")
-    sketch = lambda node: full.select(F.col("node").alias(node), F.col("n").alias(f"n{node}"), F.col("bits").alias(f"b{node}"))
-    open_sigs = common.settle(signatures.withColumn("upto", F.lit(None).cast("bigint")), "signatures")
-    for round_ in range(ROUNDS + 1):
-        # what a signature's earlier leaders left: sets beyond them, in more than one component
-        labelled = open_sigs.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).where("upto is null or node > upto")
-        state = labelled.groupBy("sig").agg(
-            F.min(F.struct("node", "root")).alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi")
+    state = lambda rows: rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = lambda rows: rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
+    sigs = common.settle(signatures, "signatures")
+    while True:
+        rows = state(sigs)
+        groups = rows.groupBy("sig").agg(
+            F.count("*").alias("sets"), F.min(F.struct("odd", "node", "root")).alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi")
         )
-        open_sigs = common.settle(labelled.join(state.where("lo <> hi").select("sig", "lead"), "sig"), "signatures")
-        if open_sigs.isEmpty():
-            break
-        if round_ < ROUNDS:
-            pairs = open_sigs.where("root <> lead.root").select(F.col("lead.node").alias("x"), F.col("node").alias("y")).distinct()
-            pairs = pairs.join(sketch("x"), "x").join(sketch("y"), "y").where(_close(b))
-        else:
-            one = open_sigs.select("sig", F.col("node").alias("x"), F.col("root").alias("rx")).join(sketch("x"), "x")
-            other = open_sigs.select("sig", F.col("node").alias("y"), F.col("root").alias("ry")).join(sketch("y"), "y")
-            pairs = one.join(other, "sig").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & _close(b)).select("x", "y").distinct()
-        links = common.settle(links.union(_linked(pairs.select("x", "y"), full, b)), "links")
-        roots = components(links)
-        open_sigs = open_sigs.select("sig", "node", F.col("lead.node").alias("upto"))
-    return roots
-
-
-def jaccard_components(docs: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST, rare: int = RARE) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row, and its ``key`` (a hash of id and text)."""
+        several_left = common.settle(rows.join(groups.where("lo <> hi").select("sig", "sets", "lead"), "sig"), "signatures")
+        common.release(sigs)
+        if several_left.isEmpty():
+            common.release(several_left)
+            return roots
+        # of small signatures, those with the same sets are one group
+        members = several_left.where(F.col("sets") <= few).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("node", "root"))).alias("sets"))
+        other = lambda a, i: F.transform(F.slice("sets", i + 2, F.size("sets")), lambda z: F.struct(a.alias("a"), z.alias("b")))
+        pairs = members.select("sets").distinct().select(F.explode(F.flatten(F.transform("sets", other))).alias("p"))
+        pairs = pairs.where("p.a.root <> p.b.root").select(F.col("p.a.node").alias("x"), F.col("p.b.node").alias("y"))
+        large = several_left.where(F.col("sets") > few)
+        led = large.where("root <> lead.root").select(F.col("node").alias("x"), F.col("lead.node").alias("y"))
+        found = _linked(pairs.union(led), full, b)
+        if not found.isEmpty():
+            links = links.union(found)
+            before, roots = roots, components(links)
+            common.release(before)
+        large = state(large.select("sig", "node", "odd", F.col("lead.node").alias("y")))
+        open_sigs = large.join(several(large), "sig", "left_semi").where("node <> y")
+        leads = common.settle(open_sigs.select(F.col("node").alias("x"), "y", "odd").distinct(), "leads")
+        common.release(several_left)
+        if leads.isEmpty():
+            common.release(leads)
+            return roots
+        sigs = _refined(leads, full, b)
+        common.release(leads)
+
+
+def _rooted(docs: DataFrame, words: int, least: tuple[int, int], rare: int, few: int) -> DataFrame:
+    """(key, doc_id, n, root) of every row: a hash of id and text, and a name of the component; null for an empty set."""
     b = Bounds(*least)
     keyed = _keyed(docs)
     sets = common.settle(_sets(keyed, words, lambda n: b.lacks(n) + b.first(n)), "shingle-sets")
     survivors = common.settle(_survivors(sets, b), "survivors")
+    rows = common.settle(sets.select("key", "doc_id", "n", "node"), "rows")
+    common.release(sets)
     full = _full_sets(keyed, survivors, words)
-    roots = _join_components(full, _signatures(full, b, rare), b)
-    rows = sets.select("key", "doc_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    common.release(survivors)
+    roots = _join_components(full, _signatures(full, b, rare), b, few)
+    common.release(full)
+    return rows.join(roots, "node", "left").select("key", "doc_id", "n", F.coalesce("root", "node").alias("root"))
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, least: tuple[int, int] = LEAST, rare: int = RARE, few: int = FEW) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    rows = _rooted(docs, words, least, rare, few)
     ids = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least_id"))
     return rows.join(ids, "root", "left").select(
         "doc_id",
         F.col("n").cast("bigint").alias("n_shingles"),
         F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"),
-        "key",
     )
 
 
-def keep_one(docs: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
-    """``docs`` with the document of the smallest id of every component; rows without an id stay unjudged."""
-    found = jaccard_components(docs.where("doc_id is not null"), words, least)
-    kept = found.where("doc_id = component_id").select(F.col("key").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    one = keyed.where("doc_id is not null").join(kept, "_key", "left_semi").dropDuplicates(["_key"])
-    return one.unionByName(keyed.where("doc_id is null")).drop("_key")
+def keep_one(docs: DataFrame, words: int, least: tuple[int, int], rare: int = RARE, few: int = FEW) -> DataFrame:
+    """``docs`` with one row of every component: the smallest id's, one without an id only if none has one.
+
+    Rows with an empty set are in no component and all stay. Of rows with the same id and text, one stays, chosen by
+    a hash of all its columns. The decision is made on keys; the rows themselves move once.
+    """
+    rows = _rooted(docs, words, least, rare, few).where("root is not null")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    keys = rows.groupBy("key").agg(F.min("root").alias("root"), F.min(rank).alias("rank"), F.count("*").alias("copies"))  # a key has one text, so one root
+    best = keys.groupBy("root").agg(F.min("rank").alias("best"))
+    keys = common.settle(keys.join(best, "root").select("key", "copies", (F.col("rank") != F.col("best")).alias("out")), "kept")
+    key = common.unused(docs, "key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    named = lambda wanted: keys.where(wanted).select(F.col("key").alias(key))
+    repeated = named("copies > 1 and not out")
+    kept = keyed.join(named("out or copies > 1"), key, "left_anti")
+    if not repeated.isEmpty():
+        place = common.unused(docs, "place")
+        order = Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns))
+        again = keyed.join(repeated, key, "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
+        kept = kept.union(again.drop(place))
+    return kept.drop(key)
 
 
 def op7_token_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(common.read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(common.read_table(spark, sf_dir, "documents"))
 
 
 ORACLE = """
