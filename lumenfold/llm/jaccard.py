@@ -19,8 +19,10 @@ order of all tokens, the first l tokens that a linked pair shares lie in the fir
    more, taken from what tells its sets from the leader: the symmetric difference of a set and the leader. For sets x,
    y with differences X, Y, the sets differ by |X| + |Y| - 2 |X and Y|; so if one of them is not linked to the leader
    they can only be linked if X and Y share tokens, and enough of them for a prefix of either difference to do. What
-   all sets of the group have in common is gone from the differences, so the new groups are small. They are treated
-   in the same way, until no group holds several components. A leader is in no refinement of its own group, so this ends.
+   all sets of the group have in common is gone from the differences, so the new groups are smaller. They are treated
+   in the same way, ``REFINED`` times in all; then the sets of a group that are in different components are compared
+   with each other by their sketches, in the condition of a join, which only lets close pairs out. Comparing sketches
+   is what still grows with the square of a refined group. No link that could join two components is left out.
 
 A pair is compared first by *parity sketches*: tokens are hashed to ``SKETCH_WORDS * 64`` bits, and a bit is set if an
 odd number of a set's tokens fall on it. Two sketches differ in at most as many bits as the sets do in tokens, so pairs
@@ -52,6 +54,8 @@ LEAST = (90, 100)
 RARE = 8
 #: Up to so many sets of a signature are compared with each other.
 FEW = 16
+#: Larger signatures are refined so many times.
+REFINED = 2
 SKETCH_WORDS = 16
 
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -190,12 +194,16 @@ def _sides(pairs: DataFrame, full: DataFrame, column: str) -> DataFrame:
     return pairs.join(side("x"), "x").join(side("y"), "y")
 
 
-def _linked(pairs: DataFrame, full: DataFrame, b: Bounds) -> DataFrame:
-    """The pairs (x, y) whose sets are similar enough; only those with close sketches are settled and compared whole."""
+def _close(b: Bounds) -> Column:
+    """Whether sets x and y may be similar enough by their sizes and sketches."""
     apart = sum(F.bit_count(F.col("bits_x")[i].bitwiseXOR(F.col("bits_y")[i])) for i in range(SKETCH_WORDS))
     sizes = F.least("nx", "ny") * b.den >= F.greatest("nx", "ny") * b.num
-    near = sizes & (apart * (b.den + b.num) <= (F.col("nx") + F.col("ny")) * (b.den - b.num))
-    close = common.settle(_sides(pairs.distinct(), full, "bits").where(near).select("x", "y"), "pairs")
+    return sizes & (apart * (b.den + b.num) <= (F.col("nx") + F.col("ny")) * (b.den - b.num))
+
+
+def _linked(pairs: DataFrame, full: DataFrame, b: Bounds) -> DataFrame:
+    """The pairs (x, y) whose sets are similar enough; only those with close sketches are settled and compared whole."""
+    close = common.settle(_sides(pairs.distinct(), full, "bits").where(_close(b)).select("x", "y"), "pairs")
     inter = F.size(F.array_intersect("tokens_x", "tokens_y"))
     links = _sides(close, full, "tokens").where(b.den * inter >= b.num * (F.col("nx") + F.col("ny") - inter)).select("x", "y")
     links = common.settle(links, "links")
@@ -206,21 +214,25 @@ def _linked(pairs: DataFrame, full: DataFrame, b: Bounds) -> DataFrame:
 def _refined(leads: DataFrame, full: DataFrame, b: Bounds) -> DataFrame:
     """(sig, node, odd) of combinations with one token of the difference between a set x and its leader y (x, y, odd)."""
     both = _sides(leads, full, "tokens")
-    more, less = F.array_except("tokens_x", "tokens_y"), F.array_except("tokens_y", "tokens_x")
-    # the leader's own tokens come last: many sets lack the same one
-    delta = both.select("x", "y", "odd", "nx", "ny", F.concat(F.array_sort(more), F.array_sort(less)).alias("delta"), F.size(more).alias("more"))
-    inter, size = F.col("nx") - F.col("more"), F.size("delta")
-    linked = b.den * inter >= b.num * (F.col("nx") + F.col("ny") - inter)
-    # shared tokens with a set on the other side of the link to the leader, or with both sets beyond it
-    need = F.greatest(b._div(size + 2 - b.spread(F.greatest(F.col("nx") - F.col("ny"), F.lit(0))), 2), F.lit(1))
-    delta = delta.select("x", "y", "odd", "delta", linked.alias("linked"), (size - need + 1).alias("half"), F.least(size, b.differ(F.col("nx")) + 1).alias("reach"))
-    delta = delta.withColumn("reach", F.when(F.col("linked"), F.col("half")).otherwise(F.col("reach")))
-    rows = delta.select("x", "y", "odd", "linked", "half", F.posexplode(F.slice("delta", 1, F.col("reach"))).alias("at", "token"))
-    rows = rows.select(F.xxhash64("y", "token").alias("sig"), F.col("x").alias("node"), "odd", "linked", (F.col("at") < F.col("half")).alias("near"))
-    rows = common.settle(rows, "refined")
-    groups = rows.groupBy("sig").agg(F.count("*").alias("sets"), F.max("linked").alias("any_linked")).where("sets > 1")
-    sigs = common.settle(rows.join(groups, "sig").where("near or any_linked").select("sig", "node", "odd"), "signatures")
+    delta = F.concat(F.array_except("tokens_x", "tokens_y"), F.array_except("tokens_y", "tokens_x"))
+    size, n, m = F.size("delta"), F.col("nx"), F.col("ny")
+    linked = size * (b.den + b.num) <= (n + m) * (b.den - b.num)
+    # tokens shared with any set beyond the link to the leader; those of an unlinked set with a linked one
+    near = F.greatest(b._div(size + 2 - b.spread(F.greatest(n - m, F.lit(0))), 2), F.lit(1))
+    wide = F.when(linked, near).otherwise(F.least(near, F.greatest(size - b.differ(n), F.lit(1))))
+    rows = both.withColumn("delta", delta).select("x", "y", "odd", linked.alias("linked"), near.alias("near"), wide.alias("wide"), F.explode("delta").alias("token"))
+    rows = common.settle(rows, "differences")
+    shared = rows.groupBy("y", "token").agg(F.count("*").alias("df"), F.min("linked").alias("all_linked")).where("df > 1 and not all_linked")
+    rare_first = F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s")
+    known = rows.join(shared, ["y", "token"]).groupBy("x", "y", "odd", "linked", "near", "wide").agg(rare_first).where("size(s) >= wide")
+    prefix = F.posexplode(F.slice("s", 1, F.size("s") - F.col("wide") + 1)).alias("at", "t")
+    known = known.select("x", "y", "odd", "linked", (F.size("s") - F.col("near")).alias("last"), prefix)
+    known = common.settle(known.select("x", "y", F.col("t.token").alias("token"), "odd", "linked", (F.col("at") <= F.col("last")).alias("near")), "refined")
     common.release(rows)
+    groups = known.groupBy("y", "token").agg(F.count("*").alias("sets"), F.max("linked").alias("any"), F.min("linked").alias("every")).where("sets > 1 and not every")
+    kept = known.join(groups, ["y", "token"]).where("near or any").select(F.xxhash64("y", "token").alias("sig"), F.col("x").alias("node"), "odd")
+    sigs = common.settle(kept, "signatures")
+    common.release(known)
     return sigs
 
 
@@ -250,7 +262,7 @@ def _join_components(full: DataFrame, signatures: DataFrame, b: Bounds, few: int
     state = lambda rows: rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = lambda rows: rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
     sigs = common.settle(signatures, "signatures")
-    while True:
+    for round_ in range(REFINED + 1):
         rows = state(sigs)
         groups = rows.groupBy("sig").agg(
             F.count("*").alias("sets"), F.min(F.struct("odd", "node", "root")).alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi")
@@ -260,6 +272,14 @@ def _join_components(full: DataFrame, signatures: DataFrame, b: Bounds, few: int
         if several_left.isEmpty():
             common.release(several_left)
             return roots
+        if round_ == REFINED:
+            side = lambda c: several_left.select("sig", F.col("node").alias(c), F.col("root").alias(f"r{c}")).join(
+                full.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}")), c
+            )
+            pairs = side("x").join(side("y"), "sig").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & _close(b)).select("x", "y")
+            links = links.union(_linked(pairs, full, b))
+            common.release(several_left)
+            return components(links)
         # of small signatures, those with the same sets are one group
         members = several_left.where(F.col("sets") <= few).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("node", "root"))).alias("sets"))
         other = lambda a, i: F.transform(F.slice("sets", i + 2, F.size("sets")), lambda z: F.struct(a.alias("a"), z.alias("b")))
