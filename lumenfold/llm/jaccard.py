@@ -15,14 +15,11 @@ order of all tokens, the first l tokens that a linked pair shares lie in the fir
 3. *Verification.* The sets of a signature that has at most ``FEW`` of them are compared with each other. In a larger
    one, all sets are compared with its *leader* only, the one with the fewest rare tokens, and links make components.
    A group of many copies thus costs as many comparisons as it has members.
-4. *Refinement.* A larger signature that still holds several components is replaced by combinations with one token
-   more, taken from what tells its sets from the leader: the symmetric difference of a set and the leader. For sets x,
-   y with differences X, Y, the sets differ by |X| + |Y| - 2 |X and Y|; so if one of them is not linked to the leader
-   they can only be linked if X and Y share tokens, and enough of them for a prefix of either difference to do. What
-   all sets of the group have in common is gone from the differences, so the new groups are smaller. They are treated
-   in the same way, ``REFINED`` times in all; then the sets of a group that are in different components are compared
-   with each other by their sketches, in the condition of a join, which only lets close pairs out. Comparing sketches
-   is what still grows with the square of a refined group. No link that could join two components is left out.
+4. *Blocks.* Larger signatures that still hold several components are merged by leader: all their sets make one block
+   of the leader. Its sets are compared by sketches in *rings*: sets of similar size whose sketch is about as far from
+   the leader's. Distances of sketches obey the triangle inequality, so linked sets are in
+   the same or the next ring and class of size, and no link that could join two components is left out. The comparison is
+   in the condition of a join, which only lets close pairs out; it still grows with the square of the sets of a ring.
 
 A pair is compared first by *parity sketches*: tokens are hashed to ``SKETCH_WORDS * 64`` bits, and a bit is set if an
 odd number of a set's tokens fall on it. Two sketches differ in at most as many bits as the sets do in tokens, so pairs
@@ -38,6 +35,7 @@ columns are not read. Sets of any size are compared whole. The least similarity
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,8 +52,6 @@ LEAST = (90, 100)
 RARE = 8
 #: Up to so many sets of a signature are compared with each other.
 FEW = 16
-#: Larger signatures are refined so many times.
-REFINED = 2
 SKETCH_WORDS = 16
 
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
@@ -111,9 +107,17 @@ class Bounds:
         """Tokens of the window that are not in a linked partner's window."""
         return self.lacks(n) + self.differ(n) - self.differ(self.need(n))
 
-    def spread(self, g):
-        """How much more two sets may differ if one is larger by g."""
-        return self._div(g * (self.den - self.num) + self.den + self.num - 1, self.den + self.num)
+    def size_class(self, n: Column) -> Column:
+        """Linked sets are in the same class of size or in neighbouring ones."""
+        return F.floor(F.log(n) / math.log(self._base)).cast("int")
+
+    def ring_width(self, size_class: Column) -> Column:
+        """At least what a set of the class may differ by from a linked set that is not smaller."""
+        return F.floor(F.pow(F.lit(self._base), size_class + 1) * (self.den - self.num) / self.num) + 1
+
+    @property
+    def _base(self) -> float:
+        return 1 / (self.num / self.den - 0.01)  # a little more than 1 / J, so that rounding does no harm
 
     @staticmethod
     def _div(a, b: int):
@@ -194,11 +198,14 @@ def _sides(pairs: DataFrame, full: DataFrame, column: str) -> DataFrame:
     return pairs.join(side("x"), "x").join(side("y"), "y")
 
 
+def _apart() -> Column:
+    return sum(F.bit_count(F.col("bits_x")[i].bitwiseXOR(F.col("bits_y")[i])) for i in range(SKETCH_WORDS))
+
+
 def _close(b: Bounds) -> Column:
     """Whether sets x and y may be similar enough by their sizes and sketches."""
-    apart = sum(F.bit_count(F.col("bits_x")[i].bitwiseXOR(F.col("bits_y")[i])) for i in range(SKETCH_WORDS))
     sizes = F.least("nx", "ny") * b.den >= F.greatest("nx", "ny") * b.num
-    return sizes & (apart * (b.den + b.num) <= (F.col("nx") + F.col("ny")) * (b.den - b.num))
+    return sizes & (_apart() * (b.den + b.num) <= (F.col("nx") + F.col("ny")) * (b.den - b.num))
 
 
 def _linked(pairs: DataFrame, full: DataFrame, b: Bounds) -> DataFrame:
@@ -211,29 +218,18 @@ def _linked(pairs: DataFrame, full: DataFrame, b: Bounds) -> DataFrame:
     return links
 
 
-def _refined(leads: DataFrame, full: DataFrame, b: Bounds) -> DataFrame:
-    """(sig, node, odd) of combinations with one token of the difference between a set x and its leader y (x, y, odd)."""
-    both = _sides(leads, full, "tokens")
-    delta = F.concat(F.array_except("tokens_x", "tokens_y"), F.array_except("tokens_y", "tokens_x"))
-    size, n, m = F.size("delta"), F.col("nx"), F.col("ny")
-    linked = size * (b.den + b.num) <= (n + m) * (b.den - b.num)
-    # tokens shared with any set beyond the link to the leader; those of an unlinked set with a linked one
-    near = F.greatest(b._div(size + 2 - b.spread(F.greatest(n - m, F.lit(0))), 2), F.lit(1))
-    wide = F.when(linked, near).otherwise(F.least(near, F.greatest(size - b.differ(n), F.lit(1))))
-    rows = both.withColumn("delta", delta).select("x", "y", "odd", linked.alias("linked"), near.alias("near"), wide.alias("wide"), F.explode("delta").alias("token"))
-    rows = common.settle(rows, "differences")
-    shared = rows.groupBy("y", "token").agg(F.count("*").alias("df"), F.min("linked").alias("all_linked")).where("df > 1 and not all_linked")
-    rare_first = F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s")
-    known = rows.join(shared, ["y", "token"]).groupBy("x", "y", "odd", "linked", "near", "wide").agg(rare_first).where("size(s) >= wide")
-    prefix = F.posexplode(F.slice("s", 1, F.size("s") - F.col("wide") + 1)).alias("at", "t")
-    known = known.select("x", "y", "odd", "linked", (F.size("s") - F.col("near")).alias("last"), prefix)
-    known = common.settle(known.select("x", "y", F.col("t.token").alias("token"), "odd", "linked", (F.col("at") <= F.col("last")).alias("near")), "refined")
-    common.release(rows)
-    groups = known.groupBy("y", "token").agg(F.count("*").alias("sets"), F.max("linked").alias("any"), F.min("linked").alias("every")).where("sets > 1 and not every")
-    kept = known.join(groups, ["y", "token"]).where("near or any").select(F.xxhash64("y", "token").alias("sig"), F.col("x").alias("node"), "odd")
-    sigs = common.settle(kept, "signatures")
-    common.release(known)
-    return sigs
+def _ring_pairs(blocks: DataFrame, full: DataFrame, b: Bounds) -> DataFrame:
+    """Close pairs (x, y) of different components within the blocks (sig, node, root) of leaders ``sig``."""
+    rows = _sides(blocks.select("sig", "root", F.col("node").alias("x"), F.col("sig").alias("y")), full, "bits")
+    rows = rows.select("sig", "root", "x", "nx", "bits_x", _apart().alias("far"), b.size_class(F.col("nx")).alias("size"))
+    rows = common.settle(rows, "blocks")
+    ring = F.floor(F.col("far") / b.ring_width(F.col("size")))
+    one = rows.select("sig", "size", ring.alias("ring"), "x", "nx", "bits_x", F.col("root").alias("rx"))
+    other = rows.withColumn("size", F.explode(F.array(F.col("size"), F.col("size") - 1)))
+    other = other.select("sig", "size", F.explode(F.array(ring - 1, ring, ring + 1)).alias("ring"),
+                         F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("bits_x").alias("bits_y"), F.col("root").alias("ry"))
+    ordered = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    return common.named(one.join(other, ["sig", "size", "ring"]).where(ordered & (F.col("rx") != F.col("ry")) & _close(b)).select("x", "y"), rows)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -259,48 +255,36 @@ def _join_components(full: DataFrame, signatures: DataFrame, b: Bounds, few: int
     spark = full.sparkSession
     links = spark.createDataFrame([], "x bigint, y bigint")
     roots = spark.createDataFrame([], "node bigint, root bigint")
-    state = lambda rows: rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = lambda rows: rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    sigs = common.settle(signatures, "signatures")
-    for round_ in range(REFINED + 1):
-        rows = state(sigs)
-        groups = rows.groupBy("sig").agg(
-            F.count("*").alias("sets"), F.min(F.struct("odd", "node", "root")).alias("lead"), F.min("root").alias("lo"), F.max("root").alias("hi")
-        )
-        several_left = common.settle(rows.join(groups.where("lo <> hi").select("sig", "sets", "lead"), "sig"), "signatures")
-        common.release(sigs)
-        if several_left.isEmpty():
-            common.release(several_left)
-            return roots
-        if round_ == REFINED:
-            side = lambda c: several_left.select("sig", F.col("node").alias(c), F.col("root").alias(f"r{c}")).join(
-                full.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits_{c}")), c
-            )
-            pairs = side("x").join(side("y"), "sig").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & _close(b)).select("x", "y")
-            links = links.union(_linked(pairs, full, b))
-            common.release(several_left)
-            return components(links)
-        # of small signatures, those with the same sets are one group
-        members = several_left.where(F.col("sets") <= few).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("node", "root"))).alias("sets"))
-        other = lambda a, i: F.transform(F.slice("sets", i + 2, F.size("sets")), lambda z: F.struct(a.alias("a"), z.alias("b")))
-        pairs = members.select("sets").distinct().select(F.explode(F.flatten(F.transform("sets", other))).alias("p"))
-        pairs = pairs.where("p.a.root <> p.b.root").select(F.col("p.a.node").alias("x"), F.col("p.b.node").alias("y"))
-        large = several_left.where(F.col("sets") > few)
-        led = large.where("root <> lead.root").select(F.col("node").alias("x"), F.col("lead.node").alias("y"))
-        found = _linked(pairs.union(led), full, b)
+
+    def join(pairs: DataFrame) -> None:
+        nonlocal links, roots
+        found = _linked(pairs, full, b)
         if not found.isEmpty():
             links = links.union(found)
             before, roots = roots, components(links)
             common.release(before)
-        large = state(large.select("sig", "node", "odd", F.col("lead.node").alias("y")))
-        open_sigs = large.join(several(large), "sig", "left_semi").where("node <> y")
-        leads = common.settle(open_sigs.select(F.col("node").alias("x"), "y", "odd").distinct(), "leads")
-        common.release(several_left)
-        if leads.isEmpty():
-            common.release(leads)
-            return roots
-        sigs = _refined(leads, full, b)
-        common.release(leads)
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        """The groups (sig, node, odd) that hold several components, with root, number of sets and leader."""
+        rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        lead = F.min(F.struct("odd", "node", "root")).alias("lead")
+        groups = rows.groupBy("sig").agg(F.count("*").alias("sets"), lead, F.min("root").alias("lo"), F.max("root").alias("hi"))
+        return common.settle(rows.join(groups.where("lo <> hi").select("sig", "sets", "lead"), "sig"), "signatures")
+
+    sigs = still_open(signatures)
+    # of small signatures, those with the same sets are one group
+    members = sigs.where(F.col("sets") <= few).groupBy("sig").agg(F.array_sort(F.collect_list("node")).alias("sets"))
+    other = lambda x, i: F.transform(F.slice("sets", i + 2, F.size("sets")), lambda y: F.struct(x.alias("x"), y.alias("y")))
+    pairs = members.select("sets").distinct().select(F.explode(F.flatten(F.transform("sets", other))).alias("p")).select("p.x", "p.y")
+    large = sigs.where(F.col("sets") > few).select("sig", "node", "odd", F.col("lead.node").alias("leader"))
+    join(pairs.union(large.where("node <> leader").select(F.col("node").alias("x"), F.col("leader").alias("y"))))
+    opened = still_open(large.select("sig", "node", "odd")).select(F.col("lead.node").alias("sig"), "node", "odd").distinct()
+    common.release(sigs)
+    blocks = still_open(opened)
+    pairs = _ring_pairs(blocks, full, b)
+    join(pairs)
+    common.release(pairs, blocks)
+    return roots
 
 
 def _rooted(docs: DataFrame, words: int, least: tuple[int, int], rare: int, few: int) -> DataFrame:

@@ -64,11 +64,11 @@ def brute(rows, k, num, den):
     return sorted(((d, len(s), least.get(find(i), d)) for i, (d, s) in enumerate(sets)), key=str)
 
 
-@pytest.mark.parametrize(("k", "least", "rare", "seed"), [(3, (90, 100), 8, 1), (5, (4, 5), 2, 2), (2, (4, 5), 0, 4)])
-def test_components_equal_brute_force(spark, k, least, rare, seed):
+@pytest.mark.parametrize(("k", "least", "rare", "few", "seed"), [(3, (90, 100), 8, 16, 1), (5, (4, 5), 2, 3, 2), (2, (4, 5), 0, 2, 4)])
+def test_components_equal_brute_force(spark, k, least, rare, few, seed):
     rows = near_copies(seed)
     frame = spark.createDataFrame(rows, "doc_id long, text string, n_shingles string").repartition(3)
-    got = jaccard.jaccard_components(frame, k, least, rare)
+    got = jaccard.jaccard_components(frame, k, least, rare, few)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute(rows, k, *least)
 
 
