@@ -53,6 +53,8 @@ RARE = 8
 #: Up to so many sets of a signature are compared with each other.
 FEW = 16
 SKETCH_WORDS = 16
+#: Tables of at most so many rows of one or two longs are sent to all tasks; larger ones are joined by a shuffle.
+SENT_ROWS = 1_000_000
 
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
@@ -163,9 +165,14 @@ def _survivors(sets: DataFrame, b: Bounds) -> DataFrame:
     return hits.join(about, "node").where(F.col("hits") >= b.first(b.need(F.col("n")))).select("node", "key")
 
 
+def _sent(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= SENT_ROWS else table
+
+
 def _full_sets(keyed: DataFrame, survivors: DataFrame, words: int) -> DataFrame:
     """(node, n, tokens, bits) of the survivors, one row for each set."""
-    full = _sets(keyed.join(survivors.select("key"), "key", "left_semi"), words, lambda n: n, sketched=True).select("node", "n", "tokens", "bits")
+    wanted = _sent(survivors.select("key"), survivors.count())
+    full = _sets(keyed.join(wanted, "key", "left_semi"), words, lambda n: n, sketched=True).select("node", "n", "tokens", "bits")
     full = common.settle(full, "full-sets")
     if full.count() == survivors.count():
         return full
@@ -212,7 +219,8 @@ def _linked(pairs: DataFrame, full: DataFrame, b: Bounds) -> DataFrame:
     """The pairs (x, y) whose sets are similar enough; only those with close sketches are settled and compared whole."""
     close = common.settle(_sides(pairs.distinct(), full, "bits").where(_close(b)).select("x", "y"), "pairs")
     inter = F.size(F.array_intersect("tokens_x", "tokens_y"))
-    links = _sides(close, full, "tokens").where(b.den * inter >= b.num * (F.col("nx") + F.col("ny") - inter)).select("x", "y")
+    compared = _sent(close.select(F.explode(F.array("x", "y")).alias("node")), 2 * close.count())
+    links = _sides(close, full.join(compared, "node", "left_semi"), "tokens").where(b.den * inter >= b.num * (F.col("nx") + F.col("ny") - inter)).select("x", "y")
     links = common.settle(links, "links")
     common.release(close)
     return links
