@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -95,6 +95,28 @@ def flatten_json(text: str, prefix: str = "") -> list[tuple[str, str]]:
     return out
 
 
+def flatten_json_column(rows: DataFrame, column: str, depth: int = 8) -> DataFrame:
+    """``rows`` with one row per leaf of the JSON objects in ``column``: its dotted ``key`` and written ``value``.
+
+    Each step opens the objects of one level, so ``depth`` bounds how deep objects may be nested; lists are leaves.
+    """
+    kept = [c for c in rows.columns if c != column]
+    level = rows.select(*kept, F.lit("").alias("key"), F.parse_json(F.col(column)).alias("value"))
+    leaves = None
+    for _ in range(depth):
+        inner = level.select(*kept, F.col("key").alias("parent"), F.expr("cast(value as map<string, variant>)").alias("fields"))
+        inner = inner.select(*kept, "parent", F.explode("fields").alias("name", "value"))
+        key = F.when(F.col("parent") == "", F.col("name")).otherwise(F.concat_ws(".", "parent", "name"))
+        inner = inner.select(*kept, key.alias("key"), "value", F.schema_of_variant("value").startswith("OBJECT").alias("object"))
+        found = inner.where(~F.col("object")).drop("object")
+        leaves = found if leaves is None else leaves.unionByName(found)
+        level = inner.where("object").drop("object")
+    items = F.expr("cast(value as array<string>)")
+    text = F.when(F.schema_of_variant("value").startswith("ARRAY"), F.concat(F.lit("["), F.array_join(items, ", ", "null"), F.lit("]")))
+    text = text.otherwise(F.coalesce(F.expr("cast(value as string)"), F.lit("null")))
+    return leaves.select(*kept, "key", text.alias("value"))
+
+
 def required_downsample_level(points: int, budget: int = 256) -> int:
     """How often the number of points must be halved, rounding up, to fit the budget."""
     level = 0

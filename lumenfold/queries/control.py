@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions.display import clone_name, default_name
 from lumenfold.functions.numeric import ratio
 from lumenfold.operators import queue, rolling
+from lumenfold.plans import control
 from lumenfold.plans.control import EWMA_ALPHA
 from lumenfold.queries.registry import AS_OF, BATCHES, NODES, RUNS, SNAPSHOTS, TASKS, batches, nodes, query, rounded, runs, snapshots, table, tasks
 from lumenfold.sources.state import batch_ids
@@ -252,13 +253,12 @@ def throughput(spark, sf_dir):
 
 
 @query(f"""WITH {BATCHES} SELECT run_id, round(coalesce(count(*) FILTER (status = 'completed') / nullif(count(*), 0), 0), 6) AS completion,
-  round(coalesce(count(*) FILTER (status = 'failed' AND id < 0)::DOUBLE / nullif(count(*) FILTER (id < 0), 0), 0), 6) AS failures FROM b GROUP BY 1""")
+  round(coalesce(count(*) FILTER (status = 'failed')::DOUBLE / nullif(count(*) FILTER (status IN ('completed', 'failed')), 0), 0), 6) AS failures FROM b GROUP BY 1""")
 def ratio_metrics(spark, sf_dir):
     b = batches(spark, sf_dir).groupBy("run_id").agg(
-        F.count("*").alias("n"), F.count_if(F.col("status") == "completed").alias("c"),
-        F.count_if((F.col("status") == "failed") & (F.col("id") < 0)).alias("f"), F.count_if(F.col("id") < 0).alias("z"),
+        F.count("*").alias("n"), F.count_if(F.col("status") == "completed").alias("c"), F.count_if(F.col("status") == "failed").alias("f")
     )
-    return rounded(b.select("run_id", ratio(F.col("c"), F.col("n")).alias("completion"), ratio(F.col("f"), F.col("z")).alias("failures")))
+    return rounded(b.select("run_id", ratio(F.col("c"), F.col("n")).alias("completion"), ratio(F.col("f"), F.col("c") + F.col("f")).alias("failures")))
 
 
 @query("""WITH s AS (SELECT event_id, unnest([{'k': 'fetch', 'v': value}, {'k': 'evaluate', 'v': value * 3 - 20},
@@ -282,16 +282,33 @@ def task_names(spark, sf_dir):
   greatest(0, least(1024 - event_id % 1100, 16, greatest(0, ceil(ceil(CAST(json_extract(props, '$.k') AS DOUBLE) / 10) * 1.5)::BIGINT - user_id % 9)))::BIGINT AS batches FROM events""")
 def batch_plan(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("double")
-    evaluators = F.ceil(k / 10)
-    wanted = F.greatest(F.lit(0).cast("bigint"), F.ceil(evaluators * 1.5) - F.col("user_id") % 9)
-    n = F.greatest(F.lit(0).cast("bigint"), F.least(1024 - F.col("event_id") % 1100, F.lit(16).cast("bigint"), wanted))
-    return table(spark, sf_dir, "events").select("event_id", evaluators.cast("int").alias("evaluators"), n.cast("bigint").alias("batches"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.ceil(k / 10).cast("int").alias("evaluators"))
+    n = control.batches_to_produce_column(control.QueueLimits(queue_buffer=1.5), F.col("user_id") % 9, F.col("event_id") % 1100, F.col("evaluators"))
+    return e.select("event_id", "evaluators", n.alias("batches"))
+
+
+@query("""WITH p AS (SELECT event_id, (event_id % 17)::BIGINT AS batches, (16 + event_id % 500)::BIGINT AS size, (event_id * 37 % 9000)::BIGINT AS most FROM events),
+n AS (SELECT *, CASE WHEN batches <= 0 OR most = 0 THEN 0 WHEN most >= batches * size THEN batches ELSE least(batches, (most + size - 1) // size) END AS n FROM p)
+SELECT event_id, n AS planned, CASE WHEN n = 0 THEN 0 WHEN most >= batches * size THEN size ELSE most // n + most % n END AS first_size,
+  CASE WHEN n < 2 THEN 0 WHEN most >= batches * size THEN size ELSE most // n END AS other_size FROM n""")
+def batch_split(spark, sf_dir):
+    """Sizes of the batches that a tick inserts when what may still be produced is limited."""
+    i = F.col("event_id")
+    sizes = control.split_samples_column(i % 17, 16 + i % 500, i * 37 % 9000)
+    size = lambda at: F.coalesce(F.get("sizes", at), F.lit(0)).cast("bigint")
+    rows = table(spark, sf_dir, "events").select("event_id", sizes.alias("sizes"))
+    return rows.select("event_id", F.size("sizes").cast("bigint").alias("planned"), size(0).alias("first_size"), size(1).alias("other_size"))
 
 
 @query("""WITH p AS (SELECT event_id, (16 + event_id % 4081)::DOUBLE AS size, value / 100 AS ms FROM events WHERE value > 0)
 SELECT event_id, least(greatest(round(size * least(greatest(1500 / (ms * size), 0.25), 4.0)), 16), 65536)::BIGINT AS next_size FROM p""")
 def batch_size_controller(spark, sf_dir):
     size, ms = (16 + F.col("event_id") % 4081).cast("double"), F.col("value") / 100
-    factor = F.least(F.greatest(1500 / (ms * size), F.lit(0.25)), F.lit(4.0))
-    next_size = F.least(F.greatest(F.round(size * factor), F.lit(16.0)), F.lit(65536.0)).cast("bigint")
-    return table(spark, sf_dir, "events").where("value > 0").select("event_id", next_size.alias("next_size"))
+    return table(spark, sf_dir, "events").where("value > 0").select("event_id", control.next_batch_size_column(size, ms, 1500, 65536).alias("next_size"))
+
+
+@query("SELECT event_id, least(greatest(round((16 + event_id % 70000) * 0.25), 16), 16384)::BIGINT AS first_size FROM events")
+def batch_size_carried(spark, sf_dir):
+    """The first batch size of the task that follows one of the given size."""
+    return table(spark, sf_dir, "events").select("event_id", control.carried_batch_size_column(16 + F.col("event_id") % 70000, 16384).alias("first_size"))
+

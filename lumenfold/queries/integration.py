@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
 from lumenfold.functions.numeric import coprime_stride, cosine, is_finite, uniform
 from lumenfold.operators import evaluate, generate, observe, transform, vegas
 from lumenfold.operators.panels import unpermute
-from lumenfold.plans.control import TrainingWindow, training_rate
+from lumenfold.plans.control import TrainingWindow, training_rate_column
 from lumenfold.plans.domain import Continuous, nested, rectangular
 from lumenfold.plans.geometry import LineRaster, Linspace, PlaneRaster
 from lumenfold.queries.registry import query, rounded, table
@@ -171,7 +169,6 @@ def _peak(c):
     return F.exp(-20 * ((c[0] - 0.3) * (c[0] - 0.3) + (c[1] - 0.7) * (c[1] - 0.7)))
 
 
-@functools.lru_cache(4)
 def _trained(spark, windows: int) -> vegas.Training:
     start = vegas.Training(vegas.Grid.uniform(2, 32), seed=3, target=windows * 20_000, window=20_000, initial_rate=0.7, final_rate=0.3)
     return start.run(spark, lambda points: _peak(F.col("continuous")))
@@ -195,14 +192,15 @@ def vegas_inference(spark, sf_dir):
 
 @query("""SELECT range AS ingested, round(0.8 * power(0.1 / 0.8, least(range, 80) / 80.0), 9) AS geometric, round(0.0 + (0.5 - 0.0) * least(range, 80) / 80.0, 9) AS linear FROM range(101)""")
 def training_rate_schedule(spark, sf_dir):
-    rows = [(i, round(training_rate(0.8, 0.1, i, 80), 9), round(training_rate(0.0, 0.5, i, 80), 9)) for i in range(101)]
-    return spark.createDataFrame(rows, "ingested bigint, geometric double, linear double")
+    at = F.col("ingested")
+    rates = [F.round(training_rate_column(a, b, at, 80), 9).alias(name) for name, a, b in (("geometric", 0.8, 0.1), ("linear", 0.0, 0.5))]
+    return spark.range(101).select(F.col("id").alias("ingested")).select("ingested", *rates)
 
 
 @query("""SELECT a.range AS ingested, b.range AS pending, greatest(0, least(40 - a.range - b.range, 16 - a.range % 16)) AS budget FROM range(41) a, range(17) b""")
 def window_budget(spark, sf_dir):
-    w = TrainingWindow(40, 16)
-    return spark.createDataFrame([(i, p, w.budget(i, p)) for i in range(41) for p in range(17)], "ingested bigint, pending bigint, budget bigint")
+    cells = spark.range(41 * 17).select(F.floor(F.col("id") / 17).alias("ingested"), (F.col("id") % 17).alias("pending"))
+    return cells.select("ingested", "pending", TrainingWindow(40, 16).budget_column(F.col("ingested"), F.col("pending")).alias("budget"))
 
 
 @query("SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS norm, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 5) AS turned FROM embeddings")

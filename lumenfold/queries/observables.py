@@ -93,16 +93,20 @@ def full_extrema(spark, sf_dir):
     return table(spark, sf_dir, "events").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.max(size).alias("largest"))
 
 
-@query("""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n, sum(o_totalprice / 1e6) AS s, sum(o_totalprice / 1e6 * o_totalprice / 1e6) AS q FROM orders GROUP BY 1),
-c AS (SELECT day, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(q) OVER w AS q FROM d WINDOW w AS (ORDER BY day ROWS UNBOUNDED PRECEDING))
-SELECT CAST(day AS VARCHAR) AS day, CAST(n AS BIGINT) AS n, round(s / n, 6) AS mean, round(sqrt(greatest(q / n - (s / n) * (s / n), 0) / n), 6) AS stderr FROM c""")
+@query("""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS s,
+  sum(CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS DECIMAL(19, 2)) * CAST(o_totalprice AS DECIMAL(18, 2))) AS q FROM orders GROUP BY 1),
+c AS (SELECT day, CAST(sum(n) OVER w AS BIGINT) AS n, CAST(sum(s) OVER w AS DOUBLE) AS s, CAST(sum(q) OVER w AS DOUBLE) AS q FROM d WINDOW w AS (ORDER BY day ROWS UNBOUNDED PRECEDING))
+SELECT CAST(day AS VARCHAR) AS day, n, round(s / n) / 1e6 AS mean, round(sqrt(greatest(q / n - (s / n) * (s / n), 0) / n)) / 1e6 AS stderr FROM c""")
 def estimate_history_band(spark, sf_dir):
     day = F.col("o_orderdate").cast("date").cast("string").alias("day")
-    states = table(spark, sf_dir, "orders").groupBy(day).agg(*observe.scalar_partial(F.col("o_totalprice") / 1e6, F.lit(1.0)))
+    price = F.col("o_totalprice").cast("decimal(18,2)")  # decimals have the same sum in any order
+    states = table(spark, sf_dir, "orders").groupBy(day).agg(F.count("*").alias("n"), F.sum(price).alias("s"), F.sum(price * price).alias("q"))
     w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)  # one row per day, not per order
-    upto = states.select("day", *[F.sum(c).over(w).alias(c) for c in observe.SCALAR_STATE])
-    e = observe.scalar_estimate()
-    return observe.finalise(upto, {"mean": e["mean"], "stderr": e["stderr"]}, 6).select("day", F.col("count").alias("n"), "mean", "stderr")
+    upto = states.select("day", *[F.sum(c).over(w).cast(t).alias(c) for c, t in (("n", "bigint"), ("s", "double"), ("q", "double"))])
+    mean = F.col("s") / F.col("n")
+    spread = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)) / F.col("n"))
+    # rounded while halves are still exact
+    return upto.select("day", "n", (F.round(mean) / 1e6).alias("mean"), (F.round(spread) / 1e6).alias("stderr"))
 
 
 @query("""WITH d AS (SELECT l_shipmonth, count(*) AS n, avg(l_discount) AS m, greatest(avg(l_discount * l_discount) - avg(l_discount) * avg(l_discount), 0) AS v

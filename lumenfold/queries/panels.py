@@ -9,12 +9,13 @@ from lumenfold.operators import panels
 from lumenfold.queries.registry import query, rounded, table
 
 
-@query("""WITH o AS (SELECT event_id % 500 AS x, max(value) AS y FROM events WHERE event_id < 800 GROUP BY 1), n AS (SELECT event_id % 700 AS x, min(value) AS y FROM events
-  WHERE event_id >= 800 AND event_id % 3 = 0 GROUP BY 1) SELECT coalesce(n.x, o.x) AS x, coalesce(n.y, o.y) AS y FROM o FULL JOIN n ON n.x = o.x""")
+@query("""WITH o AS (SELECT event_id AS x, value AS y FROM events WHERE event_type <> 'error'), n AS (SELECT event_id AS x, value * 2 AS y FROM events WHERE event_type <> 'view')
+SELECT coalesce(n.x, o.x) AS x, coalesce(n.y, o.y) AS y FROM o FULL JOIN n ON n.x = o.x""")
 def series_merge(spark, sf_dir):
+    """Two whole series that overlap in part: the newer one's points replace the older one's at the same x."""
     e = table(spark, sf_dir, "events")
-    old = e.where("event_id < 800").groupBy((F.col("event_id") % 500).alias("x")).agg(F.max("value").alias("y"))
-    new = e.where("event_id >= 800 and event_id % 3 = 0").groupBy((F.col("event_id") % 700).alias("x")).agg(F.min("value").alias("y"))
+    old = e.where("event_type <> 'error'").select(F.col("event_id").alias("x"), F.col("value").alias("y"))
+    new = e.where("event_type <> 'view'").select(F.col("event_id").alias("x"), (F.col("value") * 2).alias("y"))
     return panels.merge_series(old, new)
 
 
@@ -106,10 +107,16 @@ def json_params(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.get_json_object("props", "$.grid").isNotNull().alias("has_grid"))
 
 
-@query("SELECT * FROM (VALUES ('kind', 'havana'), ('grid.bins', '64'), ('grid.rates', '[0.1, 0.2]'), ('seed', 'null'), ('queue.buffer.size', '1.5')) AS t(key, value)")
+_CONFIG = """'{"kind": "k' || user_id || '", "grid": {"bins": ' || event_id || ', "rates": [1, ' || user_id || ']}, "seed": null, "queue": {"buffer": {"size": ' || user_id || '}}}'"""
+
+
+@query(f"""WITH c AS (SELECT event_id, CAST({_CONFIG} AS JSON) AS c FROM events), l AS (SELECT event_id, unnest(['kind', 'grid.bins', 'grid.rates', 'seed', 'queue.buffer.size']) AS key, c FROM c)
+SELECT event_id, key, CASE key WHEN 'grid.rates' THEN '[' || array_to_string(json_extract_string(c, '$.grid.rates[*]'), ', ') || ']' WHEN 'seed' THEN 'null'
+  ELSE json_extract_string(c, '$.' || key) END AS value FROM l""")
 def json_flatten(spark, sf_dir):
-    text = '{"kind": "havana", "grid": {"bins": 64, "rates": [0.1, 0.2]}, "seed": null, "queue": {"buffer": {"size": 1.5}}}'
-    return spark.createDataFrame(display.flatten_json(text), "key string, value string")
+    """A column of nested configurations as dotted keys and written values."""
+    e = table(spark, sf_dir, "events").select("event_id", F.expr(_CONFIG).alias("config"))
+    return display.flatten_json_column(e, "config").select("event_id", "key", "value")
 
 
 @query("""WITH d AS (SELECT l_orderkey AS k, count(*) AS n, (sum(l_quantity) - 60) * 17 AS m, 3.0 * count(*) AS e FROM lineitem GROUP BY 1), s AS (SELECT *, greatest(abs(m), e) AS big FROM d),
@@ -122,7 +129,7 @@ def format_estimates(spark, sf_dir):
     return d.select("k", display.estimate_with_error(F.col("m"), F.col("e")).alias("text"))
 
 
-@query("""SELECT event_id, 'real' AS series, value AS y FROM events WHERE event_id < 600 UNION ALL SELECT event_id, 'imag', value * 2 FROM events WHERE event_id < 600""")
+@query("SELECT event_id, 'real' AS series, value AS y FROM events UNION ALL SELECT event_id, 'imag', value * 2 FROM events")
 def line_components(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_id < 600").select("event_id", F.col("value").alias("real"), (F.col("value") * 2).alias("imag"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("value").alias("real"), (F.col("value") * 2).alias("imag"))
     return rows.unpivot("event_id", ["real", "imag"], "series", "y")
