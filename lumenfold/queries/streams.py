@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from collections.abc import Callable
@@ -15,7 +16,11 @@ from lumenfold.streaming import ingest
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/lumenfold"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='lumenfold-')}"
     return f"{root.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
 
