@@ -64,3 +64,11 @@ def test_stages(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], DDL).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_secret_scan_keeps_columns_of_any_name(spark, tmp_path):
+    rows = [(1, 'password = "abcdefgh1234"', 0, "x", ["y"]), (2, None, 0, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, base string, candidates array<string>")
+    found = {r.doc_id: r for r in corpus_pipeline.secret_scan(spark, docs, str(tmp_path)).collect()}
+    assert (found[1].base, found[1].candidates, found[1].n_chars) == ("x", ["y"], len(found[1].text)) and "abcdefgh" not in found[1].text
+    assert found[2].text is None and found[2].base is None
