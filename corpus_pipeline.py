@@ -39,7 +39,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in the texts; ``n_chars`` follows the new text."""
     rows = secrets.scan(docs.select(F.struct(*docs.columns).alias("row"), "text"))  # a column of any name stays inside
-    text = secrets.redacted(F.col("text"), secrets.all_spans(secrets.thresholds(rows.select("base", "candidates"))))
+    text = secrets.redacted(F.col("text"), secrets.all_spans(secrets.thresholds(rows)))
     clean = rows.withColumn("text", text)
     row = F.col("row").withField("text", F.col("text")).withField("n_chars", F.length("text").cast("bigint"))
     return clean.select(row.alias("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -1,11 +1,21 @@
-"""Secret scanning: fixed patterns, and a battery of randomness tests on other long tokens.
+"""Secret scanning: fixed patterns, and a battery of randomness tests on every other long token.
 
 A token is a run of at least ``LEAST`` characters of the usual encodings. Its encoding (decimal, hexadecimal, base 32,
-alphanumeric, base 64) is inferred from its characters and gives each character a number. Three tests ask whether
-those numbers look random: chi-squared of four equal parts of the alphabet, runs above and below its middle, and
-lag-1 serial correlation; Fisher's method joins their p-values. Ordinary tokens fail. Which ones do is decided over
-the whole corpus, separately for each class of length, since power grows with length: Benjamini-Hochberg bounds the
-share of random tokens among those called ordinary by ``FDR``. What is not called ordinary is a secret.
+letters and digits, base 64) is inferred from its characters and gives each character a number. The battery asks two
+questions of a token:
+
+* Can it be random? Chi-squared over the whole inferred alphabet (with the exact mean and variance that it has in short
+  tokens), runs above and below the alphabet's middle, and lag-1 serial correlation; Fisher's method joins their
+  p-values. Below ``FLOOR_P`` the token has structure and is ordinary.
+* Can it be ordinary? Words and identifiers change rarely between small letters, capitals, digits and signs, and use
+  letters as prose does. The chance of as many runs of one kind is divided by the likelihood ratio of even letters
+  against those of prose, which gives a p-value again.
+
+A token that can be random is a secret if the second p-value is small enough for its class of length: Benjamini and
+Hochberg's rule, applied to all scored tokens of the corpus in that class, bounds the share of ordinary tokens among
+those called secrets by ``FDR``. Randomness has thus to be shown: short tokens, and numbers, for which every digit
+string looks alike, are not called secrets. The values of base spans are scored too, and count in that rule; the spans
+stay whatever their score.
 
 Everything is DataFrame expressions; the corpus-wide part is a histogram of p-values of a fixed size.
 
@@ -15,6 +25,7 @@ spans within one corpus; repeated rows give a row each; an empty table gives no
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Callable
 
@@ -30,21 +41,30 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 LEAST_ASSIGN = 8
 
-LEAST = 20
+LEAST = 12
 TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}"
 ENCODINGS = [
     ("decimal", r"^[0-9]+$", string.digits),
     ("hex", r"^[0-9a-f]+$", string.digits + "abcdef"),
     ("hex_upper", r"^[0-9A-F]+$", string.digits + "ABCDEF"),
     ("base32", r"^[A-Z2-7]+$", string.ascii_uppercase + "234567"),
+    ("lower", r"^[a-z0-9]+$", string.digits + string.ascii_lowercase),
+    ("upper", r"^[A-Z0-9]+$", string.digits + string.ascii_uppercase),
     ("alnum", r"^[A-Za-z0-9]+$", string.digits + string.ascii_uppercase + string.ascii_lowercase),
     ("base64", "", string.digits + string.ascii_uppercase + string.ascii_lowercase + "+/"),
 ]
+#: Letters a to z in ordinary prose, per thousand; rare ones at 10, since languages differ most in these.
+PROSE = (82, 15, 28, 43, 127, 22, 20, 61, 70, 10, 10, 40, 24, 67, 75, 19, 10, 60, 63, 91, 28, 10, 24, 10, 20, 10)
+#: What changes kind less often than this, per character, is ordinary.
+CHANGES = 0.25
+KIND_RUN = "[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]"
 FDR = 0.05
-#: Tokens below this p-value are ordinary whatever the corpus holds.
+#: Tokens that are random with a smaller p-value than this have structure.
 FLOOR_P = 1e-3
-LENGTH_CLASSES = (28, 40, 64)
+LENGTH_CLASSES = (16, 20, 28, 40, 64)
 P_BINS = 60
+#: Matches whose positions are summed in one go.
+BLOCK = 256
 SPAN = "struct<start:bigint,kind:int,end:bigint>"
 
 
@@ -58,11 +78,8 @@ def matches(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.array().cast("array<struct<start:bigint,end:bigint,match:string>>")
 
-    def walk(m: Column) -> Column:
-        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("bigint"))
-        steps = F.zip_with(m, gaps, lambda x, g: F.struct(g.alias("gap"), x.alias("match")))
-        steps = F.filter(steps, lambda s: s["match"].isNotNull())
-        first = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
+    def place(steps: Column, at: Column) -> Column:
+        first = F.struct(at.alias("at"), empty.alias("out"))
 
         def step(acc: Column, s: Column) -> Column:
             start = acc["at"] + s["gap"]
@@ -70,7 +87,18 @@ def matches(text: Column, pattern: str) -> Column:
             one = F.struct(start.alias("start"), end.alias("end"), s["match"].alias("match"))
             return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-        return F.aggregate(steps, first, step, lambda acc: acc["out"])
+        return F.aggregate(steps, first, step)
+
+    def walk(m: Column) -> Column:
+        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("bigint"))
+        steps = F.zip_with(m, gaps, lambda x, g: F.struct(g.alias("gap"), x.alias("match")))
+        steps = F.filter(steps, lambda s: s["match"].isNotNull())
+        # appending copies, so matches are placed block by block
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / BLOCK).cast("int")), lambda i: F.slice(steps, i * BLOCK + 1, BLOCK))
+        nested = F.array().cast("array<array<struct<start:bigint,end:bigint,match:string>>>")
+        begin = F.struct(F.lit(0).cast("bigint").alias("at"), nested.alias("out"))
+        join = lambda acc, b: let(place(b, acc["at"]), lambda p: F.struct(p["at"].alias("at"), F.concat(acc["out"], F.array(p["out"])).alias("out")))
+        return F.flatten(F.aggregate(blocks, begin, join)["out"])
 
     return F.when(text.rlike(pattern), let(found, walk)).otherwise(empty)
 
@@ -99,9 +127,12 @@ def _two_sided(z: Column) -> Column:
     return F.least(2 * _upper_tail(F.abs(z)), F.lit(1.0))
 
 
+def _body(token: Column) -> Column:
+    return F.regexp_replace(F.translate(token, "-_", "+/"), "=+$", "")
+
+
 def randomness(token: Column) -> Column:
-    """p-value of the battery: small if the token's characters are not random for its encoding."""
-    body = F.regexp_replace(F.translate(token, "-_", "+/"), "=+$", "")
+    """p-value of uniformity, runs and serial correlation: small if the token is not random for its encoding."""
 
     def alphabet(b: Column) -> Column:
         out = None
@@ -112,10 +143,12 @@ def randomness(token: Column) -> Column:
 
     def tests(x: Column) -> Column:
         n, k, v = F.size(x["v"]).cast("double"), x["k"].cast("double"), x["v"]
-        part = lambda i: F.size(F.filter(v, lambda a: F.floor(a * 4 / k) == i)).cast("double")
-        chi = sum((part(i) - n / 4) * (part(i) - n / 4) / (n / 4) for i in range(4))
-        # Wilson and Hilferty: the cube root of chi-squared over its degrees of freedom (3) is nearly normal
-        p_chi = _upper_tail((F.pow(chi / 3, F.lit(1 / 3)) - (1 - 2 / 27)) / (2 / 27) ** 0.5)
+        seen = F.transform(F.sequence(F.lit(0), x["k"] - 1), lambda i: F.size(F.filter(v, lambda a: a == i)).cast("double"))
+        squares = F.aggregate(seen, F.lit(0.0), lambda s, a: s + a * a)
+        chi = squares * k / n - n
+        # Wilson and Hilferty: the cube root of a gamma variable is nearly normal; mean k - 1, variance 2 (k - 1) (n - 1) / n
+        shape = (k - 1) * n / (2 * (n - 1))
+        p_chi = _upper_tail((F.pow(F.greatest(chi, F.lit(0.0)) / (k - 1), F.lit(1 / 3)) - 1 + 1 / (9 * shape)) * 3 * F.sqrt(shape))
         sides = F.transform(v, lambda a: (a * 2 >= k).cast("int"))
         high = F.aggregate(sides, F.lit(0), lambda s, a: s + a).cast("double")
         pairs = F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
@@ -138,14 +171,53 @@ def randomness(token: Column) -> Column:
         number = lambda a: F.transform(chars, lambda c: (F.position(c, a) - 1).cast("double"))
         return let(alphabet(b), lambda a: F.struct(F.length(a).alias("k"), number(a).alias("v")))
 
-    return let(body, lambda b: F.when(F.length(b) < LEAST, F.lit(0.0)).otherwise(let(numbers(b), tests)))
+    return let(_body(token), lambda b: F.when(F.length(b) < LEAST, F.lit(0.0)).otherwise(let(numbers(b), tests)))
+
+
+def ordinariness(token: Column) -> Column:
+    """p-value of the token being ordinary: small if it changes kind too often and its letters are too even."""
+    weights = F.array(*[F.lit(math.log(sum(PROSE) / 26 / n)) for n in PROSE])
+    # where only a to f occur, they are compared with the a to f of prose
+    narrow = math.log(sum(PROSE[:6]) / 6) - math.log(sum(PROSE) / 26)
+
+    def changes(x: Column) -> Column:
+        """The binomial tail, from the signed root of the deviance."""
+        n, s = x["n"], x["s"] - 0.5
+        apart = s * F.log(s / (n * CHANGES)) + (n - s) * F.log((n - s) / (n * (1 - CHANGES)))
+        return F.when(s > n * CHANGES, _upper_tail(F.sqrt(2 * apart))).otherwise(1.0)
+
+    def tests(b: Column) -> Column:
+        letters = F.filter(F.split(F.lower(b), ""), lambda c: c.between("a", "z"))
+        more = F.when(b.rlike("[g-zG-Z]"), 0.0).otherwise(narrow)
+        ratio = F.aggregate(letters, F.lit(0.0), lambda s, c: s + F.element_at(weights, F.ascii(c) - 96) + more)
+        runs = F.size(F.regexp_extract_all(b, F.lit(KIND_RUN), F.lit(0)))
+        kinds = F.struct((F.length(b) - 1).cast("double").alias("n"), (runs - 1).cast("double").alias("s"))
+        # a p-value divided by an independent likelihood ratio is a p-value again
+        return F.least(let(kinds, changes) * F.exp(-ratio), F.lit(1.0))
+
+    return let(_body(token), lambda b: F.when(F.length(b) < LEAST, F.lit(1.0)).otherwise(tests(b)))
+
+
+def evidence(token: Column) -> Column:
+    """p-value against the token being ordinary; 1 if it has structure, or if no threshold can ever admit it."""
+    return let(ordinariness(token), lambda p: F.when(p > FDR, F.lit(1.0)).when(randomness(token) < FLOOR_P, F.lit(1.0)).otherwise(p))
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """(start, end, p) of the tokens that no base span covers and that are not plain words."""
-    tokens = F.filter(matches(text, TOKEN), lambda m: m["match"].rlike("[0-9]") | m["match"].rlike("[a-z][A-Z].*[a-z][A-Z]"))
-    free = F.filter(tokens, lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return F.transform(free, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), randomness(m["match"]).alias("p")))
+    """(start, end, p) of the tokens that no base span covers."""
+    free = F.filter(matches(text, TOKEN), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    return F.transform(free, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), evidence(m["match"]).alias("p")))
+
+
+def base_scores(text: Column, base: Column) -> Column:
+    """(start, end, p) of the value in each base span."""
+
+    def score(b: Column) -> Column:
+        whole = F.substr(text, (b["start"] + 1).cast("int"), (b["end"] - b["start"]).cast("int"))
+        value = F.when(b["kind"] == 0, F.regexp_extract(whole, ASSIGN, 2)).otherwise(whole)
+        return let(value, lambda v: F.struct((b["end"] - F.length(v)).alias("start"), b["end"].alias("end"), evidence(v).alias("p")))
+
+    return F.transform(base, score)
 
 
 def _length_class(n: Column) -> Column:
@@ -156,17 +228,17 @@ def _length_class(n: Column) -> Column:
 
 
 def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[int, float]:
-    """For each class of length the p-value up to which a token is ordinary, by Benjamini and Hochberg's rule.
+    """For each class of length the p-value up to which a token is a secret, by Benjamini and Hochberg's rule.
 
     p-values are counted in ``P_BINS`` bins of their logarithm, each taken at its upper end.
     """
-    c = scanned.select(F.explode("candidates").alias("c")).select("c.*")
-    bins = F.least(F.floor(-6 * F.log10(F.greatest("p", F.lit(1e-10)))), F.lit(P_BINS)).cast("int")
+    c = scanned.select(F.explode(F.concat("candidates", "base_scores")).alias("c")).select("c.*")
+    bins = F.least(F.floor(-6 * F.log10(F.greatest("p", F.lit(1e-12)))), F.lit(P_BINS)).cast("int")
     counts = c.groupBy(_length_class(F.col("end") - F.col("start")).alias("class"), bins.alias("bin")).agg(F.count("*").alias("n")).collect()
     out = {}
     for k in range(len(LENGTH_CLASSES) + 1):  # a fixed number of classes and bins
         by_bin = {r["bin"]: r["n"] for r in counts if r["class"] == k}
-        total, upto, limit = sum(by_bin.values()), 0, FLOOR_P
+        total, upto, limit = sum(by_bin.values()), 0, 0.0
         for b in sorted(by_bin, reverse=True):
             upto += by_bin[b]
             p = 10 ** (-b / 6)
@@ -177,16 +249,21 @@ def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[int, float]:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``base`` spans and ``candidates``."""
+    """``docs`` with ``base`` spans, their ``base_scores``, and ``candidates``."""
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumn("base", base_spans(text)).withColumn("candidates", candidates(text, F.col("base")))
+    found = docs.withColumn("base", base_spans(text))
+    return found.withColumn("base_scores", base_scores(text, F.col("base"))).withColumn("candidates", candidates(text, F.col("base")))
 
 
-def all_spans(limits: dict[int, float]) -> Column:
-    """The base spans and the candidates beyond their length's threshold, by start and then kind."""
+def called(limits: dict[int, float], column: str) -> Column:
+    """Those of the scored tokens that their length's threshold calls secrets."""
     limit = lambda c: F.element_at(F.array(*[F.lit(limits[k]) for k in sorted(limits)]), _length_class(c["end"] - c["start"]) + 1)
-    found = F.filter("candidates", lambda c: c["p"] > limit(c))
-    return F.array_sort(F.concat("base", F.transform(found, _span(3))))
+    return F.filter(column, lambda c: c["p"] <= limit(c))
+
+
+def all_spans(limits: dict[int, float]) -> Column:
+    """The base spans and the candidates that are called secrets, by start and then kind."""
+    return F.array_sort(F.concat("base", F.transform(called(limits, "candidates"), _span(3))))
 
 
 def written(spans: Column) -> Column:
@@ -212,9 +289,12 @@ def op9_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scanned = common.settle(scan(docs).drop("text"), "secrets")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+    limits = thresholds(scanned)
     return scanned.select(
         "doc_id",
         *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])],
         F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        written(all_spans(thresholds(scanned))).alias("spans"),
+        written(all_spans(limits)).alias("spans"),
+        F.size("candidates").cast("bigint").alias("n_scored"),
+        F.size(called(limits, "base_scores")).cast("bigint").alias("n_base_random"),
     )

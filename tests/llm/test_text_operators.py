@@ -1,6 +1,7 @@
 """Language ID, quality rules, sharding and secrets against brute force in Python, and edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -166,14 +167,67 @@ def test_spans_equal_python(spark):
             assert r.clean.replace("[secret]", "") == left
 
 
+def tail(z):
+    return 1 / (1 + math.exp(1.5976 * min(max(z, -8), 8) + 0.07056 * min(max(z, -8), 8) ** 3))
+
+
+def battery_of(token):
+    """The battery in plain Python: (p-value of being random, p-value of being ordinary)."""
+    body = token.replace("-", "+").replace("_", "/").rstrip("=")
+    if len(body) < secrets.LEAST:
+        return 0.0, 1.0
+    letters = next(a for _, pattern, a in secrets.ENCODINGS if re.search(pattern, body))
+    v, n, k = np.array([letters.index(c) for c in body], float), len(body), len(letters)
+    chi = sum((body.count(c) - n / k) ** 2 / (n / k) for c in letters)
+    shape = (k - 1) * n / (2 * (n - 1))
+    p_chi = tail(((chi / (k - 1)) ** (1 / 3) - 1 + 1 / (9 * shape)) * 3 * shape**0.5)
+    side = v * 2 >= k
+    high = side.sum()
+    expect = 2 * high * (n - high) / n + 1
+    spread = (expect - 1) * (expect - 2) / (n - 1)
+    p_runs = min(1, 2 * tail(abs(1 + (side[1:] != side[:-1]).sum() - expect) / spread**0.5)) if spread > 0 else 1e-6
+    d = v - v.mean()
+    p_serial = min(1, 2 * tail(abs((d[1:] * d[:-1]).sum() / (d * d).sum() * n**0.5))) if (d * d).sum() > 0 else 1e-6
+    h = -math.log(p_chi * p_runs * p_serial)
+    m, s = n - 1, len(re.findall(secrets.KIND_RUN, body)) - 1.5
+    odd = 1.0
+    if s > m * secrets.CHANGES:
+        odd = tail((2 * (s * math.log(s / (m * secrets.CHANGES)) + (m - s) * math.log((m - s) / (m * (1 - secrets.CHANGES))))) ** 0.5)
+    few = secrets.PROSE if re.search("[g-zG-Z]", body) else secrets.PROSE[:6]
+    ratio = sum(math.log(sum(few) / len(few) / secrets.PROSE[ord(c) - 97]) for c in body.lower() if "a" <= c <= "z")
+    return min(1, math.exp(-h) * (1 + h + h * h / 2)), min(1, odd * math.exp(min(-ratio, 600)))
+
+
+ALPHABETS = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + "234567", "0123456789ABCDEF"]
+PLAIN = ["version-2024-release-notes-for-2025", "aaaaaaaaaa1111111111aaaaaaaaaa", "abcdefghijklmnopqrstuvwxyz0123456789", "chapter-one-section-2-part-three",
+         "internationalisation", "Donaudampfschifffahrtsgesellschaft", "4111111111111111", "4929173500128846", "+49-170-1234567-22", "getHttpResponseForUserById",
+         "2024-05-17/2025-01-02", "anticonstitutionnellement", "THE_LARGEST_CONSTANT_OF_ALL", "a1b1a1b1a1b1a1b1a1b1", "------------------", "============"]
+
+
+def test_battery_equals_python(spark):
+    rnd = random.Random(11)
+    tokens = PLAIN[:-1] + ["".join(rnd.choice(ALPHABETS[i % 4]) for _ in range(rnd.randint(1, 90))) for i in range(200)] + ["ab12" * 2000]
+    frame = spark.createDataFrame([(t,) for t in tokens], "t string")
+    for r in frame.select("t", secrets.randomness(F.col("t")).alias("a"), secrets.ordinariness(F.col("t")).alias("b")).collect():
+        assert (r.a, r.b) == (pytest.approx(battery_of(r.t)[0], rel=1e-6, abs=1e-12), pytest.approx(battery_of(r.t)[1], rel=1e-6, abs=1e-12)), r.t
+
+
 def test_battery_finds_random_tokens_only(spark):
     rnd = random.Random(6)
-    alphabets = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + "234567", "0123456789ABCDEF"]
-    plain = ["version-2024-release-notes-for-2025", "aaaaaaaaaa1111111111aaaaaaaaaa", "abcdefghijklmnopqrstuvwxyz0123456789", "chapter-one-section-2-part-three"]
-    docs = [(i, "see " + "".join(rnd.choice(alphabets[i % 4]) for _ in range(40)) + " here") for i in range(80)]
-    docs += [(100 + i, f"see {plain[i % 4]} here") for i in range(80)]
+    docs = [(i, "see " + "".join(rnd.choice(ALPHABETS[i % 4]) for _ in range(40)) + " here") for i in range(80)]
+    docs += [(1000 + i, f"see {PLAIN[i % len(PLAIN)]} here") for i in range(320)]
+    docs += [(2000 + i, "token=" + "".join(rnd.choice(ALPHABETS[i % 2]) for _ in range(40))) for i in range(40)] + [(3000, "password=helloworldhello")]
     frame = secrets.scan(spark.createDataFrame(docs, "doc_id long, text string"))
-    found = frame.select("doc_id", secrets.written(secrets.all_spans(secrets.thresholds(frame))).alias("spans")).collect()
-    hits = {r.doc_id for r in found if r.spans}
-    assert sum(i < 100 for i in hits) >= 72 and not any(i >= 100 for i in hits)
+    limits = secrets.thresholds(frame)
+    # the rule in plain Python, on the same p-values
+    scored = [(c.p, c.end - c.start) for r in frame.collect() for c in [*r.candidates, *r.base_scores]]
+    for k, (low, high) in enumerate(zip((0, *secrets.LENGTH_CLASSES), (*secrets.LENGTH_CLASSES, 10**9))):
+        ps = sorted(p for p, n in scored if low <= n < high)
+        exact = max((p for i, p in enumerate(ps) if p * len(ps) <= secrets.FDR * (i + 1)), default=0.0)
+        assert limits[k] <= exact * 10 ** (1 / 6) + 1e-9  # bins are taken at their upper ends
+    found = frame.select("doc_id", secrets.written(secrets.all_spans(limits)).alias("spans"), F.size(secrets.called(limits, "base_scores")).alias("n")).collect()
+    hits = {r.doc_id for r in found if r.spans and "random" in r.spans}
+    assert sum(i < 100 for i in hits) >= 72 and not any(i >= 100 for i in hits)  # recall of 0.9, no false alarm
+    assert all(r.spans for r in found if r.doc_id >= 2000)
+    assert sum(r.n for r in found if 2000 <= r.doc_id < 3000) >= 36 and not any(r.n for r in found if r.doc_id == 3000)
     assert secrets.scan(frame.select("doc_id", "text").limit(0)).count() == 0
