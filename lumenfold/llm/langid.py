@@ -10,8 +10,9 @@ over its language's mean is measured in units of ``FLOOR + 1 / sqrt(symbols)``,
 the largest calibrated excess are rejected.
 
 The models are fitted on a bounded sample: ``SAMPLE_DOCS`` labelled documents per language, of at most ``SAMPLE_CHARS``
-characters each, chosen by a hash of the id, and at most ``MAX_NGRAMS`` n-grams, the most frequent ones. Every
-document is scored whole.
+characters each, chosen by a hash of the id. All their n-grams are kept, so no language loses any to another; every
+fifth document calibrates, and a language of fewer than five is learnt from all of them. Every document is scored
+whole.
 
 Cases: a null text or one without letters is `und` with score 0 and is not rejected by the model; a null id is
 never held out and never learnt from; without any labelled document every text is `und`; ties between languages go
@@ -27,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +37,7 @@ from lumenfold.llm import common
 ORDER = 4
 SAMPLE_DOCS = 2000
 SAMPLE_CHARS = 20_000
-MAX_NGRAMS = 600_000
+#: Where a language has no n-grams of count one or two to estimate it from.
 DISCOUNT = 0.75
 FLOOR = 0.1
 SLACK = 1.5
@@ -148,6 +149,12 @@ class LanguageModels:
         return total / np.maximum(sizes, 1)[:, None], sizes, letters > 0
 
 
+def discount(n: np.ndarray) -> float:
+    """Absolute discount of a language's n-grams of one order, from how many have count one and two."""
+    ones, twos = int((n == 1).sum()), int((n == 2).sum())
+    return ones / (ones + 2 * twos) if ones and twos else DISCOUNT
+
+
 def kneser_ney(counts: pd.DataFrame, alphabet: str) -> LanguageModels:
     """Models from 4-gram counts (lang, code, n); lower orders use the counts of different continuations."""
     languages = sorted(counts["lang"].unique())
@@ -165,9 +172,9 @@ def kneser_ney(counts: pd.DataFrame, alphabet: str) -> LanguageModels:
     lower_codes, lower = np.arange(256, dtype=np.uint32), np.zeros((256, len(languages)))
     for j, lang in enumerate(languages):
         codes, n = levels[0][lang]
-        share = DISCOUNT * len(codes) / n.sum()
-        lower[:, j] = share / size
-        lower[codes, j] += (n - DISCOUNT) / n.sum()
+        less = discount(n)
+        lower[:, j] = less * len(codes) / n.sum() / size
+        lower[codes, j] += (n - less) / n.sum()
     model.grams.append(SortedHashes.of(lower_codes, np.log(lower)))
     for m in range(1, ORDER):
         union = np.unique(np.concatenate([levels[m][lang][0] for lang in languages]))
@@ -177,8 +184,9 @@ def kneser_ney(counts: pd.DataFrame, alphabet: str) -> LanguageModels:
             codes, n = levels[m][lang]
             context, first, kinds = np.unique(codes >> np.uint32(8), return_index=True, return_counts=True)
             sums = np.add.reduceat(n, first)
-            weights[np.searchsorted(contexts, context), j] = DISCOUNT * kinds / sums
-            here[np.searchsorted(union, codes), j] = (n - DISCOUNT) / np.repeat(sums, kinds)
+            less = discount(n)
+            weights[np.searchsorted(contexts, context), j] = less * kinds / sums
+            here[np.searchsorted(union, codes), j] = (n - less) / np.repeat(sums, kinds)
         suffix = np.searchsorted(lower_codes, union & np.uint32((1 << 8 * m) - 1))
         here += weights[np.searchsorted(contexts, union >> np.uint32(8))] * lower[suffix]
         model.grams.append(SortedHashes.of(union, np.log(here)))
@@ -192,21 +200,21 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, max_ngrams: int = MAX_NGRAMS) -> LanguageModels:
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> LanguageModels:
     """Models from the labelled documents that are not held out."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return LanguageModels([], "")
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample_docs / n)))])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    sample = common.settle(
-        usable.where((draw < share[F.col("lang")]) & (F.length("text") <= sample_chars))
-        .select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0).alias("calibrate")),
-        "langid-sample",
-    )
+    # drawn with a margin and then cut, so that no task orders more than a little above ``sample_docs`` rows of a language
+    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 1.25 * sample_docs / n)))])
+    hashed = F.xxhash64("doc_id")
+    drawn = usable.where((F.pmod(hashed, F.lit(1 << 20)) / float(1 << 20) < share[F.col("lang")]) & (F.length("text") <= sample_chars))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(hashed, "doc_id", "text"))
+    chosen = drawn.select("doc_id", "lang", "text", place.alias("place")).where(F.col("place") <= sample_docs)
+    sample = common.settle(chosen.select("lang", "text", (F.col("place") % 5 == 0).alias("calibrate")), "langid-sample")
     alphabet = _alphabet(sample)
-    model = kneser_ney(_counts(sample.where(~F.col("calibrate")), alphabet, max_ngrams), alphabet) if alphabet else LanguageModels([], "")
+    model = kneser_ney(_counts(sample.where(~F.col("calibrate")), alphabet), alphabet) if alphabet else LanguageModels([], "")
     if model.languages:
         _calibrate(model, sample.where("calibrate"))
     return model
@@ -218,7 +226,7 @@ def _alphabet(sample: DataFrame) -> str:
     return "".join(r["c"] for r in top if len(r["c"]) == 1 and r["c"].isalpha())[:254]
 
 
-def _counts(sample: DataFrame, alphabet: str, max_ngrams: int) -> pd.DataFrame:
+def _counts(sample: DataFrame, alphabet: str) -> pd.DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = alphabet_table(alphabet)
         for batch in batches:
@@ -228,7 +236,7 @@ def _counts(sample: DataFrame, alphabet: str, max_ngrams: int) -> pd.DataFrame:
                 yield pd.DataFrame({"lang": lang, "code": codes.astype(np.int64), "n": n})
 
     counted = sample.select("lang", "text").mapInPandas(count, "lang string, code bigint, n bigint")
-    return counted.groupBy("lang", "code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "code").limit(max_ngrams).toPandas()
+    return counted.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()  # bounded by the sample
 
 
 def _calibrate(model: LanguageModels, sample: DataFrame) -> None:
@@ -253,7 +261,7 @@ PREFIX = "langid_"
 
 def identify(docs: DataFrame, model: LanguageModels) -> DataFrame:
     """``docs`` with ``langid_pred``, ``langid_score``, ``langid_entropy`` and ``langid_rejected``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_ngrams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,6 +71,56 @@ def test_kneser_ney_sums_to_one():
         assert np.exp(model.log_probs(every)[:, 0]).sum() == pytest.approx(1, abs=1e-5)
 
 
+def kneser_ney_of(runs, size):
+    """Interpolated Kneser-Ney from dictionaries: probability of a symbol after up to three others."""
+    levels = [None, None, None, Counter()]
+    for r in runs:
+        for i in range(len(r)):
+            g = tuple(r[max(0, i - 3) : i + 1])
+            levels[3][(0,) * (4 - len(g)) + g] += 1
+    for m in (2, 1, 0):
+        levels[m] = Counter(g[1:] for g in levels[m + 1])
+
+    def prob(gram):
+        m = len(gram) - 1
+        counts = levels[m]
+        ones, twos = (sum(n == k for n in counts.values()) for k in (1, 2))
+        less = ones / (ones + 2 * twos) if ones and twos else langid.DISCOUNT
+        after = {g: n for g, n in counts.items() if g[:-1] == gram[:-1]}
+        below = prob(gram[1:]) if m else 1 / size
+        if not after:
+            return below
+        total = sum(after.values())
+        return max(counts.get(gram, 0) - less, 0) / total + less * len(after) / total * below
+
+    return prob
+
+
+def test_kneser_ney_equals_dictionaries():
+    import pandas as pd
+
+    rnd = random.Random(9)
+    text = " ".join("".join(rnd.choice("aabbbcd") for _ in range(rnd.randint(1, 6))) for _ in range(60))
+    symbols, _ = langid.to_symbols([text], langid.alphabet_table("abcd"))
+    codes, n = np.unique(langid.codes_of(symbols, 0, len(symbols)), return_counts=True)
+    model = langid.kneser_ney(pd.DataFrame({"lang": "x", "code": codes.astype(int), "n": n}), "abcd")
+    prob = kneser_ney_of([symbols.tolist()], 6)
+    for _ in range(300):
+        gram = tuple(rnd.randrange(6) for _ in range(4))
+        code = np.array([sum(x << 8 * (3 - i) for i, x in enumerate(gram))], dtype=np.uint32)
+        assert np.exp(model.log_probs(code)[0, 0]) == pytest.approx(prob(gram), rel=1e-4), gram
+
+
+def test_small_language_is_learnt_and_samples_are_bounded(spark):
+    few = [(20_000 + i, f"zzyzx qwvut xyzzy vutsq {i}", "aa", "x") for i in range(3)]
+    docs = spark.createDataFrame(corpus() + [r for r in few if zlib.crc32(str(r[0]).encode()) % 4 != 2], DDL)
+    for bound in (30, 2000):
+        model = langid.fit(docs, sample_docs=bound)
+        assert "aa" in model.languages
+        ask = spark.createDataFrame([(1, "xyzzy zzyzx qwvut")], "doc_id long, text string")
+        assert langid.identify(ask, model).first().langid_pred == "aa"
+
+
 def base_of(text):
     words = SPACE.findall(text or "")
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
