@@ -10,12 +10,13 @@ estimated from centred digits: digits of different paragraphs are independent, s
 sums grows with the number of paragraphs that only one of them has. Equal fingerprints have likeness 1.
 
 Everything is DataFrame expressions. Neighbours by descending id are found without ordering the table as a whole:
-ids are cut into ranges, and each range also gets the first row of the next one.
+rows are cut into ranges of ids, and each range also gets the first row of the next one. Ranges that hold too many rows
+are cut again, however unevenly ids lie; rows of one id, or of none, are cut by the hash of their text.
 
 Cases: a null text is an empty one, whose fingerprint is zero; two empty texts have likeness 1, an empty and another
-0; repeated rows and ids are neighbours in the order of their hashes; null ids come last; a single row is its own
-next; an empty table gives no rows; other columns are not read; a text with any number of paragraphs is summed
-in chunks, so that no sum overflows.
+0; repeated ids are neighbours in the order of their texts' hashes; null ids come last; rows that repeat an id and its
+text are interchangeable and stay in one range; a single row is its own next; an empty table gives no rows; other
+columns are not read; a text with any number of paragraphs is summed in chunks, so that no sum overflows.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ DIGIT_BITS = 3
 MODULUS = 1 << (LANES * LANE_BITS)
 #: Paragraphs whose sum stays in a long: (2^3 - 1) 2^45 each.
 CHUNK = 16_384
-#: Ranges of ids; each is one window of about N / RANGES rows.
+#: Parts that a range of ids is cut into; a range of over ``FULL`` times the rows of an even one is cut again.
 RANGES = 8192
+FULL = 4
 PARAGRAPH = r"\n+|(?<=[.!?])[ \t]+"
 _MASK = sum(((1 << DIGIT_BITS) - 1) << (LANE_BITS * i) for i in range(LANES))
 _WORDS = [f"w{i}" for i in range(SUMS)]
@@ -41,19 +43,19 @@ _WORDS = [f"w{i}" for i in range(SUMS)]
 
 def vector_of(paragraph: Column) -> list[Column]:
     """The words of a paragraph's vector; zero for an empty one."""
-    digest = F.xxhash64(paragraph, F.sha1(paragraph.cast("binary")))
+    digest = F.sha1(paragraph.cast("binary"))
     return [_word(digest, i) * (paragraph != "").cast("bigint") for i in range(SUMS)]
 
 
 def _word(digest: Column, i: int) -> Column:
-    return F.xxhash64(digest, F.lit(i)).bitwiseAND(_MASK)
+    return F.xxhash64(F.lit(i), digest).bitwiseAND(_MASK)  # the number comes first, so that words collide apart
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     """``keys`` and the fingerprint ``print`` (paragraphs, words) of each row; ``keys`` name rows uniquely."""
     split = texts.select(*keys, F.posexplode(F.split(F.coalesce(text, F.lit("")), PARAGRAPH)).alias("pos", "paragraph"))
     chunk = F.floor(F.col("pos") / CHUNK).alias("chunk")
-    one = split.select(*keys, chunk, F.col("paragraph").alias("p"), F.xxhash64("paragraph", F.sha1(F.col("paragraph").cast("binary"))).alias("digest"))
+    one = split.select(*keys, chunk, F.col("paragraph").alias("p"), F.sha1(F.col("paragraph").cast("binary")).alias("digest"))
     filled = (F.col("p") != "").cast("bigint")
     word = lambda i: F.sum(_word(F.col("digest"), i) * filled)
     sums = one.groupBy(*keys, "chunk").agg(F.sum(filled).alias("paragraphs"), *[word(i).alias(w) for i, w in enumerate(_WORDS)])
@@ -105,26 +107,55 @@ def written(fingerprint: Column) -> Column:
     return F.concat_ws(":", F.hex(fingerprint["paragraphs"]), F.array_join(F.transform(fingerprint["words"], lambda w: F.lpad(F.hex(w), 15, "0")), ""))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def _ranges(rows: DataFrame, parts: int) -> DataFrame:
+    """``rows`` (doc_id, text, h) with ``low``, the end of the range of ids, and ``part``, the part by hash in it.
+
+    Ids are placed as distances below the highest one, in decimals, since the span of two longs need not be one.
+    """
+    n, top, bottom = rows.agg(F.count("*"), F.max("doc_id"), F.min("doc_id")).first()
+    top, width = (0, 1) if top is None else (top, (top - bottom) // parts + 1)
+    number = lambda x: F.lit(str(x)).cast("decimal(20,0)")
+    below = number(top) - F.col("doc_id").cast("decimal(20,0)")
+    cut = lambda base, w: (base + F.floor((below - base) / w) * w).cast("decimal(20,0)")
+    rows = rows.withColumn("low", cut(number(0), number(width)))
+    most = max(FULL * n // parts, 1)
+
+    def overfull() -> DataFrame:
+        """The ranges of too many rows: at most parts / FULL, whatever the data, so they are listed on the driver."""
+        found = rows.groupBy("low").agg(F.count("*").alias("n")).where(F.col("n") > most).collect()
+        return rows.sparkSession.createDataFrame([(r["low"], -(-r["n"] // most)) for r in found], "full_low decimal(20,0), pieces bigint")
+
+    full = overfull()
+    while width > 1 and not full.where("full_low is not null").isEmpty():  # each step divides the width by ``parts``
+        width = (width - 1) // parts + 1
+        rows = rows.join(F.broadcast(full), F.col("low") == F.col("full_low"), "left")
+        finer = F.when(F.col("full_low").isNotNull(), cut(F.col("low"), number(width))).otherwise(F.col("low"))
+        rows = rows.select("doc_id", "text", "h", finer.alias("low"))
+        full = overfull()
+    rows = rows.join(F.broadcast(full), F.col("low").eqNullSafe(F.col("full_low")), "left")
+    # only ranges of one id, or of none, are still over-full
+    part = F.floor((F.col("h") / float(1 << 64) + 0.5) * F.coalesce("pieces", F.lit(1)))
+    return rows.select("doc_id", "text", "h", "low", F.least(part, F.coalesce("pieces", F.lit(1)) - 1).cast("int").alias("part"))
+
+
+def with_next(docs: DataFrame, parts: int = RANGES) -> DataFrame:
     """doc_id, text and the row's place (``range``, ``at``) and ``next_text`` in the order of descending ids.
 
     The first row of every range is also there at the end of the range before it, with ``extra``.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # as decimals: the span of two longs need not be one
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = (high - low) // RANGES + 1
-    place = F.coalesce(F.floor((F.lit(high).cast("decimal(20,0)") - F.col("doc_id")) / F.lit(width).cast("decimal(20,0)")).cast("int"), F.lit(RANGES))
-    rows = rows.select("doc_id", "text", place.alias("range"))
-    # one row per range, so windows over these need no partition and the join can be broadcast
-    ranges = rows.groupBy("range").agg(F.max("doc_id").alias("first_id"))
-    every = Window.orderBy("range")
-    before = F.coalesce(F.lag("range").over(every), F.max("range").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    ranges = ranges.select(F.col("range").alias("own"), "first_id", before.alias("before"))
-    firsts = rows.join(F.broadcast(ranges), (F.col("range") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    both = rows.withColumn("extra", F.lit(0)).union(firsts.select("doc_id", "text", "before", F.lit(1)))
-    order = Window.partitionBy("range").orderBy("extra", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    rows = _ranges(rows.withColumn("h", F.xxhash64("text")), parts)
+    rows = rows.withColumn("range", F.concat_ws(":", F.coalesce(F.col("low").cast("string"), F.lit("none")), "part"))
+    # a few rows per range, so windows over these need no partition and the join can be broadcast
+    first = F.max(F.struct("doc_id", F.bitwise_not("h").alias("g"))).alias("first")
+    ranges = rows.groupBy("range", "low", "part").agg(first)
+    every = Window.orderBy(F.col("low").asc_nulls_last(), "part")
+    before = F.coalesce(F.lag("range").over(every), F.last("range").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    ranges = ranges.select(F.col("range").alias("own"), F.col("first.doc_id").alias("first_id"), F.bitwise_not("first.g").alias("first_h"), before.alias("before"))
+    at_first = (F.col("range") == F.col("own")) & (F.col("h") == F.col("first_h")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    firsts = rows.join(F.broadcast(ranges), at_first)
+    both = rows.select("doc_id", "text", "h", "range", F.lit(0).alias("extra")).union(firsts.select("doc_id", "text", "h", "before", F.lit(1)))
+    order = Window.partitionBy("range").orderBy("extra", F.col("doc_id").desc_nulls_last(), "h")
     return both.select("doc_id", "text", "range", "extra", F.row_number().over(order).alias("at"), F.lead("text").over(order).alias("next_text"))
 
 

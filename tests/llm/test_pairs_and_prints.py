@@ -129,6 +129,25 @@ def test_fingerprint_rows(spark, tmp_path):
     assert abs(np.mean(gaps)) < 0.1 and np.std(gaps) < 0.25
 
 
+def test_next_row_under_uneven_ids(spark):
+    ids = [*range(600), 10**12, -(2**63), 2**63 - 1, *range(5 * 10**11, 5 * 10**11 + 300), *[77] * 400, *[None] * 500]
+    random.Random(4).shuffle(ids)
+    rows = [(d, f"text {i}") for i, d in enumerate(ids)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = fingerprints.with_next(frame, 512)
+    own = got.where("extra = 0").withColumn("h", F.xxhash64("text")).collect()
+    assert sorted(r.text for r in own) == sorted(t for _, t in rows)
+    order = sorted(own, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))
+    assert [r.next_text for r in order] == [r.text for r in order[1:] + order[:1]]
+    assert max(r["count"] for r in got.groupBy("range").count().collect()) < 60  # of 1,803 rows; one range held nearly all before
+    for few in (frame.limit(1), spark.createDataFrame([(None, None)], "doc_id long, text string")):
+        one = fingerprints.with_next(few).where("extra = 0").collect()
+        assert [r.next_text for r in one] == [r.text for r in one]
+    same = spark.createDataFrame([(1, "a")] * 3 + [(0, "b")], "doc_id long, text string")
+    assert sorted(r.next_text for r in fingerprints.with_next(same).where("extra = 0").collect()) == ["a", "a", "a", "b"]
+    assert fingerprints.with_next(frame.limit(0)).count() == 0
+
+
 def test_sums_insert_and_delete(spark):
     p = ["one.", "two.", "three.", "one."]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate([" ".join(p), "\n".join(reversed(p)), "one. two. three."])], "id long, t string")
