@@ -5,7 +5,10 @@ proportion to their urls that a rule allows and follows links; distrust starts a
 blocked urls and follows links backwards. A host is blocked where its distrust is more than ``THRESHOLD`` of the two.
 
 Host edges are the absolute links of a page, and a host and its parent domain both ways; they are counted per pair
-of hosts before anything is joined. Both walks advance in one join per step.
+of hosts before anything is joined. Both walks advance in one join per step. What reaches a host without a way out
+returns to the seeds: for a personalised walk that is the same as bringing the ranks to a sum of one at the end. After
+``STEPS`` steps the ranks are within 2 * DAMPING ** STEPS of the fixed point on any graph. Pages of a host that has
+more than one in ``HEAVY_PART`` of all pages are judged by broadcast; there are fewer than ``HEAVY_PART`` such hosts.
 
 Cases: a null url or one without ``://`` has an empty host and path, and is blocked as malformed; a host that no walk
 reaches is allowed; a null html has no links; repeated rows give a row each and count each in the seeds; an empty table gives
@@ -23,8 +26,9 @@ from pyspark.sql import functions as F
 from lumenfold.llm import common
 
 DAMPING = 0.85
-STEPS = 20
+STEPS = 40
 THRESHOLD = 0.5
+HEAVY_PART = 1000
 #: Steps after which ranks are written to the shared folder, which ends their lineage.
 CUT_EVERY = 10
 
@@ -120,10 +124,25 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, step
         rank = moved.union(back).groupBy("walk", "host").agg(F.sum("rank").alias("rank"))
         if step % CUT_EVERY == 0 and step < steps:
             rank = common.settle(rank, "host-ranks")
+    rank = common.settle(rank, "host-ranks")
+    total = rank.groupBy("walk").agg(F.sum("rank").alias("all"))  # two rows
+    rank = rank.join(F.broadcast(total), "walk").withColumn("rank", F.col("rank") / F.col("all"))
     mass = lambda walk: F.sum(F.when(F.col("walk") == walk, F.col("rank")).otherwise(0.0))
     return rank.groupBy("host").agg(mass(0).alias("trust"), mass(1).alias("distrust"))
 
 
+def with_ranks(rows: DataFrame, ranks: DataFrame, part: int = HEAVY_PART) -> DataFrame:
+    """``rows`` with the ranks of their hosts, null where no walk came; hosts of many rows are not shuffled."""
+    ranks = common.settle(ranks, "host-trust")
+    counts = rows.groupBy("host").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("all"))  # one row
+    heavy = counts.join(F.broadcast(total)).where(F.col("n") * part > F.col("all")).select("host").join(ranks, "host", "left")
+    heavy = common.settle(heavy, "heavy-hosts")  # fewer than `part` rows
+    hot = rows.join(F.broadcast(heavy), "host")
+    cold = rows.join(F.broadcast(heavy.select("host")), "host", "left_anti").join(ranks, "host", "left")
+    return hot.unionByName(cold)
+
+
 def filter_urls(pages: DataFrame, rules: list[Rule] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust."""
     rows = judged(pages, rules)
@@ -134,7 +153,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule] = RULES, threshold: float =
     )
     ranks = propagate(host_edges(pages), seeds)
     by_host = F.when(F.col("host") == "", BLOCK).when(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")), BLOCK).otherwise(ALLOW)
-    return rows.join(ranks, "host", "left").select(
+    return with_ranks(rows, ranks).select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
     )
