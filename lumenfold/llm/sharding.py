@@ -2,7 +2,8 @@
 
 Every record is hashed to one of ``SLOTS`` virtual slots, and bytes and rows are summed per slot. A versioned table
 maps slots to shards: version 1 deals the slots in turn, and each rebalancing writes a next version in which only
-some slots have another shard: those whose move evens out the bytes. Records never change their slot, so a
+some slots have another shard: those whose move evens out the bytes. With a ``store`` the map stays beside the data,
+and the next run edits its latest version instead of dealing anew; a version counts once it is written whole. Records never change their slot, so a
 rebalancing moves whole slots and needs no record to be hashed again. A record's place in its shard is the number of
 rows in the shard's lower slots plus its place in its own slot, so no shard is sorted as a whole.
 
@@ -85,14 +86,44 @@ def _nearest(ordered: list[tuple[int, int]], want: float) -> tuple[int, int] | N
     return min(ordered[max(0, at - 1) : at + 1], key=lambda x: abs(x[0] - want), default=None)
 
 
-def slot_map(rows: DataFrame, slots: int = SLOTS, shards: int = SHARDS) -> DataFrame:
-    """The stored map: version 1 as dealt, version 2 with the edits of a rebalancing by bytes."""
+def slot_map(rows: DataFrame, slots: int = SLOTS, shards: int = SHARDS, store: str | None = None) -> DataFrame:
+    """All versions of the map, after a next one with the edits of a rebalancing by the bytes of ``rows``.
+
+    ``store`` is a folder that keeps the versions; the first run deals version 1 there. Without one the map is dealt
+    anew and kept for the session. A stored map has to have been made for as many slots and shards.
+    """
+    spark = rows.sparkSession
     found = rows.groupBy("vslot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()  # at most SLOTS rows
     weight, count = {r["vslot"]: r["b"] for r in found}, {r["vslot"]: r["n"] for r in found}
-    dealt = first_map(slots, shards)
-    edited = dealt | rebalance(dealt, weight, shards)
-    versions = [(v, s, shard, weight.get(s, 0), count.get(s, 0)) for v, m in ((1, dealt), (2, edited)) for s, shard in m.items()]
-    return common.settle(rows.sparkSession.createDataFrame(versions, MAP_SCHEMA).coalesce(1), "slot-map")
+
+    def version(number: int, mapping: dict[int, int]) -> DataFrame:
+        held = [(number, s, shard, weight.get(s, 0), count.get(s, 0)) for s, shard in mapping.items()]
+        return spark.createDataFrame(held, MAP_SCHEMA).coalesce(1)
+
+    kept = stored_versions(spark, store) if store else []
+    if kept:
+        last = spark.read.schema(MAP_SCHEMA).parquet(f"{store}/v{kept[-1]}").collect()  # SLOTS rows
+        latest = {r["slot"]: r["shard"] for r in last}
+        if len(latest) != slots or not set(latest.values()) <= set(range(shards)):
+            raise ValueError(f"the map in {store} is not one of {slots} slots and {shards} shards")
+    else:
+        latest, kept = first_map(slots, shards), [1]
+        dealt = version(1, latest)
+        if store:
+            dealt.write.mode("overwrite").parquet(f"{store}/v1")
+    edited = version(kept[-1] + 1, latest | rebalance(latest, weight, shards))
+    if not store:
+        return common.settle(dealt.union(edited).coalesce(1), "slot-map")
+    edited.write.mode("overwrite").parquet(f"{store}/v{kept[-1] + 1}")
+    return spark.read.schema(MAP_SCHEMA).parquet(*(f"{store}/v{v}" for v in [*kept, kept[-1] + 1]))
+
+
+def stored_versions(spark: SparkSession, store: str) -> list[int]:
+    """The versions in ``store`` that were written whole, in order."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = files.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/v*/_SUCCESS"))
+    return sorted(int(f.getPath().getParent().getName()[1:]) for f in done or [])
 
 
 def assign(rows: DataFrame, mapping: DataFrame) -> DataFrame:

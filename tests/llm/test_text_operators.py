@@ -190,6 +190,24 @@ def test_bytes_law_and_places(spark):
     assert sharding.assign(empty, sharding.slot_map(empty)).count() == 0
 
 
+def test_stored_map_is_edited_by_the_next_run(spark, tmp_path):
+    store = f"file://{tmp_path}/map"
+    docs = lambda n, size: spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), size).alias("text"))
+    rows = sharding.records(docs(3000, F.col("id").cast("int") % 50), 256)
+    first = {r["slot"]: r["shard"] for r in sharding.slot_map(rows, 256, 4, store).where("version = 2").collect()}
+    assert sharding.stored_versions(spark, store) == [1, 2]
+    more = sharding.records(docs(9000, F.when(F.col("id") % 7 == 0, 900).otherwise(3)), 256)
+    mapping = sharding.slot_map(more, 256, 4, store)
+    assert sharding.stored_versions(spark, store) == [1, 2, 3]
+    second = {r["slot"]: r["shard"] for r in mapping.where("version = 3").collect()}
+    moved = sum(first[s] != second[s] for s in first)
+    assert 0 < moved < 128, "an edit moves some slots, a fresh deal would move most"
+    load = [r["b"] for r in sharding.assign(more, mapping).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert max(load) - min(load) < 0.01 * sum(load) / 4
+    with pytest.raises(ValueError):
+        sharding.slot_map(rows, 256, 3, store)
+
+
 def secrets_of(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 8]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
