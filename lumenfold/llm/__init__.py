@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lumenfold.llm import bpe, fingerprints, jaccard, langid, licenses, masked_lm, packing, quality, secrets, sharding, urls
+from lumenfold.llm import bpe, fingerprints, jaccard, langid, licenses, masked_lm, packing, quality, secrets, sharding, urls, whitening
 
 QUERIES: dict[str, Callable] = {
     "op1_kneser_ney_langid": langid.op1_kneser_ney_langid,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable] = {
     "op8_virtual_slots": sharding.op8_virtual_slots,
     "op9_randomness_battery": secrets.op9_randomness_battery,
     "op10_tree_bpe": bpe.op10_tree_bpe,
+    "op12_bidiagonal_whitening": whitening.op12_bidiagonal_whitening,
     "op13_containment_join": licenses.op13_containment_join,
 }
 
