@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lumenfold.llm import bpe, fingerprints, jaccard, langid, licenses, masked_lm, packing, quality, secrets, sharding, urls, whitening
+from lumenfold.llm import bpe, fingerprints, jaccard, langid, licenses, masked_lm, packing, quality, secrets, sharding, trie, urls, whitening
 
 QUERIES: dict[str, Callable] = {
     "op1_kneser_ney_langid": langid.op1_kneser_ney_langid,
@@ -17,8 +17,9 @@ QUERIES: dict[str, Callable] = {
     "op8_virtual_slots": sharding.op8_virtual_slots,
     "op9_randomness_battery": secrets.op9_randomness_battery,
     "op10_tree_bpe": bpe.op10_tree_bpe,
+    "op11_centroid_trie": trie.op11_centroid_trie,
     "op12_bidiagonal_whitening": whitening.op12_bidiagonal_whitening,
     "op13_containment_join": licenses.op13_containment_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_token_combinations": jaccard.ORACLE, "op13_containment_join": licenses.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op7_token_combinations": jaccard.ORACLE, "op11_centroid_trie": trie.ORACLE, "op13_containment_join": licenses.ORACLE}
