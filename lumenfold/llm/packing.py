@@ -3,11 +3,12 @@
 Lengths fall into reciprocal-capacity classes: class k holds documents of more than C/(k+1) and at most C/k tokens,
 and a bin of class k takes exactly k of them, in order of arrival. Every Spark task fills its own bins, so nothing
 is exchanged between workers. The room that a full bin leaves is closed with a cut from a *filler* document: one
-longer than a sequence, which has to be cut anyway, or one too short for the classes. If bins wait for too long the
-next document of any length becomes filler. What remains at the end of a partition is cut at powers of two, which
-need no padding, so no sequence is padded.
+longer than a sequence, which has to be cut anyway, or one too short for the classes. Every document of a class goes to
+a bin of its class, at any time. Where filler is scarce full bins wait for it; while they hold more than ``HELD`` tokens
+together, the fullest of them are closed by taking the emptiest apart, whose documents fill the others' room. What remains
+at the end of a partition is cut at powers of two, which need no padding, so no sequence is padded.
 
-Memory is bounded: at most k-1 documents per class, ``WAITING`` open bins and about ``BACKLOG`` filler sequences.
+Memory is bounded: at most k-1 documents per class, waiting bins of ``HELD`` tokens and about ``BACKLOG`` filler sequences.
 
 Cases: a null or empty text is one token (the end id); repeated rows are packed each; an empty table gives no rows;
 other columns of the input are neither read nor returned; a text of any length is cut, never dropped. Sequence ids
@@ -16,6 +17,7 @@ depend on the partition and the order of rows in it, as a file scan fixes them.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -29,7 +31,8 @@ from lumenfold.llm import common, tokens
 
 CAPACITY = 4096
 CLASSES = 16
-WAITING = 32
+#: Tokens of full bins that wait for filler, of four bytes each.
+HELD = 1 << 22
 BACKLOG = 16
 END_ID = 2
 
@@ -49,10 +52,12 @@ class _Rest:
 class HarmonicPacker:
     """Packs the documents of one partition; ``rows`` collects finished pieces."""
 
-    def __init__(self, first_sequence: int, capacity: int = CAPACITY, classes: int = CLASSES):
+    def __init__(self, first_sequence: int, capacity: int = CAPACITY, classes: int = CLASSES, held: int = HELD):
+        self.most, self.order = held, 0
         self.capacity, self.classes = capacity, classes
         self.open: list[list[_Rest]] = [[] for _ in range(classes + 1)]
-        self.waiting: deque[tuple[list[_Rest], int]] = deque()
+        self.waiting: list[tuple[int, int, list[_Rest]]] = []  # a heap: least room first
+        self.held = 0
         self.filler: deque[_Rest] = deque()
         self.filler_tokens = 0
         self.sequence = first_sequence
@@ -61,24 +66,27 @@ class HarmonicPacker:
     def add(self, doc_id, ids: bytes) -> None:
         doc = _Rest(doc_id, ids)
         k = self.capacity // doc.n
-        if not 1 <= k <= self.classes or len(self.waiting) >= WAITING:
+        if not 1 <= k <= self.classes:
             self._add_filler(doc)
             return
         group = self.open[k]
         group.append(doc)
         if len(group) == k:
             self.open[k] = []
-            self.waiting.append((group, sum(d.n for d in group)))
+            used = sum(d.n for d in group)
+            self.order += 1
+            heapq.heappush(self.waiting, (self.capacity - used, self.order, group))
+            self.held += used
             self._close_bins()
+            while self.held > self.most:
+                self._take_apart()
 
     def finish(self) -> None:
         for group in self.open:
             for doc in group:
                 self._add_filler(doc)
-        while self.waiting:  # no filler is left: a bin is taken apart to close the others
-            group, _ = self.waiting.pop()
-            for doc in group:
-                self._add_filler(doc)
+        while self.waiting:  # no filler is left
+            self._take_apart()
         while self.filler_tokens:
             take = min(self.capacity, 1 << (self.filler_tokens.bit_length() - 1))
             self._emit(self._cut(take))
@@ -91,9 +99,21 @@ class HarmonicPacker:
             self._emit(self._cut(self.capacity))
 
     def _close_bins(self) -> None:
-        while self.waiting and self.capacity - self.waiting[0][1] <= self.filler_tokens:
-            group, used = self.waiting.popleft()
-            self._emit([(d, 0, d.n) for d in group] + self._cut(self.capacity - used))
+        while self.waiting and self.waiting[0][0] <= self.filler_tokens:
+            room, _, group = heapq.heappop(self.waiting)
+            self.held -= self.capacity - room
+            self._emit([(d, 0, d.n) for d in group] + self._cut(room))
+
+    def _take_apart(self) -> None:
+        """The waiting bin with the most room becomes filler for the others."""
+        at = max(range(len(self.waiting)), key=self.waiting.__getitem__)
+        room, _, group = self.waiting[at]
+        self.waiting[at] = self.waiting[-1]
+        self.waiting.pop()
+        heapq.heapify(self.waiting)
+        self.held -= self.capacity - room
+        for doc in group:
+            self._add_filler(doc)
 
     def _cut(self, room: int) -> list[tuple[_Rest, int, int]]:
         pieces = []

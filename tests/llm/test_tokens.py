@@ -106,10 +106,27 @@ def test_classes_hold_fixed_counts():
     assert sum(x.count(True) == 3 for x in whole.values()) > 50
 
 
-def test_memory_stays_bounded():
+def test_documents_of_a_class_are_never_filler():
+    """However many bins wait: documents of class 3 alone, and long ones at the end to fill their room."""
     packer = packing.HarmonicPacker(0)
+    for i in range(1200):
+        packer.add(i, bytes(4 * 1100))
+    assert len(packer.waiting) == 400 and not packer.filler_tokens and not packer.rows
+    for i in range(200):
+        packer.add(5000 + i, bytes(4 * 5000))
+    packer.finish()
+    whole = {}
+    for doc_id, _, n, _, total, sequence, _ in packer.rows:
+        if doc_id < 5000:
+            assert n == total
+            whole[sequence] = whole.get(sequence, 0) + 1
+    assert set(whole.values()) == {3}
+
+
+def test_memory_stays_bounded():
+    packer = packing.HarmonicPacker(0, held=64 * packing.CAPACITY)
     for i in range(2000):
         packer.add(i, bytes(4 * (300 + 37 * i % 3800)))
         packer.rows.clear()
-        assert len(packer.waiting) <= packing.WAITING + 1
+        assert packer.held == sum(d.n for _, _, group in packer.waiting for d in group) <= 64 * packing.CAPACITY
         assert packer.filler_tokens <= packing.BACKLOG * packing.CAPACITY + 4096
