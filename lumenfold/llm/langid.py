@@ -1,7 +1,7 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-Text becomes symbols: letters in lower case (at most 254 kinds, the others share one symbol), and one boundary symbol
-for each run of anything else. Every language has a 4-gram Kneser-Ney model; all languages share one sorted array of
+Text becomes symbols of ``BITS`` bits: letters in lower case, which are more kinds than any script has (those beyond the
+65,534 most frequent share one symbol), and one boundary symbol for each run of anything else. Every language has a 4-gram Kneser-Ney model; all languages share one sorted array of
 n-gram hashes per order, with a row of log probabilities per hash, so a position costs one binary search. The
 prediction is the language of the lowest cross-entropy per symbol.
 
@@ -35,6 +35,8 @@ from pyspark.sql import types as T
 from lumenfold.llm import common
 
 ORDER = 4
+BITS = 16
+LETTERS = (1 << BITS) - 2
 SAMPLE_DOCS = 2000
 SAMPLE_CHARS = 20_000
 #: Where a language has no n-grams of count one or two to estimate it from.
@@ -45,7 +47,7 @@ LEAST_EXCESS = 4.0
 #: Symbols beyond which the score no longer sharpens.
 SCORE_SYMBOLS = 60
 _CHUNK = 500_000
-_MIX = np.uint32(0x9E3779B1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 UNDETERMINED = "und"
 
 
@@ -63,9 +65,9 @@ def _letters() -> np.ndarray:
 def alphabet_table(symbols: str) -> np.ndarray:
     """Code point to symbol: 0 boundary, 1 any other letter, 2.. the given lower-case letters."""
     lower = _letters()
-    ids = np.ones(0x110000, dtype=np.uint8)
+    ids = np.ones(0x110000, dtype=np.uint16)
     ids[0] = 0
-    for i, c in enumerate(symbols[:254]):
+    for i, c in enumerate(symbols[:LETTERS]):
         ids[ord(c)] = i + 2
     return ids[lower]
 
@@ -84,16 +86,21 @@ def to_symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def codes_of(symbols: np.ndarray, begin: int, end: int) -> np.ndarray:
-    """The 4-gram that ends at each position of [begin, end), one byte per symbol."""
-    padded = symbols[max(0, begin - ORDER + 1) : end].astype(np.uint32)
-    padded = np.concatenate((np.zeros(ORDER - 1 - min(begin, ORDER - 1), dtype=np.uint32), padded))
+    """The 4-gram that ends at each position of [begin, end), ``BITS`` bits per symbol."""
+    padded = symbols[max(0, begin - ORDER + 1) : end].astype(np.uint64)
+    padded = np.concatenate((np.zeros(ORDER - 1 - min(begin, ORDER - 1), dtype=np.uint64), padded))
     n = end - begin
     out = padded[ORDER - 1 : ORDER - 1 + n].copy()
     for back in range(1, ORDER):
-        out |= padded[ORDER - 1 - back : ORDER - 1 - back + n] << np.uint32(8 * back)
+        out |= padded[ORDER - 1 - back : ORDER - 1 - back + n] << np.uint64(BITS * back)
     return out
 
 
+def _low(symbols: int) -> np.uint64:
+    """Mask of the last symbols of a code."""
+    return np.uint64((1 << BITS * symbols) - 1)
+
+
 @dataclass
 class SortedHashes:
     """Rows by hash: a sorted array of hashes and a matrix with one column per language."""
@@ -103,7 +110,7 @@ class SortedHashes:
 
     @classmethod
     def of(cls, codes: np.ndarray, rows: np.ndarray) -> SortedHashes:
-        hashes = codes.astype(np.uint32) * _MIX  # odd, so different codes keep different hashes
+        hashes = codes.astype(np.uint64) * _MIX  # odd, so different codes keep different hashes
         order = np.argsort(hashes)
         return cls(hashes[order], np.ascontiguousarray(rows[order], dtype=np.float32))
 
@@ -129,8 +136,8 @@ class LanguageModels:
         if order > 1 and not hit.all():
             miss = np.flatnonzero(~hit)
             rest = codes[miss]
-            lower = self.log_probs(rest & np.uint32((1 << 8 * (order - 1)) - 1), order - 1)
-            at, seen = self.backoff[order - 2].find(rest >> np.uint32(8))
+            lower = self.log_probs(rest & _low(order - 1), order - 1)
+            at, seen = self.backoff[order - 2].find(rest >> np.uint64(BITS))
             lower[seen] += self.backoff[order - 2].rows[at[seen]]
             out[miss] = lower
         return out
@@ -161,34 +168,34 @@ def kneser_ney(counts: pd.DataFrame, alphabet: str) -> LanguageModels:
     levels: list[dict[str, tuple[np.ndarray, np.ndarray]]] = [{} for _ in range(ORDER)]
     for lang in languages:
         own = counts[counts["lang"] == lang]
-        codes, n = own["code"].to_numpy(np.uint32), own["n"].to_numpy(np.float64)
+        codes, n = own["code"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(np.float64)
         order = np.argsort(codes)
         levels[ORDER - 1][lang] = codes[order], n[order]
         for m in range(ORDER - 1, 0, -1):
-            below, kinds = np.unique(levels[m][lang][0] & np.uint32((1 << 8 * m) - 1), return_counts=True)
+            below, kinds = np.unique(levels[m][lang][0] & _low(m), return_counts=True)
             levels[m - 1][lang] = below, kinds.astype(np.float64)
     model = LanguageModels(languages, alphabet)
     size = len(alphabet) + 2
-    lower_codes, lower = np.arange(256, dtype=np.uint32), np.zeros((256, len(languages)))
+    lower_codes, lower = np.arange(size, dtype=np.uint64), np.zeros((size, len(languages)))
     for j, lang in enumerate(languages):
         codes, n = levels[0][lang]
         less = discount(n)
         lower[:, j] = less * len(codes) / n.sum() / size
-        lower[codes, j] += (n - less) / n.sum()
+        lower[codes.astype(np.int64), j] += (n - less) / n.sum()
     model.grams.append(SortedHashes.of(lower_codes, np.log(lower)))
     for m in range(1, ORDER):
         union = np.unique(np.concatenate([levels[m][lang][0] for lang in languages]))
-        contexts = np.unique(union >> np.uint32(8))
+        contexts = np.unique(union >> np.uint64(BITS))
         here, weights = np.zeros((len(union), len(languages))), np.ones((len(contexts), len(languages)))
         for j, lang in enumerate(languages):
             codes, n = levels[m][lang]
-            context, first, kinds = np.unique(codes >> np.uint32(8), return_index=True, return_counts=True)
+            context, first, kinds = np.unique(codes >> np.uint64(BITS), return_index=True, return_counts=True)
             sums = np.add.reduceat(n, first)
             less = discount(n)
             weights[np.searchsorted(contexts, context), j] = less * kinds / sums
             here[np.searchsorted(union, codes), j] = (n - less) / np.repeat(sums, kinds)
-        suffix = np.searchsorted(lower_codes, union & np.uint32((1 << 8 * m) - 1))
-        here += weights[np.searchsorted(contexts, union >> np.uint32(8))] * lower[suffix]
+        suffix = np.searchsorted(lower_codes, union & _low(m))
+        here += weights[np.searchsorted(contexts, union >> np.uint64(BITS))] * lower[suffix]
         model.grams.append(SortedHashes.of(union, np.log(here)))
         model.backoff.append(SortedHashes.of(contexts, np.log(weights)))
         lower_codes, lower = union, here
@@ -222,8 +229,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAM
 
 def _alphabet(sample: DataFrame) -> str:
     letters = sample.select(F.explode(F.split(F.lower("text"), "")).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
-    top = letters.orderBy(F.desc("n"), "c").limit(2000).collect()
-    return "".join(r["c"] for r in top if len(r["c"]) == 1 and r["c"].isalpha())[:254]
+    found = letters.orderBy(F.desc("n"), "c").collect()  # no more than there are code points
+    return "".join(r["c"] for r in found if len(r["c"]) == 1 and r["c"].isalpha())[:LETTERS]
 
 
 def _counts(sample: DataFrame, alphabet: str) -> pd.DataFrame:
@@ -233,7 +240,7 @@ def _counts(sample: DataFrame, alphabet: str) -> pd.DataFrame:
             for lang, own in batch.groupby("lang"):
                 symbols, _ = to_symbols(list(own["text"]), table)
                 codes, n = np.unique(codes_of(symbols, 0, len(symbols)), return_counts=True)
-                yield pd.DataFrame({"lang": lang, "code": codes.astype(np.int64), "n": n})
+                yield pd.DataFrame({"lang": lang, "code": codes.view(np.int64), "n": n})
 
     counted = sample.select("lang", "text").mapInPandas(count, "lang string, code bigint, n bigint")
     return counted.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()  # bounded by the sample

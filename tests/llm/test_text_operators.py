@@ -59,6 +59,10 @@ def test_language_without_labels(spark):
         assert [r.langid_pred for r in langid.identify(frame, langid.fit(frame)).collect()] == ["und"] * frame.count()
 
 
+def code_of(gram):
+    return sum(x << langid.BITS * (3 - i) for i, x in enumerate(gram))
+
+
 def test_kneser_ney_sums_to_one():
     import pandas as pd
 
@@ -66,8 +70,8 @@ def test_kneser_ney_sums_to_one():
     symbols, _ = langid.to_symbols(["abc abca cab", "bca acb aab"], table)
     codes, n = np.unique(langid.codes_of(symbols, 0, len(symbols)), return_counts=True)
     model = langid.kneser_ney(pd.DataFrame({"lang": "x", "code": codes.astype(int), "n": n}), "abc")
-    for context in (0x00020304, 0x00040302, 0x00000002, 0x00020202):
-        every = (np.uint32(context << 8) + np.arange(5)).astype(np.uint32)
+    for context in ((2, 3, 4), (4, 3, 2), (0, 0, 2), (2, 2, 2)):
+        every = np.uint64(code_of((*context, 0))) + np.arange(5, dtype=np.uint64)
         assert np.exp(model.log_probs(every)[:, 0]).sum() == pytest.approx(1, abs=1e-5)
 
 
@@ -107,7 +111,7 @@ def test_kneser_ney_equals_dictionaries():
     prob = kneser_ney_of([symbols.tolist()], 6)
     for _ in range(300):
         gram = tuple(rnd.randrange(6) for _ in range(4))
-        code = np.array([sum(x << 8 * (3 - i) for i, x in enumerate(gram))], dtype=np.uint32)
+        code = np.array([code_of(gram)], dtype=np.uint64)
         assert np.exp(model.log_probs(code)[0, 0]) == pytest.approx(prob(gram), rel=1e-4), gram
 
 
@@ -121,6 +125,19 @@ def test_small_language_is_learnt_and_samples_are_bounded(spark):
         assert langid.identify(ask, model).first().langid_pred == "aa"
 
 
+def test_scripts_of_many_letters_are_told_apart(spark):
+    """Two languages that share their frequent letters and differ in thousands of rare ones."""
+    rnd = random.Random(5)
+    rare = {"aa": range(0x4E00, 0x4E00 + 1500), "bb": range(0x6000, 0x6000 + 1500)}
+    text = lambda lang: "".join(rnd.choice("的一是不了人在有") if rnd.random() < 0.5 else chr(rnd.choice(rare[lang])) for _ in range(400))
+    docs = spark.createDataFrame([(i, text(lang), lang, "x") for i in range(120) for lang in ("aa", "bb")], DDL)
+    model = langid.fit(docs)
+    assert len(model.alphabet) > 2500
+    ask = [(i, text(lang), lang) for i in range(20) for lang in ("aa", "bb")]
+    got = langid.identify(spark.createDataFrame(ask, "doc_id long, text string, lang string"), model).collect()
+    assert all(r.langid_pred == r.lang for r in got)
+
+
 def base_of(text):
     words = SPACE.findall(text or "")
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
