@@ -21,6 +21,8 @@ columns are not read; a text with any number of paragraphs is summed in chunks,
 
 from __future__ import annotations
 
+import decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,7 @@ CHUNK = 16_384
 #: Parts that a range of ids is cut into; a range of over ``FULL`` times the rows of an even one is cut again.
 RANGES = 8192
 FULL = 4
+PIECES = 16
 PARAGRAPH = r"\n+|(?<=[.!?])[ \t]+"
 _MASK = sum(((1 << DIGIT_BITS) - 1) << (LANE_BITS * i) for i in range(LANES))
 _WORDS = [f"w{i}" for i in range(SUMS)]
@@ -110,30 +113,36 @@ def written(fingerprint: Column) -> Column:
 def _ranges(rows: DataFrame, parts: int) -> DataFrame:
     """``rows`` (doc_id, text, h) with ``low``, the end of the range of ids, and ``part``, the part by hash in it.
 
-    Ids are placed as distances below the highest one, in decimals, since the span of two longs need not be one.
+    Ids are placed as distances below the highest one, in decimals, since the span of two longs need not be one. A range
+    of too many rows is cut in twice as many pieces as would do for even ids, ``PIECES`` at least, until none is left.
+    There are at most parts / FULL such ranges, so a step adds no more than PIECES * parts / FULL ranges, and a width of 64
+    bits takes 64 / log2(PIECES) steps at most: 524,288 ranges however ids lie, against 8,192 where they lie evenly.
     """
     n, top, bottom = rows.agg(F.count("*"), F.max("doc_id"), F.min("doc_id")).first()
     top, width = (0, 1) if top is None else (top, (top - bottom) // parts + 1)
     number = lambda x: F.lit(str(x)).cast("decimal(20,0)")
     below = number(top) - F.col("doc_id").cast("decimal(20,0)")
     cut = lambda base, w: (base + F.floor((below - base) / w) * w).cast("decimal(20,0)")
-    rows = rows.withColumn("low", cut(number(0), number(width)))
+    rows = rows.withColumn("low", cut(number(0), number(width))).withColumn("width", number(width))
     most = max(FULL * n // parts, 1)
+    spark = rows.sparkSession
 
-    def overfull() -> DataFrame:
+    def overfull() -> list:
         """The ranges of too many rows: at most parts / FULL, whatever the data, so they are listed on the driver."""
-        found = rows.groupBy("low").agg(F.count("*").alias("n")).where(F.col("n") > most).collect()
-        return rows.sparkSession.createDataFrame([(r["low"], -(-r["n"] // most)) for r in found], "full_low decimal(20,0), pieces bigint")
+        return rows.groupBy("low", "width").agg(F.count("*").alias("n")).where(F.col("n") > most).collect()
 
     full = overfull()
-    while width > 1 and not full.where("full_low is not null").isEmpty():  # each step divides the width by ``parts``
-        width = (width - 1) // parts + 1
-        rows = rows.join(F.broadcast(full), F.col("low") == F.col("full_low"), "left")
-        finer = F.when(F.col("full_low").isNotNull(), cut(F.col("low"), number(width))).otherwise(F.col("low"))
-        rows = rows.select("doc_id", "text", "h", finer.alias("low"))
+    while again := [r for r in full if r["low"] is not None and r["width"] > 1]:
+        pieces = [max(2 * -(-r["n"] // most), PIECES) for r in again]
+        finer = [(r["low"], r["width"], (int(r["width"]) - 1) // k + 1) for r, k in zip(again, pieces)]
+        steps = spark.createDataFrame([(low, w, decimal.Decimal(f)) for low, w, f in finer], "low decimal(20,0), width decimal(20,0), finer decimal(20,0)")
+        rows = rows.join(F.broadcast(steps), ["low", "width"], "left")
+        low = F.when(F.col("finer").isNotNull(), cut(F.col("low"), F.col("finer"))).otherwise(F.col("low"))
+        rows = rows.select("doc_id", "text", "h", low.alias("low"), F.coalesce("finer", "width").alias("width"))
         full = overfull()
-    rows = rows.join(F.broadcast(full), F.col("low").eqNullSafe(F.col("full_low")), "left")
     # only ranges of one id, or of none, are still over-full
+    left = spark.createDataFrame([(r["low"], -(-r["n"] // most)) for r in full], "full_low decimal(20,0), pieces bigint")
+    rows = rows.join(F.broadcast(left), F.col("low").eqNullSafe(F.col("full_low")), "left")
     part = F.floor((F.col("h") / float(1 << 64) + 0.5) * F.coalesce("pieces", F.lit(1)))
     return rows.select("doc_id", "text", "h", "low", F.least(part, F.coalesce("pieces", F.lit(1)) - 1).cast("int").alias("part"))
 
@@ -146,7 +155,7 @@ def with_next(docs: DataFrame, parts: int = RANGES) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = _ranges(rows.withColumn("h", F.xxhash64("text")), parts)
     rows = rows.withColumn("range", F.concat_ws(":", F.coalesce(F.col("low").cast("string"), F.lit("none")), "part"))
-    # a few rows per range, so windows over these need no partition and the join can be broadcast
+    # one row for each range, whose number ``_ranges`` bounds: windows over these need no partition and the join can be broadcast
     first = F.max(F.struct("doc_id", F.bitwise_not("h").alias("g"))).alias("first")
     ranges = rows.groupBy("range", "low", "part").agg(first)
     every = Window.orderBy(F.col("low").asc_nulls_last(), "part")
