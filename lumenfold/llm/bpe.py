@@ -1,41 +1,42 @@
-"""Byte-level BPE encoding and decoding of whole texts, with tree concatenation of long unsplit runs.
+"""Byte-level BPE encoding and decoding of whole texts by tree concatenation.
 
-A text is cut into units at spaces (see ``tokens``). A unit of more than ``LEAF`` characters is split by the
-library's own pre-tokenizer; a run that this leaves longer than ``LEAF`` is cut into halves again and again, the
-leaves are encoded by different tasks, and neighbours are joined up the tree. At each join a window of tokens from
-both sides is encoded again, and grows until its first token is the left side's and its last the right side's at
-the same place. A token sequence is the encoding of its bytes exactly if every adjacent pair is (the encoding of the
-pair's bytes), so such a join is exact.
+A text of more than ``LEAF`` characters is cut into halves again and again, wherever the middle lies; the leaves are
+encoded by different tasks, and neighbours are joined up the tree. At each join a window of tokens from both sides is
+encoded again, and grows until it begins and ends where both sides are sure to agree and its outer tokens are those that
+the sides have there. There are two such places:
 
-Cases: a null text is an empty one: no tokens; repeated rows give a row each; an empty table gives no rows; the
-string of a special token is that token, as in the library; input columns other than the id and text are not read.
+* *Between units.* The vocabulary forms no token across a space that follows a visible character (see ``tokens``), so what
+  lies beyond such a space does not depend on the other side.
+* *Inside a run* that the library's pre-tokenizer leaves whole: a token sequence is the encoding of its bytes exactly if
+  every adjacent pair is (the encoding of the pair's bytes). Units of more than ``LEAF`` characters are cut into such
+  runs first, and a run that is still longer into halves of its own.
+
+Shorter texts are leaves by themselves and are encoded where they are read, without a shuffle.
+
+Cases: a null text is an empty one: no tokens; repeated rows and rows without an id give a row each and are dealt like
+others, by their place in the scan; an empty table gives no rows; the string of a special token is that token, as in the
+library; input columns other than the id and text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import common, tokens
 
-LEAF = 16_384
+LEAF = 4096
 
 RESULT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-_DONE, _IDS, _LEAF = 0, 1, 2
-#: Rows between the tasks: a finished result, or part ``seq`` of a text that has a long run.
-_PART = pa.schema([
-    ("doc_id", pa.int64()), ("key", pa.string()), ("seq", pa.int64()), ("kind", pa.int8()), ("run", pa.int64()),
-    ("last", pa.bool_()), ("payload", pa.binary()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()),
-])
-_PART_DDL = (
-    "doc_id bigint, key string, seq bigint, kind tinyint, run bigint, last boolean, payload binary, "
-    "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-)
+_IDS, _RUN, _TEXT = 0, 1, 2
+#: Rows between the tasks: part ``seq`` of row ``row``: packed ids, or the UTF-8 leaf of run number ``run`` or of the text.
+_PART_DDL = "doc_id bigint, row bigint, seq bigint, kind tinyint, run bigint, payload binary"
+_PART = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("seq", pa.int64()), ("kind", pa.int8()), ("run", pa.int64()), ("payload", pa.binary())])
 
 
 def join_tokens(left: list[int], right: list[int], bytes_of: list[bytes], encode: Callable[[str], list[int]]) -> list[int]:
@@ -57,9 +58,38 @@ def join_tokens(left: list[int], right: list[int], bytes_of: list[bytes], encode
         size *= 2
 
 
-def join_tree(leaves: list[list[int]], bytes_of: list[bytes], encode: Callable[[str], list[int]]) -> list[int]:
+def _starts_unit(side: list[int], i: int, bytes_of: list[bytes]) -> bool:
+    """Whether token ``i`` begins with a space that follows a visible character of the same side."""
+    if not 0 < i < len(side) or bytes_of[side[i]][:1] != b" ":
+        return False
+    tail, back = b"", i
+    while back and len(tail) < 4:
+        back -= 1
+        tail = bytes_of[side[back]] + tail
+    last = tail[-4:].decode("utf-8", "ignore")[-1:]
+    return bool(last) and not last.isspace()
+
+
+def join_texts(left: list[int], right: list[int], bytes_of: list[bytes], encode: Callable[[str], list[int]]) -> list[int]:
+    """The encoding of two texts together, from their encodings, by windows that begin and end between units."""
+    if not left or not right:
+        return left + right
+    size = 4
+    while True:
+        a, b = max(0, len(left) - size), min(len(right), size)
+        while a and not _starts_unit(left, a, bytes_of):
+            a -= 1
+        while b < len(right) and not _starts_unit(right, b, bytes_of):
+            b += 1
+        mid = encode(b"".join([bytes_of[i] for i in left[a:] + right[:b]]).decode())
+        if (a == 0 or mid[0] == left[a]) and (b == len(right) or mid[-1] == right[b - 1]):
+            return left[:a] + mid + right[b:]
+        size *= 2
+
+
+def join_tree(leaves: list[list[int]], bytes_of: list[bytes], encode: Callable[[str], list[int]], join: Callable = join_tokens) -> list[int]:
     while len(leaves) > 1:
-        pairs = [join_tokens(leaves[i], leaves[i + 1], bytes_of, encode) for i in range(0, len(leaves) - 1, 2)]
+        pairs = [join(leaves[i], leaves[i + 1], bytes_of, encode) for i in range(0, len(leaves) - 1, 2)]
         leaves = pairs + leaves[len(leaves) - len(leaves) % 2 :]
     return leaves[0] if leaves else []
 
@@ -71,6 +101,7 @@ def halves(text: str, leaf: int) -> list[str]:
     return halves(text[: len(text) // 2], leaf) + halves(text[len(text) // 2 :], leaf)
 
 
+@lru_cache(2)
 def _unsplit(path: str):
     """The library's encoder for one run that its pre-tokenizer leaves whole."""
     from tokenizers import pre_tokenizers
@@ -82,7 +113,9 @@ def _unsplit(path: str):
 
 
 def _parts(units, text: str, leaf: int) -> list[tuple[int, int, bytes]]:
-    """(kind, run, payload) of a text with a long unit: packed ids, or the UTF-8 leaves of run number ``run``."""
+    """(kind, run, payload) of a long text: the leaves of the text, or, if a unit is long, packed ids and the leaves of runs."""
+    if max(map(len, units.cut(text)), default=0) <= leaf:
+        return [(_TEXT, -1, h.encode()) for h in halves(text, leaf)]
     out: list[tuple[int, int, bytes]] = []
     short: list[str] = []
     pending: list[bytes] = []
@@ -112,7 +145,7 @@ def _parts(units, text: str, leaf: int) -> list[tuple[int, int, bytes]]:
                 else:
                     close()
                     run = len(out)
-                    out += [(_LEAF, run, h.encode()) for h in halves(piece[a:b], leaf)]
+                    out += [(_RUN, run, h.encode()) for h in halves(piece[a:b], leaf)]
     close()
     return out
 
@@ -124,77 +157,80 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF) -> Dat
         decoded = units.decode(packed).encode()
         return (doc_id, len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest())
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = tokens.byte_units(tokenizer_path)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 ids = batch.column(0).slice(at, 512).to_pylist()
-                texts = [t or "" for t in batch.column(1).slice(at, 512).to_pylist()]
-                long = [len(t) > leaf and max(map(len, units.cut(t))) > leaf for t in texts]
-                encoded = units.encode([t for t, x in zip(texts, long) if not x])
-                rows = []
-                for doc_id, packed in zip([d for d, x in zip(ids, long) if not x], encoded):
-                    rows.append((doc_id, None, 0, _DONE, -1, True, None, *digest(units, doc_id, packed)[1:]))
-                for doc_id, text in ((d, t) for d, t, x in zip(ids, texts, long) if x):
-                    key, parts = hashlib.sha256(text.encode()).hexdigest(), _parts(units, text, leaf)
-                    for seq, (kind, run, payload) in enumerate(parts):
-                        rows.append((doc_id, key, seq, kind, run, seq == len(parts) - 1, payload, None, None, None))
+                encoded = units.encode([t or "" for t in batch.column(1).slice(at, 512).to_pylist()])
+                yield _batch([digest(units, *x) for x in zip(ids, encoded)], _OUT)
+        units.forget()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = tokens.byte_units(tokenizer_path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 16):
+                part = batch.slice(at, 16).to_pydict()
+                rows = [(d, r, seq, *p) for d, r, t in zip(part["doc_id"], part["row"], part["text"]) for seq, p in enumerate(_parts(units, t, leaf))]
                 yield _batch(rows, _PART)
         units.forget()
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = None
+        units, encode = tokens.byte_units(tokenizer_path), None
         for batch in batches:
-            kinds = batch.column("kind").to_pylist()
-            if _LEAF in kinds:
-                encode = encode or _unsplit(tokenizer_path)
-                payload = [tokens._pack(encode(p.decode())) if k == _LEAF else p for k, p in zip(kinds, batch.column("payload").to_pylist())]
-                batch = batch.set_column(batch.schema.get_field_index("payload"), "payload", pa.array(payload, pa.binary()))
-            yield batch
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                kinds, payload = part.column("kind").to_pylist(), part.column("payload").to_pylist()
+                encoded = iter(units.encode([p.decode() for k, p in zip(kinds, payload) if k == _TEXT]))
+                for i, kind in enumerate(kinds):
+                    if kind == _TEXT:
+                        payload[i] = next(encoded)
+                    elif kind == _RUN:
+                        encode = encode or _unsplit(tokenizer_path)
+                        payload[i] = tokens._pack(encode(payload[i].decode()))
+                yield part.set_column(part.schema.get_field_index("payload"), "payload", pa.array(payload, pa.binary()))
+        units.forget()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A text's parts follow each other; equal rows give equal parts, of which one set is joined.
         units = tokens.byte_units(tokenizer_path)
-        encode, parts, copies, at = None, {}, 0, None
+        at, parts = None, []
         for batch in batches:
-            done = batch.filter(pc.equal(batch.column("kind"), _DONE)).select(_OUT.names)
-            if done.num_rows:
-                yield done.cast(_OUT)
-            if done.num_rows == batch.num_rows:
-                continue
             rows = []
-            for row in batch.filter(pc.not_equal(batch.column("kind"), _DONE)).to_pylist():
-                if (row["doc_id"], row["key"]) != at:
-                    rows += [r for r in finish(units, encode, parts, at)] * copies
-                    at, parts, copies = (row["doc_id"], row["key"]), {}, 0
-                encode = encode or _unsplit(tokenizer_path)
-                parts[row["seq"]] = (row["kind"], row["run"], row["payload"])
-                copies += row["last"]
+            for row in batch.to_pylist():  # a text's parts follow each other
+                if row["row"] != at and parts:
+                    rows.append(finish(units, parts))
+                    parts = []
+                at = row["row"]
+                parts.append(row)
             yield _batch(rows, _OUT)
-        if copies:
-            yield _batch([r for r in finish(units, encode, parts, at)] * copies, _OUT)
+        if parts:
+            yield _batch([finish(units, parts)], _OUT)
+        units.forget()
 
-    def finish(units, encode, parts: dict, at: tuple | None) -> list[tuple]:
+    def finish(units, parts: list[dict]) -> tuple:
         packed: list[bytes] = []
-        run_leaves: list[list[int]] = []
-        for seq in sorted(parts):
-            kind, run, payload = parts[seq]
-            if kind == _IDS:
-                packed.append(payload)
+        group: list[list[int]] = []
+        for row, following in zip(parts, [*parts[1:], None]):
+            if row["kind"] == _IDS:
+                packed.append(row["payload"])
                 continue
-            run_leaves.append(memoryview(payload).cast("I").tolist())
-            following = parts.get(seq + 1)
-            if following is None or following[1] != run:
-                packed.append(tokens._pack(join_tree(run_leaves, units.bytes_of, encode)))
-                run_leaves = []
-        return [digest(units, at[0], b"".join(packed))] if parts else []
-
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(first, _PART_DDL)
-    encoded = cut.repartition(n, "doc_id", "key", "seq").mapInArrow(leaves, _PART_DDL)
-    ordered = encoded.repartition(n, "doc_id", "key").sortWithinPartitions("key", "doc_id", "seq")
-    return ordered.mapInArrow(join, RESULT)
+            group.append(memoryview(row["payload"]).cast("I").tolist())
+            if following is None or (following["kind"], following["run"]) != (row["kind"], row["run"]):
+                if row["kind"] == _TEXT:
+                    joined = join_tree(group, units.bytes_of, lambda t: memoryview(units.encode([t])[0]).cast("I").tolist(), join_texts)
+                else:
+                    joined = join_tree(group, units.bytes_of, _unsplit(tokenizer_path))
+                packed.append(tokens._pack(joined))
+                group = []
+        return digest(units, parts[0]["doc_id"], b"".join(packed))
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    long = F.coalesce(F.length("text") > leaf, F.lit(False))
+    parts = rows.where(long).withColumn("row", F.monotonically_increasing_id()).mapInArrow(cut, _PART_DDL)
+    encoded = parts.repartition(n, "row", "seq").mapInArrow(leaves, _PART_DDL)
+    joined = encoded.repartition(n, "row").sortWithinPartitions("row", "seq").mapInArrow(join, RESULT)
+    return rows.where(~long).mapInArrow(whole, RESULT).union(joined)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

@@ -47,6 +47,28 @@ def test_tree_concatenation_is_exact(leaf):
         assert bpe.join_tree(leaves, units.bytes_of, encode) == encode(text)
 
 
+@pytest.mark.parametrize("leaf", [2, 5, 30, 200])
+def test_texts_cut_anywhere_are_joined_exactly(leaf):
+    """Halves of whole texts, with white space of all kinds, special tokens and other scripts at the cuts."""
+    path, tok, rnd = tokens.public_path("byte_bpe_50k.json"), library("byte_bpe_50k.json"), random.Random(leaf)
+    units = tokens.byte_units(path)
+    encode = lambda t: memoryview(units.encode([t])[0]).cast("I").tolist()
+    parts = [*PARTS, " the", " of", " and", "\u3000", "\u2003 ", "的", " 的", " don't", "<|endoftext|>", " <|endoftext|> "]
+    for _ in range(150):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 120)))
+        assert bpe.join_tree([encode(h) for h in bpe.halves(text, leaf)], units.bytes_of, encode, bpe.join_texts) == list(ids_of(tok, text)), repr(text)
+
+
+def test_default_leaf_splits_long_texts(spark):
+    tok, rnd = library("byte_bpe_50k.json"), random.Random(8)
+    words = ["the", "thing", "über", "的", "don't", "a\nb", "  ", "x1", "<|endoftext|>"]
+    texts = [" ".join(rnd.choice(words) for _ in range(n)) for n in (10, 1500, 4000, 30_000)] + ["z" * 20_000 + " end", ("tail " * 3000)]
+    assert sum(len(t) > bpe.LEAF for t in texts) == 5
+    got = bpe.encode_decode(spark.createDataFrame(list(enumerate(texts)) * 2, "doc_id long, text string"), tokens.public_path("byte_bpe_50k.json")).collect()
+    want = [(i, len(ids_of(tok, t)), hashlib.sha256(ids_of(tok, t).tobytes()).hexdigest()) for i, t in enumerate(texts)]
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in got) == sorted(want * 2)
+
+
 def rows():
     many = texts(40) + ["", None, "x" * 300, "ab " * 50 + "é" * 90 + "<|endoftext|>" + "!" * 70 + " tail", " " * 99 + "z", "中" * 61]
     out = [(i, t, "clash") for i, t in enumerate(many)]
