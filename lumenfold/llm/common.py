@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folders of intermediate tables that still exist.
 _settled: dict[str, SparkSession] = {}
@@ -81,6 +83,33 @@ def _remove_all() -> None:
         _remove(path)
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes at its end every table that was settled inside, but for those given to the function that it yields."""
+    before, kept = set(_settled), set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(getattr(table, "_settled_at", None))
+        return table
+
+    try:
+        yield keep
+    finally:
+        for path in set(_settled) - before - kept:
+            _remove(path)
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` for a hash; those of types without one as text."""
+    plain = lambda t: not any(kind in t.simpleString() for kind in ("map<", "variant"))
+    return [c if plain(f.dataType) else c.cast("string") for c, f in zip(columns(df), df.schema.fields)]
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have yet, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -339,7 +339,7 @@ def keep_one(docs: DataFrame, words: int, least: tuple[int, int], rare: int = RA
     kept = keyed.join(named("out or copies > 1"), key, "left_anti")
     if not repeated.isEmpty():
         place = common.unused(docs, "place")
-        order = Window.partitionBy(key).orderBy(F.xxhash64(*docs.columns))
+        order = Window.partitionBy(key).orderBy(F.xxhash64(*common.hashable(docs)))
         again = keyed.join(repeated, key, "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
         kept = kept.union(again.drop(place))
     return kept.drop(key)

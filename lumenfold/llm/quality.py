@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenfold.llm import common
 
@@ -170,17 +171,31 @@ def base_failed(n_words, n_repeat_words):
     return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)
 
 
-def keep(docs: DataFrame, posterior: dict[int, float], keep_from: float = KEEP_FROM) -> DataFrame:
-    """The rows of ``docs`` that pass the base rules and are good with probability ``keep_from`` at least."""
-    at = docs.columns.index("text")
+def judged(docs: DataFrame) -> DataFrame:
+    """(row, votes, failed): the rows of ``docs`` whole, with the votes on each and whether the base rules fail it."""
+    packed = docs.select(F.struct(*common.columns(docs)).alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end, m in _measured(batch, at):
-                likely = np.array([posterior.get(c, 0.0) >= keep_from for c in votes(m).tolist()], dtype=bool)
-                yield batch.slice(begin, end - begin).filter(pa.array(likely & ~base_failed(m["n_words"], m["n_repeat_words"])))
+            for begin, end, m in _measured(batch, 1):
+                failed = base_failed(m["n_words"], m["n_repeat_words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(votes(m), pa.int64()), pa.array(failed)], names=["row", "votes", "failed"])
+
+    schema = T.StructType([packed.schema["row"], T.StructField("votes", T.LongType()), T.StructField("failed", T.BooleanType())])
+    return packed.mapInArrow(run, schema)
+
 
-    return docs.mapInArrow(run, docs.schema)
+def keep(docs: DataFrame, posterior: dict[int, float] | None = None, keep_from: float = KEEP_FROM) -> DataFrame:
+    """The rows of ``docs`` that pass the base rules and are good with probability ``keep_from`` at least.
+
+    Texts are measured once: without a ``posterior`` the votes are written with the rows, fitted, and applied to them.
+    """
+    rows = judged(docs)
+    if posterior is None:
+        rows = common.settle(rows, "judged")
+        posterior = fit(rows)
+    good = [c for c, p in posterior.items() if p >= keep_from]  # at most 2^rules
+    return rows.where(~F.col("failed") & F.col("votes").isin(good)).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op2_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:

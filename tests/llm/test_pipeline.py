@@ -72,3 +72,24 @@ def test_secret_scan_keeps_columns_of_any_name(spark, tmp_path):
     found = {r.doc_id: r for r in corpus_pipeline.secret_scan(spark, docs, str(tmp_path)).collect()}
     assert (found[1].base, found[1].candidates, found[1].n_chars) == ("x", ["y"], len(found[1].text)) and "abcdefgh" not in found[1].text
     assert found[2].text is None and found[2].base is None
+
+
+def test_odd_columns_long_texts_and_repeats_pass_all_stages(spark, tmp_path):
+    """Columns named like the operators' own, with dots, of types without a hash; repeated rows; a very long text."""
+    rnd = random.Random(2)
+    prose = lambda n: " ".join(rnd.choice(WORDS["en"]) + str(rnd.randrange(90)) * (rnd.random() < 0.3) for _ in range(n)).capitalize() + "."
+    texts = [prose(90) for _ in range(40)] + [prose(60_000)]
+    rows = [(i, t, "en", "s", len(t), {"a": i}, "x", "y", [{"k": 1}]) for i, t in enumerate(texts)]
+    rows += rows[:3] * 4  # whole rows again
+    rows += [(3, texts[3], "en", "s", 1, {"b": j}, "x", None, None) for j in range(3)]  # an id and a text again, other columns
+    rows += [(None, None, None, None, None, None, None, None, None), (None, texts[5], None, None, None, None, None, None, None)]
+    ddl = DDL + ", m map<string,bigint>, langid_pred string, `a.b` string, `k\"` array<map<string,int>>"
+    docs = spark.createDataFrame(rows, ddl).repartition(3)
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, kept, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        kept = spark.read.parquet(f"{tmp_path}/{name}")
+        assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(41))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()} == set(range(41))
