@@ -23,12 +23,13 @@ SIMILARITY = (4, 5)
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the language models reject."""
     model = langid.fit(docs.select("doc_id", "lang", "text"))
-    return langid.identify(docs, model).where("not langid_rejected").select(*docs.columns)
+    rows = docs.select(F.struct(*common.columns(docs)).alias("row"), "text")  # columns of any name stay inside
+    return _unpacked(langid.identify(rows, model).where("not langid_rejected"), docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or are more likely bad than good."""
-    return quality.keep(docs, quality.fit(quality.measured(docs)))
+    return quality.keep(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +39,14 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in the texts; ``n_chars`` follows the new text."""
-    rows = secrets.scan(docs.select(F.struct(*docs.columns).alias("row"), "text"))  # a column of any name stays inside
+    rows = common.settle(secrets.scan(docs.select(F.struct(*common.columns(docs)).alias("row"), "text")), "scanned")  # texts are scanned once
     text = secrets.redacted(F.col("text"), secrets.all_spans(secrets.thresholds(rows)))
-    clean = rows.withColumn("text", text)
     row = F.col("row").withField("text", F.col("text")).withField("n_chars", F.length("text").cast("bigint"))
-    return clean.select(row.alias("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return _unpacked(rows.withColumn("text", text).select(row.alias("row")), docs)
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,5 +69,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with common.scratch() as keep:  # what a stage wrote for itself goes with it
+            done = keep(common.settle(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        common.release(docs)
+        docs = done
     return docs
