@@ -31,43 +31,61 @@ def points_at(index: DataFrame, dims: int, depth: int = 0, seed: int = 0) -> Dat
 
 def naive_monte_carlo(spark: SparkSession, domain: Domain, n: int, seed: int = 0, start: int = 0) -> DataFrame:
     """``n`` uniform points of a rectangular domain, from sample ``start`` on."""
+    return naive_points(spark.range(start, start + n).withColumnRenamed("id", "sample_index"), domain, seed)
+
+
+def naive_points(rows: DataFrame, domain: Domain, seed: int = 0) -> DataFrame:
+    """Uniform points of a rectangular domain, one for each row (sample_index)."""
     shape = fixed_rectangular_dims(domain)
     if shape is None:
         raise ValueError("the naive sampler needs a rectangular domain")
-    return points_at(spark.range(start, start + n).withColumnRenamed("id", "sample_index"), *shape, seed)
+    return points_at(rows, *shape, seed)
 
 
 def raster_line(spark: SparkSession, geometry: LineRaster, start: int = 0, n: int | None = None) -> DataFrame:
     """Points of a line in visiting order: the k-th visit is at pixel ``k * stride mod count``."""
     geometry.check()
     count = geometry.points
+    return line_points(spark.range(start, count if n is None else min(count, start + n)).withColumnRenamed("id", "sample_index"), geometry)
+
+
+def line_points(rows: DataFrame, geometry: LineRaster) -> DataFrame:
+    """The points of the visits ``sample_index`` (below the number of pixels) of a line; other columns stay."""
+    geometry.check()
+    count = geometry.points
     pixel = permuted(F.col("sample_index"), count)
     t = linspace(F.col("pixel"), geometry.linspace.start, geometry.linspace.stop, count)
     at = F.zip_with(_doubles(geometry.offset), _doubles(geometry.direction), lambda o, d: o + F.col("t") * d)
-    rows = spark.range(start, count if n is None else min(count, start + n)).withColumnRenamed("id", "sample_index")
+    kept = rows.columns
     rows = rows.withColumn("pixel", pixel).withColumn("t", t)
-    return rows.select("sample_index", "pixel", at.alias("continuous"), _longs(geometry.discrete).alias("discrete"), F.lit(1.0).alias("weight"))
+    return rows.select(*kept, "pixel", at.alias("continuous"), _longs(geometry.discrete).alias("discrete"), F.lit(1.0).alias("weight"))
 
 
 def raster_plane(spark: SparkSession, geometry: PlaneRaster, start: int = 0, n: int | None = None) -> DataFrame:
     """Points of a plane in visiting order; pixel = u index + v index * width."""
     geometry.check()
+    count = geometry.points
+    return plane_points(spark.range(start, count if n is None else min(count, start + n)).withColumnRenamed("id", "sample_index"), geometry)
+
+
+def plane_points(rows: DataFrame, geometry: PlaneRaster) -> DataFrame:
+    """The points of the visits ``sample_index`` of a plane; other columns stay."""
+    geometry.check()
     width, count = geometry.u_linspace.count, geometry.points
-    rows = spark.range(start, count if n is None else min(count, start + n)).withColumnRenamed("id", "sample_index")
+    kept = rows.columns
     rows = rows.withColumn("pixel", permuted(F.col("sample_index"), count))
     u = linspace(F.col("pixel") % width, geometry.u_linspace.start, geometry.u_linspace.stop, width)
     v = linspace(F.floor(F.col("pixel") / width), geometry.v_linspace.start, geometry.v_linspace.stop, geometry.v_linspace.count)
     rows = rows.withColumn("u", u).withColumn("v", v)
     along = F.zip_with(_doubles(geometry.offset), _doubles(geometry.u_vector), lambda o, d: o + F.col("u") * d)
     at = F.zip_with(along, _doubles(geometry.v_vector), lambda o, d: o + F.col("v") * d)
-    return rows.select("sample_index", "pixel", at.alias("continuous"), _longs(geometry.discrete).alias("discrete"), F.lit(1.0).alias("weight"))
+    return rows.select(*kept, "pixel", at.alias("continuous"), _longs(geometry.discrete).alias("discrete"), F.lit(1.0).alias("weight"))
 
 
-def nested_uniform(spark: SparkSession, domain: Domain, n: int, seed: int = 0) -> DataFrame:
-    """``n`` points over all leaves of a nested domain: a leaf is drawn uniformly, its weight is the number of leaves."""
+def nested_uniform(rows: DataFrame, domain: Domain, seed: int = 0) -> DataFrame:
+    """A point over all leaves of a nested domain for each row (sample_index): a leaf is drawn uniformly, its weight is the number of leaves."""
     flat = list(leaves(domain))
     widest = max(d for _, _, d in flat)
-    rows = spark.range(n).withColumnRenamed("id", "sample_index")
     leaf = F.floor(uniform(seed, F.col("sample_index"), widest) * len(flat)).cast("int")
     rows = rows.withColumn("leaf", leaf)
     path = F.element_at(F.array(*[_longs(p) for p, _, _ in flat]), F.col("leaf") + 1)
@@ -76,10 +94,9 @@ def nested_uniform(spark: SparkSession, domain: Domain, n: int, seed: int = 0) -
     return rows.select("sample_index", F.slice(coordinates, F.lit(1), dims).alias("continuous"), path.alias("discrete"), F.lit(float(len(flat))).alias("weight"))
 
 
-def latent_batches(spark: SparkSession, sizes: list[int], seed: int) -> DataFrame:
-    """(batch_id, nr_samples, seed): batches that are described, not stored; ``materialise`` draws their points."""
-    rows = [(i, n, seed * 1_000_003 + i) for i, n in enumerate(sizes)]
-    return spark.createDataFrame(rows, "batch_id bigint, nr_samples int, seed bigint")
+def latent_batches(batches: DataFrame, seed: int) -> DataFrame:
+    """(batch_id, nr_samples, seed) of batches (batch_id, nr_samples): described, not stored; ``batch_samples`` opens them."""
+    return batches.select("batch_id", F.col("nr_samples").cast("int").alias("nr_samples"), (F.col("batch_id") + seed * 1_000_003).cast("bigint").alias("seed"))
 
 
 def batch_samples(batches: DataFrame) -> DataFrame:

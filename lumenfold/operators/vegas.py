@@ -158,16 +158,18 @@ class Training:
         raw = json.loads(text)
         return cls(**{**raw, "grid": Grid.from_json(raw["grid"])})
 
-    def step(self, spark: SparkSession, value: Callable[[DataFrame], Column]) -> Training:
-        """One window: sample, evaluate, sum per bin, move the grid if the window is full."""
+    def step(self, index: Callable[[int, int], DataFrame], value: Callable[[DataFrame], Column]) -> Training:
+        """One window: sample, evaluate, sum per bin, move the grid if the window is full.
+
+        ``index`` gives the rows (sample_index) from one number up to another.
+        """
         n = TrainingWindow(self.target, self.window).budget(self.ingested, 0)
         if n <= 0:
             return self
         after = self.ingested + n
         grid = self.grid
         if TrainingWindow(self.target, self.window).crossed(self.ingested, after):
-            rows = spark.range(self.ingested, after).withColumnRenamed("id", "sample_index")
-            points = sample(rows, grid, self.seed)
+            points = sample(index(self.ingested, after), grid, self.seed)
             mass = [[0.0] * grid.bins for _ in grid.edges]
             heads = [0.0] * len(grid.branches)
             for r in window_sums(points, value(points), len(grid.edges)).collect():  # bins x dims rows
@@ -180,18 +182,23 @@ class Training:
             grid = Grid(edges, refine_branches(grid.branches, heads, rate))
         return replace(self, grid=grid, ingested=after, updates=self.updates + (grid is not self.grid))
 
-    def run(self, spark: SparkSession, value: Callable[[DataFrame], Column]) -> Training:
+    def run(self, index: Callable[[int, int], DataFrame], value: Callable[[DataFrame], Column]) -> Training:
         state = self
         while state.remaining():
-            state = state.step(spark, value)
+            state = state.step(index, value)
         return state
 
     def diagnostics(self) -> dict[str, float]:
         return {"ingested": self.ingested, "updates": self.updates, "rate": training_rate(self.initial_rate, self.final_rate, self.ingested, self.target)}
 
 
+def counted(spark: SparkSession) -> Callable[[int, int], DataFrame]:
+    """Rows that are numbers alone."""
+    return lambda start, stop: spark.range(start, stop).withColumnRenamed("id", "sample_index")
+
+
 def train(spark: SparkSession, evaluator: Evaluator, state: Training) -> Training:
-    return state.run(spark, lambda points: evaluator.value(F.col("continuous"), F.col("discrete")))
+    return state.run(counted(spark), lambda points: evaluator.value(F.col("continuous"), F.col("discrete")))
 
 
 def infer(batches: DataFrame, grid: Grid) -> DataFrame:
