@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.functions.numeric import is_finite
+
 
 def estimate_with_error(mean: Column, error: Column) -> Column:
     """``(m +- e) x 10^k`` with two significant digits of the error; ``(0 +- 0) x 10^0`` when both are zero."""
@@ -75,11 +77,23 @@ def ramp_colour(t: Column) -> list[Column]:
 
 
 def padded(low: Column, high: Column, pad: float = 0.08, flat: float = 0.1) -> list[Column]:
-    """Axis limits around finite values: some room, and a tenth of the value when all are equal."""
-    room = F.when(high > low, (high - low) * pad).otherwise(F.greatest(F.abs(low) * flat, F.lit(1e-12)))
+    """Axis limits around finite values: some room; a tenth of the value when all are equal, 1 if that is 0; null for none."""
+    room = F.when(high > low, (high - low) * pad).otherwise(flat_room(low, flat))
     return [low - room, high + room]
 
 
+def cell_centre(index: Column, low: Column, high: Column, count: Column) -> Column:
+    """The middle of the ``index``-th of ``count`` even cells; the plain index where the range is not finite."""
+    known = is_finite(low) & is_finite(high)
+    return F.when(known, low + (high - low) / count * (index + 0.5)).otherwise(index.cast("double"))
+
+
+def flat_room(value: Column, share: float) -> Column:
+    """The room around values that are all equal."""
+    room = F.abs(value) * share
+    return F.when(room > 0, room).otherwise(F.lit(1.0))
+
+
 def flatten_json(text: str, prefix: str = "") -> list[tuple[str, str]]:
     """Dotted keys and written values of a configuration object, in its order; lists stand in brackets."""
 
@@ -95,26 +109,44 @@ def flatten_json(text: str, prefix: str = "") -> list[tuple[str, str]]:
     return out
 
 
-def flatten_json_column(rows: DataFrame, column: str, depth: int = 8) -> DataFrame:
+#: JSON deeper than this is no variant, so the recursion below never ends before the objects do.
+_DEEPEST = 1001
+
+
+def flatten_json_column(rows: DataFrame, column: str) -> DataFrame:
     """``rows`` with one row per leaf of the JSON objects in ``column``: its dotted ``key`` and written ``value``.
 
-    Each step opens the objects of one level, so ``depth`` bounds how deep objects may be nested; lists are leaves.
+    A recursive query parses each row once and opens objects however deep they are nested; lists and scalars are
+    leaves, an empty object has none. A null, or a text that holds no object, gives no row.
     """
     kept = [c for c in rows.columns if c != column]
-    level = rows.select(*kept, F.lit("").alias("key"), F.parse_json(F.col(column)).alias("value"))
-    leaves = None
-    for _ in range(depth):
-        inner = level.select(*kept, F.col("key").alias("parent"), F.expr("cast(value as map<string, variant>)").alias("fields"))
-        inner = inner.select(*kept, "parent", F.explode("fields").alias("name", "value"))
-        key = F.when(F.col("parent") == "", F.col("name")).otherwise(F.concat_ws(".", "parent", "name"))
-        inner = inner.select(*kept, key.alias("key"), "value", F.schema_of_variant("value").startswith("OBJECT").alias("object"))
-        found = inner.where(~F.col("object")).drop("object")
-        leaves = found if leaves is None else leaves.unionByName(found)
-        level = inner.where("object").drop("object")
-    items = F.expr("cast(value as array<string>)")
-    text = F.when(F.schema_of_variant("value").startswith("ARRAY"), F.concat(F.lit("["), F.array_join(items, ", ", "null"), F.lit("]")))
-    text = text.otherwise(F.coalesce(F.expr("cast(value as string)"), F.lit("null")))
-    return leaves.select(*kept, "key", text.alias("value"))
+    own = "".join(f"{_quoted(c)}, " for c in kept)
+    source = rows.withColumn(column, F.try_parse_json(F.col(_quoted(column)).cast("string")))
+    is_object = lambda v: f"startswith(schema_of_variant({v}), 'OBJECT')"
+    leaf = f"""CASE WHEN startswith(schema_of_variant(_value), 'ARRAY') THEN concat('[', array_join(CAST(_value AS ARRAY<STRING>), ', ', 'none'), ']')
+      ELSE coalesce(CAST(_value AS STRING), 'null') END"""
+    opened = "".join(f"t.{_quoted(c)}, " for c in kept)
+    return rows.sparkSession.sql(
+        f"""WITH RECURSIVE t MAX RECURSION LEVEL {_DEEPEST} AS (
+          SELECT {own} CAST(NULL AS STRING) AS _key, {_quoted(column)} AS _value, true AS _open FROM {{source}} WHERE {is_object(_quoted(column))}
+          UNION ALL
+          SELECT {opened} CASE WHEN t._key IS NULL THEN e.key ELSE concat(t._key, '.', e.key) END, e.value, {is_object("e.value")}
+          FROM t, LATERAL variant_explode(t._value) AS e WHERE t._open)
+        SELECT {own} _key AS key, {leaf} AS value FROM t WHERE NOT _open LIMIT ALL""",
+        source=source,
+    )
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def presence(text: Column, path: str) -> Column:
+    """``missing``, ``null`` or ``present``: what a JSON text has at a path; null where it is no JSON at all."""
+    whole = F.try_parse_json(text)
+    value = F.try_variant_get(whole, path, "variant")
+    said = F.when(value.isNull(), "missing").when(F.is_variant_null(value), "null").otherwise("present")
+    return F.when(whole.isNotNull(), said)
 
 
 def required_downsample_level(points: int, budget: int = 256) -> int:

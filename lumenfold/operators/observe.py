@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions.numeric import is_finite, ratio
+from lumenfold.operators import scan
 
 SCALAR_STATE = ("count", "sum_weighted_value", "sum_abs", "sum_sq", "nan_count")
 COMPLEX_STATE = ("count", "real_sum", "imag_sum", "abs_sum", "abs_sq_sum", "real_sq_sum", "imag_sq_sum", "weight_sum", "nan_count")
@@ -104,10 +105,10 @@ def full_complex(evaluated: DataFrame) -> DataFrame:
 def full_merge(parts: DataFrame, batch: str = "batch_id", index: str = "sample_index") -> DataFrame:
     """Full observables of batches one after another: each batch's indices follow those of the batches before it.
 
-    Offsets come from one count per batch, so the windowed table has a row per batch, not per point.
+    Offsets are running sums of the batches' sizes, in ranges of batches.
     """
-    sizes = parts.groupBy(batch).agg(F.count("*").alias("_n"))
-    offsets = sizes.select(batch, (F.sum("_n").over(Window.orderBy(batch)) - F.col("_n")).alias("_offset"))
+    sizes = parts.groupBy(batch).agg(F.count("*").alias("_n")).select(batch, "_n", F.col("_n").alias("_upto"))
+    offsets = scan.running_sums(sizes, [batch], ["_upto"]).select(batch, (F.col("_upto") - F.col("_n")).alias("_offset"))
     return parts.join(offsets, batch).withColumn("position", F.col("_offset") + F.col(index)).drop("_offset")
 
 

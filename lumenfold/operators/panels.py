@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenfold.functions.display import flat_room
 from lumenfold.functions.numeric import coprime_stride, is_finite
+from lumenfold.operators import scan
 
 BUDGET = 256
 
@@ -19,16 +21,19 @@ def merge_series(old: DataFrame, new: DataFrame, keys: Sequence[str] = (), x: st
     return both.withColumn("_n", n).where("_n = 1").drop("_n", "_new")
 
 
-def downsample(series: DataFrame, keys: Sequence[str], order: Sequence[str], budget: int = BUDGET) -> DataFrame:
+def downsample(series: DataFrame, keys: Sequence[str], order: Sequence[str], budget: int = BUDGET, target: int = scan.TARGET) -> DataFrame:
     """Every 2^L-th point of a series and its last, for the smallest L that fits the budget; short series stay whole."""
-    sizes = series.groupBy(*keys).agg(F.count("*").alias("_n"))
-    level = F.greatest(F.ceil(F.log2(F.col("_n") / budget)), F.lit(0)).cast("int")
-    indexed = series.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).join(sizes, list(keys))
-    step = F.pow(F.lit(2.0), level).cast("bigint")
+    indexed = scan.positions(series, keys, order, "_i", "_n", target)
+    step = F.pow(F.lit(2.0), downsample_level(F.col("_n"), budget)).cast("bigint")
     kept = indexed.where((F.col("_i") % step == 0) | (F.col("_i") == F.col("_n") - 1))
     return kept.drop("_i", "_n")
 
 
+def downsample_level(points: Column, budget: int = BUDGET) -> Column:
+    """How often the number of points must be halved, rounding up, to fit the budget."""
+    return F.greatest(F.ceil(F.log2(points / budget)), F.lit(0)).cast("int")
+
+
 def pivot_series(rows: DataFrame, x: str, series: str, value: str, names: Sequence[str]) -> DataFrame:
     """One row per x with a column per series; null where a series has no point."""
     return rows.groupBy(x).pivot(series, list(names)).agg(F.first(value))
@@ -43,15 +48,14 @@ def unpermute(values: DataFrame, n: int, columns: Sequence[str]) -> DataFrame:
 
 
 def value_range(rows: DataFrame, value: Column, mode: str) -> DataFrame:
-    """(low, high) of the finite values for a colour scale: ``symmetric`` about 0 or ``min_max``; never of no width."""
+    """(low, high) of the finite values for a colour scale: ``symmetric`` about 0 or ``min_max``; never of no width, (0, 1) without values."""
     v = F.when(is_finite(value), value)
     one = rows.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.max(F.abs(v)).alias("most"))
     if mode == "symmetric":
-        most = F.greatest(F.coalesce("most", F.lit(0.0)), F.lit(1e-12))
-        return one.select((-most).alias("low"), most.alias("high"))
-    flat = F.col("hi") <= F.col("lo")
-    pad = F.when(flat, F.greatest(F.abs("lo") * 0.1, F.lit(1e-12))).otherwise(0.0)
-    return one.select((F.col("lo") - pad).alias("low"), (F.col("hi") + pad).alias("high"))
+        most = F.greatest("most", F.when(F.col("most").isNotNull(), F.lit(1e-12)))
+        return one.select(F.coalesce(-most, F.lit(0.0)).alias("low"), F.coalesce(most, F.lit(1.0)).alias("high"))
+    pad = F.when(F.col("hi") > F.col("lo"), 0.0).otherwise(flat_room(F.col("lo"), 0.1))
+    return one.select(F.coalesce(F.col("lo") - pad, F.lit(0.0)).alias("low"), F.coalesce(F.col("hi") + pad, F.lit(1.0)).alias("high"))
 
 
 def histogram_steps(bins: DataFrame, log_y: bool = False, epsilon: float = 2.220446049250313e-16) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.numeric import ratio
+from lumenfold.operators import scan
 
 STATUSES = ("pending", "claimed", "completed", "failed")
 OPEN = ("pending", "claimed", "completed")
@@ -128,22 +129,36 @@ def latest_per(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     return rows.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
-def as_of_join(left: DataFrame, snapshots: DataFrame, key: str, at: str, sequence: str, payload: Sequence[str], tie: str = "id") -> DataFrame:
+def as_of_join(left: DataFrame, snapshots: DataFrame, key: str, at: str, sequence: str, payload: Sequence[str], tie: str = "id", target: int = scan.TARGET) -> DataFrame:
     """Each left row with the latest snapshot of its key strictly before it.
 
-    Both sides are merged and the last snapshot is carried forward, so a key's rows meet once and there is no
-    inequality join. Rows are (key, at); a snapshot of the same place comes after the row.
+    Both sides are merged and the last snapshot is carried forward, within ranges of places and then from range to range, so
+    there is no inequality join and a key's rows need not meet in one task. Rows are (key, at); a snapshot of the same place
+    comes after the row.
     """
     packed = F.struct(F.col(sequence).alias("_seq"), F.col(tie).alias("_tie"), *payload)
-    s = snapshots.select(F.col(key).alias("_k"), F.col(sequence).alias("_at"), F.lit(1).alias("_side"), F.col(tie).alias("_order"), packed.alias("_snap"), F.lit(None).alias("_row"))
-    rows = left.select(F.col(key).alias("_k"), F.col(at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("bigint").alias("_order"),
+    s = snapshots.select(F.col(key).alias("_k"), F.col(sequence).cast("bigint").alias("_at"), F.lit(1).alias("_side"), F.col(tie).alias("_order"), packed.alias("_snap"), F.lit(None).alias("_row"))
+    rows = left.select(F.col(key).alias("_k"), F.col(at).cast("bigint").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("bigint").alias("_order"),
                        F.lit(None).cast(s.schema["_snap"].dataType).alias("_snap"), F.struct(*left.columns).alias("_row"))
     both = rows.unionByName(s.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType)))
-    carried = F.last("_snap", ignorenulls=True).over(Window.partitionBy("_k").orderBy("_at", "_side", "_order").rowsBetween(Window.unboundedPreceding, 0))
-    found = both.withColumn("_found", carried).where("_side = 0")
+    found = scan.carry_last(both, ["_k"], ["_at", "_side", "_order"], "_snap", "_found", target).where("_side = 0")
     return found.select("_row.*", F.col("_found._tie").alias(f"snapshot_{tie}"), F.col("_found._seq").alias(f"snapshot_{sequence}"), *[F.col(f"_found.{p}") for p in payload])
 
 
+def panel_source(tasks: DataFrame, current: DataFrame, stages: DataFrame, persisted: DataFrame, target: int = scan.TARGET) -> DataFrame:
+    """What a task's panels show, as of each row of ``tasks`` (id, run_id, at, active): (id, source, source_id).
+
+    An active task shows the run's current observable, any other the latest stage snapshot before ``at``; where that is
+    missing the latest persisted snapshot before ``at``; else nothing. The histories are (id, run_id, sequence_nr).
+    """
+    found = tasks
+    for side, history in (("current", current), ("stage", stages), ("persisted", persisted)):
+        found = as_of_join(found, history, "run_id", "at", "sequence_nr", [], target=target).withColumnsRenamed({"snapshot_id": side, "snapshot_sequence_nr": f"{side}_at"})
+    first = F.when(F.col("active"), F.col("current")).otherwise(F.col("stage"))
+    source = F.when(first.isNotNull(), F.when(F.col("active"), "current").otherwise("stage")).when(F.col("persisted").isNotNull(), "persisted").otherwise("empty")
+    return found.select("id", source.alias("source"), F.coalesce(first, F.col("persisted")).alias("source_id"))
+
+
 def log_page(logs: DataFrame, limit: int, before: int | None = None, level: str | None = None, search: str | None = None, node: str | None = None) -> DataFrame:
     """A page of logs, newest first, with one row more than asked for, which tells that there are older ones."""
     if before is not None:

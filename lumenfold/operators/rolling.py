@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.numeric import is_finite
+from lumenfold.operators import scan
 from lumenfold.plans.control import EWMA_ALPHA
 
 
@@ -19,23 +20,38 @@ def ewma_step(mean: float | None, variance: float, x: float, alpha: float = EWMA
     return mean + alpha * delta, max(0.0, (1 - alpha) * (variance + alpha * delta * delta))
 
 
-def ewma(rows: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, alpha: float = EWMA_ALPHA) -> DataFrame:
+def ewma(rows: DataFrame, keys: Sequence[str], order: Sequence[str], x: str, alpha: float = EWMA_ALPHA, target: int = scan.TARGET) -> DataFrame:
     """(keys, mean, variance, n) after all observations in order; those negative or not finite are passed over.
 
-    A key's observations are folded in order, so they meet in one row: for up to millions per key.
+    A stretch of observations takes a mean m and variance v to ``a m + b`` and ``a v + c0 + c1 m + c2 m^2``. Such maps
+    compose to one of the same form, so a key's stretches are scanned apart and joined in any grouping.
     """
-    good = rows.where(is_finite(F.col(x)) & (F.col(x) >= 0))
-    listed = good.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(x).cast("double").alias("_x")))).alias("xs"))
-    first = F.struct(F.col("xs")[0]["_x"].alias("mean"), F.lit(0.0).alias("variance"))
-
-    def step(s: Column, e: Column) -> Column:
-        delta = e["_x"] - s["mean"]
-        variance = F.greatest(F.lit(0.0), (1 - alpha) * (s["variance"] + alpha * delta * delta))
-        return F.struct((s["mean"] + alpha * delta).alias("mean"), variance.alias("variance"))
-
-    rest = F.slice(F.col("xs"), F.lit(2), F.greatest(F.size("xs") - 1, F.lit(0)))
-    folded = listed.withColumn("s", F.aggregate(rest, first, step)).withColumn("n", F.size("xs").cast("bigint"))
-    return folded.select(*keys, F.col("s.mean").alias("mean"), F.col("s.variance").alias("variance"), "n")
+    good = rows.where(is_finite(F.col(x)) & (F.col(x) >= 0)).withColumn(x, F.col(x).cast("double"))
+    keep = 1 - alpha
+
+    def fold(xs: Column) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("n"), xs[0].alias("first"), F.lit(1.0).alias("a"), *[F.lit(0.0).alias(k) for k in ("b", "c0", "c1", "c2")])
+
+        def step(s: Column, e: Column) -> Column:
+            d = e - s["b"]
+            return F.struct(
+                (s["n"] + 1).alias("n"), s["first"].alias("first"), (keep * s["a"]).alias("a"), (s["b"] + alpha * d).alias("b"),
+                (keep * (s["c0"] + alpha * d * d)).alias("c0"), (keep * (s["c1"] - 2 * alpha * d * s["a"])).alias("c1"), (keep * (s["c2"] + alpha * s["a"] * s["a"])).alias("c2"),
+            )
+
+        return F.aggregate(xs, start, step)
+
+    def compose(f: Column, g: Column) -> Column:
+        return F.struct(
+            (f["n"] + g["n"]).alias("n"), f["first"].alias("first"), (g["a"] * f["a"]).alias("a"), (g["a"] * f["b"] + g["b"]).alias("b"),
+            (g["a"] * f["c0"] + g["c0"] + g["c1"] * f["b"] + g["c2"] * f["b"] * f["b"]).alias("c0"),
+            (g["a"] * f["c1"] + g["c1"] * f["a"] + 2 * g["c2"] * f["a"] * f["b"]).alias("c1"), (g["a"] * f["c2"] + g["c2"] * f["a"] * f["a"]).alias("c2"),
+        )
+
+    out = scan.composed(good, keys, order, x, fold, compose, target)
+    s, m = F.col("state"), F.col("state")["first"]  # the first observation sets the mean
+    variance = F.greatest(F.lit(0.0), s["c0"] + s["c1"] * m + s["c2"] * m * m)
+    return out.select(*keys, (s["a"] * m + s["b"]).alias("mean"), variance.alias("variance"), s["n"].alias("n"))
 
 
 def throughput(rows: DataFrame, keys: Sequence[str], order: Sequence[str], done: str, ts: str) -> DataFrame:

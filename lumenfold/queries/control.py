@@ -156,6 +156,24 @@ def stage_asof(spark, sf_dir):
     return queue.as_of_join(left, right, "run_id", "at", "sequence_nr", [])
 
 
+@query(f"""WITH {TASKS}, {SNAPSHOTS}, {BATCHES}, g AS (SELECT id, run_id, sequence_nr * 100 AS at, state = 'active' AS active FROM tk),
+cu AS (SELECT id, run_id, id % 5000 AS s FROM b WHERE status = 'claimed' AND run_id < 5), st AS (SELECT id, run_id, sequence_nr AS s FROM sn WHERE queue_empty AND run_id % 2 = 0),
+pe AS (SELECT id, run_id, 1000 + id % 4000 AS s FROM b WHERE status = 'completed' AND run_id < 8),
+f AS (SELECT g.*, (SELECT arg_max(x.id, x.s::BIGINT * 1000000000 + x.id) FROM cu x WHERE x.run_id = g.run_id AND x.s < g.at) AS c,
+  (SELECT arg_max(x.id, x.s::BIGINT * 1000000000 + x.id) FROM st x WHERE x.run_id = g.run_id AND x.s < g.at) AS s,
+  (SELECT arg_max(x.id, x.s::BIGINT * 1000000000 + x.id) FROM pe x WHERE x.run_id = g.run_id AND x.s < g.at) AS p FROM g)
+SELECT id, CASE WHEN active AND c IS NOT NULL THEN 'current' WHEN NOT active AND s IS NOT NULL THEN 'stage' WHEN p IS NOT NULL THEN 'persisted' ELSE 'empty' END AS source,
+  coalesce(CASE WHEN active THEN c ELSE s END, p) AS source_id FROM f""")
+def panel_sources(spark, sf_dir):
+    """What each task's panels show: the current observable, a stage, a persisted snapshot, or nothing."""
+    t = tasks(spark, sf_dir).select("id", "run_id", (F.col("sequence_nr") * 100).alias("at"), (F.col("state") == "active").alias("active"))
+    b = batches(spark, sf_dir)
+    current = b.where("status = 'claimed' and run_id < 5").select("id", "run_id", (F.col("id") % 5000).alias("sequence_nr"))
+    persisted = b.where("status = 'completed' and run_id < 8").select("id", "run_id", (1000 + F.col("id") % 4000).alias("sequence_nr"))
+    stages = snapshots(spark, sf_dir).where("queue_empty and run_id % 2 = 0 and sequence_nr is not null").select("id", "run_id", "sequence_nr")
+    return queue.panel_source(t, current, stages, persisted)
+
+
 @query(f"""WITH {BATCHES}, {NODES}, {RUNS}, m AS (SELECT run_id, claimed_by_node_name AS worker, total_eval_time_ms AS metric, status FROM b
   QUALIFY row_number() OVER (PARTITION BY run_id, claimed_by_node_name, status ORDER BY created_at DESC, id DESC) = 1)
 SELECT nd.name, coalesce(nd.active_run_id, nd.desired_run_id) AS run_key, s.metric AS sampler_metric, e.metric AS evaluator_metric,

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions.numeric import complex_of
-from lumenfold.operators import evaluate, observe
+from lumenfold.operators import evaluate, observe, scan
 from lumenfold.queries.registry import query, rounded, table
 
 # the same sums and estimates for DuckDB
@@ -98,11 +98,11 @@ def full_extrema(spark, sf_dir):
 c AS (SELECT day, CAST(sum(n) OVER w AS BIGINT) AS n, CAST(sum(s) OVER w AS DOUBLE) AS s, CAST(sum(q) OVER w AS DOUBLE) AS q FROM d WINDOW w AS (ORDER BY day ROWS UNBOUNDED PRECEDING))
 SELECT CAST(day AS VARCHAR) AS day, n, round(s / n) / 1e6 AS mean, round(sqrt(greatest(q / n - (s / n) * (s / n), 0) / n)) / 1e6 AS stderr FROM c""")
 def estimate_history_band(spark, sf_dir):
-    day = F.col("o_orderdate").cast("date").cast("string").alias("day")
+    day = F.col("o_orderdate").cast("date").alias("day")
     price = F.col("o_totalprice").cast("decimal(18,2)")  # decimals have the same sum in any order
     states = table(spark, sf_dir, "orders").groupBy(day).agg(F.count("*").alias("n"), F.sum(price).alias("s"), F.sum(price * price).alias("q"))
-    w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)  # one row per day, not per order
-    upto = states.select("day", *[F.sum(c).over(w).cast(t).alias(c) for c, t in (("n", "bigint"), ("s", "double"), ("q", "double"))])
+    upto = scan.running_sums(states, ["day"], ["n", "s", "q"], target=256)  # a row per day
+    upto = upto.select(F.col("day").cast("string").alias("day"), "n", F.col("s").cast("double").alias("s"), F.col("q").cast("double").alias("q"))
     mean = F.col("s") / F.col("n")
     spread = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)) / F.col("n"))
     # rounded while halves are still exact

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.functions import display
+from lumenfold.functions.numeric import is_finite
 from lumenfold.operators import panels
 from lumenfold.queries.registry import query, rounded, table
 
@@ -53,21 +57,40 @@ def scalar_ramp(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", *[c.alias(n) for c, n in zip(rgb, ("red", "green", "blue"))])
 
 
-@query("""SELECT -max(abs(value - 50)) AS low, max(abs(value - 50)) AS high, 'symmetric' AS mode FROM events
-UNION ALL SELECT min(value - 50), max(value - 50), 'min_max' FROM events UNION ALL SELECT 4.5, 5.5, 'flat' FROM events LIMIT 3""")
+@query("""WITH v AS (SELECT value - 50 AS v, CASE WHEN event_id % 2 = 0 THEN 5.0 END AS flat, CASE WHEN event_id % 2 = 0 THEN 0.0 END AS zero FROM events)
+SELECT -max(abs(v)) AS low, max(abs(v)) AS high, 'symmetric' AS mode FROM v UNION ALL SELECT min(v), max(v), 'min_max' FROM v
+UNION ALL SELECT min(flat) * 0.9, max(flat) * 1.1, 'flat' FROM v UNION ALL SELECT min(zero) - 1, max(zero) + 1, 'zero' FROM v
+UNION ALL SELECT count(v) * 0.0, count(v) * 0.0 + 1, 'none' FROM v""")
 def heatmap_scale(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("v", F.when(F.col("event_id") % 50 == 49, F.lit(float("nan"))).otherwise(F.col("value") - 50))
-    whole = e.withColumn("v", F.col("value") - 50)
-    modes = [panels.value_range(whole, F.col("v"), m).withColumn("mode", F.lit(m)) for m in ("symmetric", "min_max")]
-    flat = panels.value_range(e, F.when(F.isnan("v"), F.col("v")).otherwise(5.0), "min_max").withColumn("mode", F.lit("flat"))
-    return modes[0].unionByName(modes[1]).unionByName(flat)
+    """Colour scales of a field, of a flat one, of one that is 0 throughout, and of one without a finite value."""
+    e = table(spark, sf_dir, "events")
+    half = lambda x: F.when(F.col("event_id") % 2 == 0, F.lit(x)).otherwise(F.lit(float("nan")))
+    whole = F.col("value") - 50
+    scales = [(whole, "symmetric", "symmetric"), (whole, "min_max", "min_max"), (half(5.0), "min_max", "flat"), (half(0.0), "min_max", "zero"), (half(float("inf")), "symmetric", "none")]
+    found = [rounded(panels.value_range(e, v, how)).withColumn("mode", F.lit(name)) for v, how, name in scales]
+    return reduce(DataFrame.unionByName, found)
 
 
-@query("""SELECT event_type, round(min(value) - (max(value) - min(value)) * 0.08, 6) AS low, round(max(value) + (max(value) - min(value)) * 0.08, 6) AS high FROM events GROUP BY 1""")
+@query("""WITH v AS (SELECT event_id % 5 AS series, CASE event_id % 5 WHEN 0 THEN value WHEN 1 THEN 0.0 WHEN 2 THEN -5.0 WHEN 3 THEN 'nan'::DOUBLE ELSE value / 10 END AS v FROM events),
+g AS (SELECT series, min(v) FILTER (isfinite(v)) AS lo, max(v) FILTER (isfinite(v)) AS hi FROM v GROUP BY 1),
+r AS (SELECT *, CASE WHEN hi > lo THEN (hi - lo) * 0.08 WHEN lo = 0 THEN 1.0 ELSE abs(lo) * 0.1 END AS room FROM g)
+SELECT series, round(lo - room, 6) AS low, round(hi + room, 6) AS high FROM r""")
 def axis_fit(spark, sf_dir):
-    one = table(spark, sf_dir, "events").groupBy("event_type").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    """Axis limits of series: spread, 0 throughout, flat, and without a finite value."""
+    k = F.col("event_id") % 5
+    v = F.when(k == 0, F.col("value")).when(k == 1, 0.0).when(k == 2, -5.0).when(k == 3, F.lit(float("nan"))).otherwise(F.col("value") / 10)
+    finite = F.when(is_finite(v), v)
+    one = table(spark, sf_dir, "events").groupBy(k.alias("series")).agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"))
     low, high = display.padded(F.col("lo"), F.col("hi"))
-    return rounded(one.select("event_type", low.alias("low"), high.alias("high")))
+    return rounded(one.select("series", low.alias("low"), high.alias("high")))
+
+
+@query("""SELECT event_id, round(CASE WHEN event_id % 9 = 0 THEN event_id % 7 ELSE -2 + (value + 1 + 2) / 7 * (event_id % 7 + 0.5) END, 4)::DOUBLE AS x FROM events""")
+def cell_centres(spark, sf_dir):
+    """The centre of a cell of each event's range; the plain index where the range has no end."""
+    high = F.when(F.col("event_id") % 9 == 0, F.lit(float("inf"))).otherwise(F.col("value") + 1)
+    x = display.cell_centre(F.col("event_id") % 7, F.lit(-2.0), high, F.lit(7))
+    return table(spark, sf_dir, "events").select("event_id", F.round(x, 4).alias("x"))
 
 
 _HISTOGRAM = "h AS (SELECT floor(value / 10)::BIGINT AS bin, count(*)::DOUBLE AS value, sqrt(count(*)) AS error FROM events WHERE value < 400 GROUP BY 1)"
@@ -119,6 +142,17 @@ def json_flatten(spark, sf_dir):
     return display.flatten_json_column(e, "config").select("event_id", "key", "value")
 
 
+@query(f"""WITH c AS (SELECT event_id, CAST({_CONFIG} AS JSON) AS c FROM events WHERE event_id % 4 < 3)
+SELECT event_id, 'present' AS size, 'null' AS seed, 'missing' AS colour FROM c UNION ALL SELECT event_id, 'missing', 'missing', 'missing' FROM events WHERE event_id % 4 = 3 AND event_id % 8 < 4
+UNION ALL SELECT event_id, NULL, NULL, NULL FROM events WHERE event_id % 8 = 7""")
+def json_presence(spark, sf_dir):
+    """Whether a configuration has a key: present, there but null, missing, or unknown as it is no JSON."""
+    k = F.col("event_id")
+    config = F.when(k % 8 == 7, "{not json").when(k % 4 == 3, "{}").otherwise(F.expr(_CONFIG))
+    has = {"size": "$.queue.buffer.size", "seed": "$.seed", "colour": "$.queue.colour"}
+    return table(spark, sf_dir, "events").select("event_id", *[display.presence(config, path).alias(name) for name, path in has.items()])
+
+
 @query("""WITH d AS (SELECT l_orderkey AS k, count(*) AS n, (sum(l_quantity) - 60) * 17 AS m, 3.0 * count(*) AS e FROM lineitem GROUP BY 1), s AS (SELECT *, greatest(abs(m), e) AS big FROM d),
 p AS (SELECT *, floor(log10(big))::INT AS k10, e / power(10.0, floor(log10(big))) AS es FROM s), q AS (SELECT *, greatest(1 - floor(log10(es))::INT, 0) AS digits FROM p)
 SELECT k, '(' || CASE digits WHEN 0 THEN printf('%.0f', m / power(10.0, k10)) WHEN 1 THEN printf('%.1f', m / power(10.0, k10)) WHEN 2 THEN printf('%.2f', m / power(10.0, k10))

@@ -24,8 +24,12 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
 
-def _feed(spark: SparkSession, rows: DataFrame, name: str, run: Callable[[DataFrame], object], slices: int = 4) -> None:
-    """The rows arrive in slices of consecutive times; after each, ``run`` takes up its stream where it left it."""
+def _feed(spark: SparkSession, rows: DataFrame, name: str, run: Callable[[DataFrame], object], slices: int = 4, end: str | None = None) -> None:
+    """The rows arrive in slices of consecutive times; after each, ``run`` takes up its stream where it left it.
+
+    With ``end``, a row without values but for a time so long after the last tells the stream that no more will come: its
+    watermark passes all that is still open.
+    """
     folder = _folder(spark, name)
     at = F.unix_micros("ts")
     low, high = rows.agg(F.min(at), F.max(at)).first()
@@ -33,6 +37,10 @@ def _feed(spark: SparkSession, rows: DataFrame, name: str, run: Callable[[DataFr
     for k in range(slices):
         rows.where(place == k).write.mode("append").parquet(folder)
         run(ingest.read_stream(spark, folder, rows.schema))
+    if end is not None:
+        closing = rows.agg((F.max("ts") + F.expr(f"interval {end}")).alias("ts"))
+        closing.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]).write.mode("append").parquet(folder)
+        run(ingest.read_stream(spark, folder, rows.schema))
 
 
 def _drain(writer) -> None:
@@ -79,16 +87,13 @@ def stream_ewma(spark, sf_dir):
 @query("""WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m),
 g AS (SELECT user_id, min(ts) AS a, max(ts) AS b, count(*) AS beats FROM s GROUP BY user_id, k)
-SELECT user_id, epoch_us(a) AS start_us, beats FROM g WHERE b + INTERVAL 12 HOUR < (SELECT max(ts) - INTERVAL 3 DAY FROM events)""")
+SELECT user_id, epoch_us(a) AS start_us, beats FROM g""")
 def stream_lease_sessions(spark, sf_dir):
     rows = _events(spark, sf_dir).select("event_id", "ts", "user_id")
     out = _folder(spark, "sessions")
-    _feed(spark, rows, "beats", _appended(spark, out, "session-state", lambda s: ingest.lease_sessions(s, "user_id", "12 hours", "1 hour")))
-    # a stream gives sessions that the watermark has closed; three days before the end all of them are
-    end = rows.agg(F.max("ts").alias("end"))
-    found = spark.read.schema("user_id bigint, start timestamp, end timestamp, beats bigint").parquet(out)
-    closed = found.withColumnRenamed("end", "until").join(F.broadcast(end), F.col("until") < F.col("end") - F.expr("interval 3 days"))  # one row
-    return closed.select("user_id", F.unix_micros("start").alias("start_us"), "beats")
+    run = _appended(spark, out, "session-state", lambda s: ingest.lease_sessions(s, "user_id", "12 hours", "1 hour"))
+    _feed(spark, rows, "beats", run, end="30 days")
+    return spark.read.schema("user_id bigint, start timestamp, end timestamp, beats bigint").parquet(out).select("user_id", F.unix_micros("start").alias("start_us"), "beats")
 
 
 @query("""WITH p AS (SELECT user_id, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place, event_id % 60 = 59 AS lost FROM events),

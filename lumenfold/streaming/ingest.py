@@ -44,7 +44,7 @@ def distinct_results(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
 
 
 def lease_sessions(stream: DataFrame, key: str, gap: str, watermark: str) -> DataFrame:
-    """Times that a node was heard of without a silence longer than its lease."""
+    """Times that a node was heard of without a silence longer than its lease, each once the watermark has passed its end."""
     sessions = stream.withWatermark("ts", watermark).groupBy(key, F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("beats"))
     return sessions.select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "beats")
 

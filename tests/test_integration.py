@@ -1,11 +1,12 @@
 """Golden values and invariants of points, aggregates, grids, tasks and state tables."""
 
+import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from lumenfold.functions.display import estimate_with_error, flatten_json, required_downsample_level
+from lumenfold.functions.display import estimate_with_error, flatten_json, flatten_json_column, required_downsample_level
 from lumenfold.functions.numeric import complex_of, coprime_stride
 from lumenfold.operators import observe, panels, vegas
 from lumenfold.plans.control import TrainingWindow
@@ -72,7 +73,7 @@ def test_grid_survives_writing(spark):
 
 
 def test_trained_grid_gives_the_integral_and_a_smaller_error_than_uniform_points(spark):
-    found = QUERIES["vegas_inference"](spark, "").first()
+    found = QUERIES["vegas_inference"](spark, "/root/testdata/sf0.1").first()
     root = math.sqrt(20)
     axis = lambda c: math.sqrt(math.pi) / (2 * root) * (math.erf(root * (1 - c)) + math.erf(root * c))
     true = axis(0.3) * axis(0.7)
@@ -118,3 +119,19 @@ def test_configuration(tmp_path):
     assert flatten_json('{"a": {"b": [1, 2]}, "c": null}') == [("a.b", "[1, 2]"), ("c", "null")]
     with pytest.raises(ValueError):
         load_template(str(tmp_path), "../x.toml")
+
+
+def test_json_of_any_depth_is_flattened(spark):
+    deep: dict = {"v": 20}
+    for i in reversed(range(20)):
+        deep = {"k": deep, "v": i}
+    rows = [(1, json.dumps(deep)), (2, '{"a": {}, "b": [1, null, "x"], "c": null}'), (3, None), (4, "{broken"), (5, "[1]"), (6, '{"a.b": {"": true}}')]
+    found = flatten_json_column(spark.createDataFrame(rows, "id int, `c.d` string"), "c.d").collect()
+    assert {r["key"]: r["value"] for r in found if r["id"] == 1} == {"k." * i + "v": str(i) for i in range(21)}
+    assert sorted((r["id"], r["key"], r["value"]) for r in found if r["id"] > 1) == [(2, "b", "[1, none, x]"), (2, "c", "null"), (6, "a.b.", "true")]
+
+
+def test_first_k_of_a_key_are_cut_before_the_shuffle(spark):
+    plan = QUERIES["completed_prefix"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    before = plan[plan.index("Exchange hashpartitioning") :]
+    assert "WindowGroupLimit" in before and "row_number(), 16, Partial" in before
