@@ -21,6 +21,7 @@ library; input columns other than the id and text are not read.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -184,10 +185,10 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF) -> Dat
                 encoded = iter(units.encode([p.decode() for k, p in zip(kinds, payload) if k == _TEXT]))
                 for i, kind in enumerate(kinds):
                     if kind == _TEXT:
-                        payload[i] = next(encoded)
+                        payload[i] = _narrow(next(encoded), units)
                     elif kind == _RUN:
                         encode = encode or _unsplit(tokenizer_path)
-                        payload[i] = tokens._pack(encode(payload[i].decode()))
+                        payload[i] = _narrow(tokens._pack(encode(payload[i].decode())), units)
                 yield part.set_column(part.schema.get_field_index("payload"), "payload", pa.array(payload, pa.binary()))
         units.forget()
 
@@ -214,7 +215,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF) -> Dat
             if row["kind"] == _IDS:
                 packed.append(row["payload"])
                 continue
-            group.append(memoryview(row["payload"]).cast("I").tolist())
+            group.append(memoryview(row["payload"]).cast(_code(units)).tolist())
             if following is None or (following["kind"], following["run"]) != (row["kind"], row["run"]):
                 if row["kind"] == _TEXT:
                     joined = join_tree(group, units.bytes_of, lambda t: memoryview(units.encode([t])[0]).cast("I").tolist(), join_texts)
@@ -233,6 +234,15 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF) -> Dat
     return rows.where(~long).mapInArrow(whole, RESULT).union(joined)
 
 
+def _code(units) -> str:
+    """Ids travel in two bytes where the vocabulary lets them."""
+    return "H" if len(units.bytes_of) <= 1 << 16 else "I"
+
+
+def _narrow(packed: bytes, units) -> bytes:
+    return array(_code(units), memoryview(packed).cast("I").tolist()).tobytes()
+
+
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
