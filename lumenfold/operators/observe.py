@@ -84,6 +84,25 @@ def finalise(states: DataFrame, estimate: dict[str, Column], digits: int | None
     return states.select("*", *[(F.round(x, digits) if digits is not None else x).alias(k) for k, x in estimate.items()])
 
 
+CONVERGENCE_STATE = ("windows", "inverse_variance", "weighted_mean", "weighted_square")
+
+
+def convergence_partial(mean: Column, error: Column, least: float = 0.0) -> list[Column]:
+    """A mergeable state of window estimates, each weighted by its inverse variance; windows of no finite error above ``least`` are left out."""
+    ok = is_finite(mean) & is_finite(error) & (error > least)
+    w = 1 / (error * error)
+    named = dict(zip(CONVERGENCE_STATE[1:], (w, w * mean, w * mean * mean)))
+    return [F.count_if(ok).alias("windows"), *[_sum_if(ok, x).alias(k) for k, x in named.items()]]
+
+
+def convergence_estimate() -> dict[str, Column]:
+    """The windows' mean and its error, and chi-squared per degree of freedom; null where they say nothing."""
+    n, s0, s1, s2 = (F.col(c) for c in CONVERGENCE_STATE)
+    known = s0 > 0
+    spread = F.greatest(s2 - s1 * s1 / s0, F.lit(0.0))
+    return {"mean": F.when(known, s1 / s0), "error": F.when(known, 1 / F.sqrt(s0)), "chi_sq": F.when(known & (n > 1), spread / (n - 1))}
+
+
 def pull(mean: Column, error: Column, target: Column) -> Column:
     """Deviations of an estimate from a known target."""
     return ratio(mean - target, error)
