@@ -104,6 +104,18 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """(row, text): the text, and all other columns inside ``row``, where their names and types clash with nothing."""
+    rest = [c for c, name in zip(columns(df), df.columns) if name != "text"]
+    return df.select(F.struct(F.lit(0).alias("_"), *rest).alias("row"), "text")
+
+
+def unpacked(rows: DataFrame, like: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``like`` again from (row, text, ...), some of them ``changed``."""
+    one = lambda c: F.col("text") if c == "text" else F.col("row").getField(c)
+    return rows.select(*[changed.get(c, one(c)).alias(c) for c in like.columns])
+
+
 def hashable(df: DataFrame) -> list[Column]:
     """The columns of ``df`` for a hash; those of types without one as text."""
     plain = lambda t: not any(kind in t.simpleString() for kind in ("map<", "variant"))

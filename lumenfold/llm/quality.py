@@ -172,16 +172,17 @@ def base_failed(n_words, n_repeat_words):
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """(row, votes, failed): the rows of ``docs`` whole, with the votes on each and whether the base rules fail it."""
-    packed = docs.select(F.struct(*common.columns(docs)).alias("row"), "text")
+    """(row, text, votes, failed): the rows of ``docs``, with the votes on each and whether the base rules fail it."""
+    packed = common.packed(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end, m in _measured(batch, 1):
                 failed = base_failed(m["n_words"], m["n_repeat_words"])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(votes(m), pa.int64()), pa.array(failed)], names=["row", "votes", "failed"])
+                part = batch.slice(begin, end - begin)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(votes(m), pa.int64()), pa.array(failed)], names=["row", "text", "votes", "failed"])
 
-    schema = T.StructType([packed.schema["row"], T.StructField("votes", T.LongType()), T.StructField("failed", T.BooleanType())])
+    schema = T.StructType([*packed.schema.fields, T.StructField("votes", T.LongType()), T.StructField("failed", T.BooleanType())])
     return packed.mapInArrow(run, schema)
 
 
@@ -195,7 +196,7 @@ def keep(docs: DataFrame, posterior: dict[int, float] | None = None, keep_from:
         rows = common.settle(rows, "judged")
         posterior = fit(rows)
     good = [c for c, p in posterior.items() if p >= keep_from]  # at most 2^rules
-    return rows.where(~F.col("failed") & F.col("votes").isin(good)).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return common.unpacked(rows.where(~F.col("failed") & F.col("votes").isin(good)), docs)
 
 
 def op2_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
