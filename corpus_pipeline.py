@@ -23,8 +23,7 @@ SIMILARITY = (4, 5)
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the language models reject."""
     model = langid.fit(docs.select("doc_id", "lang", "text"))
-    rows = docs.select(F.struct(*common.columns(docs)).alias("row"), "text")  # columns of any name stay inside
-    return _unpacked(langid.identify(rows, model).where("not langid_rejected"), docs)
+    return common.unpacked(langid.identify(common.packed(docs), model).where("not langid_rejected"), docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,14 +38,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in the texts; ``n_chars`` follows the new text."""
-    rows = common.settle(secrets.scan(docs.select(F.struct(*common.columns(docs)).alias("row"), "text")), "scanned")  # texts are scanned once
+    rows = common.settle(secrets.scan(common.packed(docs)), "scanned")  # texts are scanned once
     text = secrets.redacted(F.col("text"), secrets.all_spans(secrets.thresholds(rows)))
-    row = F.col("row").withField("text", F.col("text")).withField("n_chars", F.length("text").cast("bigint"))
-    return _unpacked(rows.withColumn("text", text).select(row.alias("row")), docs)
-
-
-def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return common.unpacked(rows.withColumn("text", text), docs, n_chars=F.length("text").cast("bigint"))
 
 
 def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
