@@ -130,6 +130,18 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Rows of whole texts that pass between the JVM and Python at once.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lets the session pass at most ``BATCH_ROWS`` rows at once: texts are long, and both sides hold a batch several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    most = int(spark.conf.get(name))
+    if not 0 < most <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def text_chunks(batch: pa.RecordBatch, column: int, chars: int) -> Iterator[list[str]]:
     """The texts of a batch, null as empty, in lists of about ``chars`` characters or of one longer text."""
     texts: list[str] = []
