@@ -22,22 +22,26 @@ SIMILARITY = (4, 5)
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the language models reject."""
+    common.bound_batches(spark)
     model = langid.fit(docs.select("doc_id", "lang", "text"))
     return common.unpacked(langid.identify(common.packed(docs), model).where("not langid_rejected"), docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or are more likely bad than good."""
+    common.bound_batches(spark)
     return quality.keep(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of near copies."""
+    common.bound_batches(spark)
     return jaccard.keep_one(docs, SHINGLE_WORDS, SIMILARITY)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in the texts; ``n_chars`` follows the new text."""
+    common.bound_batches(spark)
     rows = common.settle(secrets.scan(common.packed(docs)), "scanned")  # texts are scanned once
     text = secrets.redacted(F.col("text"), secrets.all_spans(secrets.thresholds(rows)))
     return common.unpacked(rows.withColumn("text", text), docs, n_chars=F.length("text").cast("bigint"))
@@ -45,6 +49,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of at most 4096 tokens."""
+    common.bound_batches(spark)
     return packing.pack(docs, tokens.public_path("word_bpe_49k.json"))
 
 
