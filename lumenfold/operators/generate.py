@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from lumenfold.functions.numeric import linspace, permuted, uniform
 from lumenfold.plans.domain import Domain, fixed_rectangular_dims, leaves
@@ -99,6 +104,38 @@ def latent_batches(batches: DataFrame, seed: int) -> DataFrame:
     return batches.select("batch_id", F.col("nr_samples").cast("int").alias("nr_samples"), (F.col("batch_id") + seed * 1_000_003).cast("bigint").alias("seed"))
 
 
+class DrawBatch:
+    """A table function: the uniform points of the latent batches in a table (batch_id, nr_samples, seed).
+
+    How many columns it returns follows from ``dims``. Numbers are those of ``uniform`` for the batch's seed.
+    """
+
+    @staticmethod
+    def analyze(batches: AnalyzeArgument, dims: AnalyzeArgument) -> AnalyzeResult:
+        if not batches.isTable:
+            raise ValueError("batches are given as a table")
+        fields = [T.StructField("batch_id", T.LongType()), T.StructField("sample_index", T.LongType()), *[T.StructField(f"x{d}", T.DoubleType()) for d in range(dims.value)]]
+        return AnalyzeResult(schema=T.StructType([*fields, T.StructField("weight", T.DoubleType())]))
+
+    def eval(self, batch: Row, dims: int) -> Iterator[tuple]:
+        for i in range(batch["nr_samples"] or 0):
+            digests = [hashlib.md5(f"latent:{batch['seed']}/{i}:{d}".encode()).hexdigest() for d in range(dims)]
+            yield (batch["batch_id"], i, *[int(h[:13], 16) / (1 << 52) for h in digests], 1.0)
+
+
+def draw_batches(batches: DataFrame, dims: int) -> DataFrame:
+    """(batch_id, sample_index, x0.., weight) of latent batches, each drawn where its row is."""
+    spark = batches.sparkSession
+    spark.udtf.register("draw_batch", F.udtf(DrawBatch))
+    return spark.sql(f"SELECT * FROM draw_batch(TABLE(SELECT * FROM {{batches}}) PARTITION BY (batch_id), {int(dims)})", batches=batches)
+
+
+def batch_points(batches: DataFrame, dims: int) -> DataFrame:
+    """The same points by column functions alone."""
+    key = F.concat_ws("/", F.col("seed").cast("string"), F.col("sample_index").cast("string"))
+    return batch_samples(batches).select("batch_id", "sample_index", *[uniform("latent", key, d).alias(f"x{d}") for d in range(dims)], F.lit(1.0).alias("weight"))
+
+
 def batch_samples(batches: DataFrame) -> DataFrame:
     """One row per sample of latent batches (batch_id, seed, sample_index within the batch)."""
     inside = F.expr("case when nr_samples > 0 then sequence(0, nr_samples - 1) else cast(array() as array<int>) end")

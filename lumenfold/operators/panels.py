@@ -67,7 +67,28 @@ def histogram_steps(bins: DataFrame, log_y: bool = False, epsilon: float = 2.220
     return out.select(*keep, "centre", "y", "relative_error", "c.corner", "c.x")
 
 
+def exponential(x: Column) -> Column:
+    """Eight digits and an exponent without leading zeros; a fixed zero for what is not finite."""
+    text = F.format_string("%.8e", x.cast("double"))
+    return F.when(is_finite(x), F.regexp_replace(text, "e([+-])0([0-9])$", "e$1$2")).otherwise("0.00000000e+00")
+
+
 def hwu_lines(bins: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of a plain-text histogram: start, stop, value and error with eight digits and a signed two-digit exponent."""
-    number = lambda c: F.format_string("%.8e", F.col(c).cast("double"))
-    return bins.select(*keys, F.concat_ws(" ", *map(number, ("start", "stop", "value", "error"))).alias("line"))
+    """Rows of a plain-text histogram: start, stop, value and error."""
+    return bins.select(*keys, F.concat(F.lit("  "), F.concat_ws("   ", *[exponential(F.col(c)) for c in ("start", "stop", "value", "error")])).alias("line"))
+
+
+def hwu_blocks(bins: DataFrame, keys: Sequence[str], title: Column, log_x: Column, log_y: Column, kind: str = "HwU") -> DataFrame:
+    """(keys, name, block): each histogram (keys, name, bin, start, ...) as text: a head, its axes, and a line per bin in order."""
+    lines = hwu_lines(bins.withColumns({"_title": title, "_x": log_x, "_y": log_y}), [*keys, "name", "bin", "_title", "_x", "_y"])
+    one = lines.groupBy(*keys, "name", "_title", "_x", "_y").agg(F.array_sort(F.collect_list(F.struct("bin", "line"))).alias("lines"))  # as many as bins
+    axis = lambda c: F.when(F.col(c), "LOG").otherwise("LIN")
+    about = F.concat(F.col("_title"), F.lit(" |X_AXIS@"), axis("_x"), F.lit(" |Y_AXIS@"), axis("_y"), F.lit(f" |TYPE@{kind}"))
+    head = F.concat(F.lit("<histogram> "), F.size("lines").cast("string"), F.lit(' "'), about, F.lit('"'))
+    parts = F.concat(F.array(F.lit("##& xmin & xmax & central value & dy &"), F.lit(""), head), F.transform("lines", lambda e: e["line"]), F.array(F.lit("<\\histogram>"), F.lit("")))
+    return one.select(*keys, "name", F.array_join(parts, "\n").alias("block"))
+
+
+def write_blocks(blocks: DataFrame, key: str, folder: str) -> None:
+    """One text file for each key with its blocks in the order of their names."""
+    blocks.repartition(key).sortWithinPartitions(key, "name").select(key, "block").write.mode("overwrite").partitionBy(key).text(folder)

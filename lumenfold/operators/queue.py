@@ -172,6 +172,48 @@ def log_page(logs: DataFrame, limit: int, before: int | None = None, level: str
     return logs.orderBy(F.desc("id")).limit(limit + 1)
 
 
+def log_answer(page: DataFrame, limit: int) -> DataFrame:
+    """A page as it is answered: ``limit`` rows, whether older ones exist, and the id to ask with for these.
+
+    ``page`` has one row more than asked for at most, as ``log_page`` gives it.
+    """
+    found = page.withColumn("_n", F.row_number().over(Window.orderBy(F.desc("id"))))  # limit + 1 rows
+    more = found.agg((F.max("_n") > limit).alias("has_more_older"), F.min(F.when(F.col("_n") <= limit, F.col("id"))).alias("_last"))
+    out = found.where(F.col("_n") <= limit).join(F.broadcast(more))  # one row
+    return out.withColumn("next_before_id", F.when(F.col("has_more_older"), F.col("_last"))).drop("_n", "_last")
+
+
+def history(rows: DataFrame, limit: int, equal: dict | None = None) -> DataFrame:
+    """The newest rows of a history (created_at, id), newest first, of what has the given values."""
+    for column, value in (equal or {}).items():
+        rows = rows.where(F.col(column) == value)
+    return rows.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+
+
+def claimed_inputs(claimed: DataFrame, inputs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Claimed batches (id, node_uuid, ...) with their inputs (batch_id, ...) and the name of the node, null if it is unknown."""
+    names = nodes.groupBy(F.col("uuid").alias("node_uuid")).agg(F.min("name").alias("claimed_by"))
+    return claimed.join(inputs.withColumnRenamed("batch_id", "id"), "id").join(names, "node_uuid", "left")
+
+
+def completed_results(prefix: DataFrame, results: DataFrame) -> DataFrame:
+    """Completed batches (id, ...) with their results (batch_id, ...); a batch without one is not there yet."""
+    return prefix.join(results.withColumnRenamed("batch_id", "id"), "id")
+
+
+def stalled(ticks: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Ticks (completed, target, open, done, produced) at which a task cannot get any further: short of its target, with nothing open, done or made."""
+    stuck = (F.col("completed") < F.col("target")) & (F.col("open") == 0) & (F.col("done") == 0) & (F.col("produced") == 0)
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return ticks.where(stuck).withColumn("_n", first).where("_n = 1").drop("_n")
+
+
+def cloned(runs: DataFrame, snapshots: DataFrame, source: str = "run_id") -> DataFrame:
+    """(run_id, from_run_id, snapshot_id) of new runs (run_id, from_run_id) at their source's latest root snapshot; tasks are not copied."""
+    root = snapshots.where("queue_empty and task_id is null").groupBy(F.col(source).alias("from_run_id")).agg(F.max("id").alias("snapshot_id"))
+    return runs.join(root, "from_run_id").select("run_id", "from_run_id", "snapshot_id")
+
+
 def registered_workers(nodes: DataFrame, sampler: DataFrame, evaluator: DataFrame, runs: DataFrame) -> DataFrame:
     """Nodes with the latest metrics of their run and the names of the runs they serve and should serve; active first."""
     n = nodes.withColumn("run_key", F.coalesce("active_run_id", "desired_run_id"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenfold.operators import bundles, nested_grid, observe, pyramid
+from lumenfold.operators import bundles, generate, nested_grid, observe, panels, pyramid
 from lumenfold.queries.integration import _u
 from lumenfold.queries.registry import query, rounded, table
 
@@ -90,6 +90,29 @@ def histogram_bundle_bins(spark, sf_dir):
     return rounded(out.select("event_type", "bin", "start", "stop", "entries", "value", "error"))
 
 
+@query("""WITH v AS (SELECT event_type, 1.0 + event_id % 3 AS w, least(floor((value - 10) / 100 * 4) + 1, 4)::INT AS bin FROM events WHERE value >= 10 AND value < 110),
+n AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), k AS (SELECT event_type, n, unnest([1, 2, 3, 4]) AS bin FROM n),
+s AS (SELECT k.event_type, k.bin, k.n, coalesce(sum(w), 0) / k.n AS a, coalesce(sum(w * w), 0) / k.n AS q FROM k LEFT JOIN v ON v.event_type = k.event_type AND v.bin = k.bin GROUP BY 1, 2, 3),
+t AS (SELECT event_type, bin, printf('  %.8e   %.8e   %.8e   %.8e', 10 + (bin - 1) * 25.0::DOUBLE, 10 + bin * 25.0::DOUBLE, round(a, 6), round(sqrt(greatest(q - a * a, 0) / n), 6)) AS line FROM s)
+SELECT event_type, 'coarse' AS name, '##& xmin & xmax & central value & dy &' || chr(10) || chr(10) || '<histogram> 4 "coarse of events |X_AXIS@LIN |Y_AXIS@LOG |TYPE@HwU"' || chr(10) ||
+  string_agg(regexp_replace(line, 'e([+-])0([0-9])', 'e\\1\\2', 'g'), chr(10) ORDER BY bin) || chr(10) || '<\\histogram>' || chr(10) AS block FROM t GROUP BY 1""")
+def histogram_blocks(spark, sf_dir):
+    """Histograms as blocks of text: head, axes and rows."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    states = bundles.fill(e, ["event_type"], [bundles.Histogram("coarse", F.col("value"), 10, 110, 4)], 1 + k % 3, F.lit(False))
+    rows = rounded(bundles.bins(states, ["event_type"]))
+    return panels.hwu_blocks(rows, ["event_type"], F.concat(F.col("name"), F.lit(" of events")), F.lit(False), F.lit(True))
+
+
+@query(f"""WITH b AS (SELECT event_id AS batch_id, event_id + 11000033 AS seed, event_id % 7 AS n FROM events WHERE event_id % 5 = 0),
+p AS (SELECT batch_id, unnest(range(n)) AS sample_index, seed FROM b), k AS (SELECT batch_id, sample_index, seed || '/' || sample_index AS i FROM p)
+SELECT batch_id, sample_index, round({_u(0, "latent")}, 12) AS x0, round({_u(1, "latent")}, 12) AS x1, 1.0::DOUBLE AS weight FROM k""")
+def latent_points(spark, sf_dir):
+    """The points of latent batches that events describe, drawn by a table function from the rows of a table."""
+    described = table(spark, sf_dir, "events").where("event_id % 5 = 0").select(F.col("event_id").alias("batch_id"), (F.col("event_id") % 7).alias("nr_samples"))
+    return rounded(generate.draw_batches(generate.latent_batches(described, 11), 2), 12)
+
+
 _ASKED = 3
 _LEVELLED = """n AS (SELECT count(*) AS total FROM events), k AS (SELECT unnest([1, 2, 3]) AS request),
 s AS (SELECT request, event_type, event_id, value, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY request, event_type) AS n, max(event_id) OVER (PARTITION BY request, event_type) AS last

@@ -141,6 +141,55 @@ def log_page_of_node(spark, sf_dir):
     return queue.log_page(_logs(spark, sf_dir), 25, node="node-2").select("id", "node_name")
 
 
+@query(f"""WITH {_LOGS}, p AS (SELECT id, level, row_number() OVER (ORDER BY id DESC) AS n FROM lg WHERE level = 'user'), a AS (SELECT * FROM p WHERE n <= 40)
+SELECT id, level, (SELECT count(*) > 40 FROM p) AS has_more_older, (SELECT min(id) FROM a WHERE (SELECT count(*) > 40 FROM p)) AS next_before_id FROM a""")
+def log_answer(spark, sf_dir):
+    """A page of logs with what is needed to ask for the next."""
+    return queue.log_answer(queue.log_page(_logs(spark, sf_dir), 40, level="user"), 40).select("id", "level", "has_more_older", "next_before_id")
+
+
+@query(f"""WITH {BATCHES} SELECT id, created_at, total_eval_time_ms FROM b WHERE claimed_by_node_name = 'node-3' ORDER BY created_at DESC, id DESC LIMIT 64""")
+def performance_history(spark, sf_dir):
+    """The newest measurements of one worker."""
+    return queue.history(batches(spark, sf_dir), 64, {"claimed_by_node_name": "node-3"}).select("id", "created_at", "total_eval_time_ms")
+
+
+@query(f"""WITH {BATCHES}, {NODES}, c AS (SELECT id, run_id, claimed_by_node_uuid AS node_uuid FROM b WHERE status = 'claimed')
+SELECT c.id, c.run_id, 16 + c.id % 7 AS nr_samples, nd.name AS claimed_by FROM c LEFT JOIN nd ON nd.uuid = c.node_uuid AND nd.uuid NOT LIKE '%9' WHERE c.id % 3 <> 0""")
+def claimed_inputs(spark, sf_dir):
+    """Claimed batches with their inputs and their node's name, where the node is known."""
+    claimed = batches(spark, sf_dir).where("status = 'claimed'").select("id", "run_id", F.col("claimed_by_node_uuid").alias("node_uuid"))
+    inputs = table(spark, sf_dir, "events").where("event_id % 3 <> 0").select(F.col("event_id").alias("batch_id"), (16 + F.col("event_id") % 7).alias("nr_samples"))
+    found = queue.claimed_inputs(claimed, inputs, nodes(spark, sf_dir).where("uuid not like '%9'"))
+    return found.select("id", "run_id", "nr_samples", "claimed_by")
+
+
+@query(f"""WITH {BATCHES}, c AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY id) AS n FROM b WHERE status <> 'failed'), k AS (SELECT * FROM c WHERE n <= 8),
+f AS (SELECT task_id, min(id) FILTER (status <> 'completed') AS first FROM k GROUP BY 1)
+SELECT k.task_id, k.id, k.total_eval_time_ms AS ms FROM k JOIN f USING (task_id) WHERE k.status = 'completed' AND (f.first IS NULL OR k.id < f.first) AND k.id % 5 <> 0""")
+def completed_results(spark, sf_dir):
+    """The results of each task's completed prefix, where they have come."""
+    b = batches(spark, sf_dir)
+    prefix = queue.completed_prefix(b.where("status <> 'failed'"), 8, "task_id").select("task_id", "id")
+    results = b.where("id % 5 <> 0").select(F.col("id").alias("batch_id"), F.col("total_eval_time_ms").alias("ms"))
+    return queue.completed_results(prefix, results).select("task_id", "id", "ms")
+
+
+@query("""SELECT user_id, min(event_id) AS event_id FROM events WHERE event_id % 90 < 80 AND event_id % 2 = 0 AND event_type = 'view' AND user_id % 3 = 0 GROUP BY 1""")
+def no_progress(spark, sf_dir):
+    """The first tick at which each task is stuck."""
+    i, kind = F.col("event_id"), F.col("event_type")
+    ticks = table(spark, sf_dir, "events").select("user_id", "event_id", (i % 90).alias("completed"), F.lit(80).alias("target"), (i % 2).alias("open"),
+                                                  (kind != "view").cast("int").alias("done"), (F.col("user_id") % 3).alias("produced"))
+    return queue.stalled(ticks, ["user_id"], ["event_id"]).select("user_id", "event_id")
+
+
+@query(f"""WITH {SNAPSHOTS} SELECT (100 + run_id)::INT AS run_id, run_id AS from_run_id, max(id) AS snapshot_id FROM sn WHERE queue_empty AND task_id IS NULL GROUP BY run_id""")
+def cloned_runs(spark, sf_dir):
+    wanted = runs(spark).select((100 + F.col("run_id")).alias("run_id"), F.col("run_id").alias("from_run_id"))
+    return queue.cloned(wanted, snapshots(spark, sf_dir))
+
+
 @query("SELECT event_id, user_id FROM events WHERE user_id = 7 AND event_id > 300 ORDER BY event_id DESC LIMIT 40")
 def snapshot_delta(spark, sf_dir):
     return table(spark, sf_dir, "events").where("user_id = 7 and event_id > 300").orderBy(F.desc("event_id")).limit(40).select("event_id", "user_id")

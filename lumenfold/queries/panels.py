@@ -108,7 +108,8 @@ def histogram_render(spark, sf_dir):
     return out.select("bin", "corner", "x", "centre", "y", F.round("relative_error", 9).alias("relative_error"))
 
 
-@query(f"WITH {_HISTOGRAM} SELECT bin, printf('%.8e %.8e %.8e %.8e', bin * 10.0::DOUBLE, bin * 10.0::DOUBLE + 10, value, error) AS line FROM h")
+@query(f"""WITH {_HISTOGRAM}, t AS (SELECT bin, printf('  %.8e   %.8e   %.8e   %.8e', bin * 10.0::DOUBLE, bin * 10.0::DOUBLE + 10, value, error) AS line FROM h)
+SELECT bin, regexp_replace(line, 'e([+-])0([0-9])', 'e\\1\\2', 'g') AS line FROM t""")
 def hwu_export(spark, sf_dir):
     return panels.hwu_lines(_histogram(spark, sf_dir), ["bin"])
 

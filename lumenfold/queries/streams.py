@@ -105,5 +105,6 @@ def stream_in_order(spark, sf_dir):
     # batches complete out of order: slices are cut by a hash instead of time
     rows = rows.withColumn("ts", F.timestamp_seconds(F.pmod("event_id", F.lit(1000))))
     out = _folder(spark, "ordered")
-    _feed(spark, rows, "completed", _appended(spark, out, "order-state", lambda s: ingest.release_in_order(s, "user_id")))
+    with ingest.keyed_state(spark):
+        _feed(spark, rows, "completed", _appended(spark, out, "order-state", lambda s: ingest.release_in_order(s, "user_id")))
     return spark.read.schema("user_id bigint, place bigint, id bigint").parquet(out)

@@ -5,11 +5,13 @@ Every stream here has a batch form whose result it must equal once all input has
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lumenfold.operators.observe import SCALAR_STATE, scalar_partial
@@ -38,11 +40,6 @@ def merged(spark: SparkSession, sink: str, keys: list[str]) -> DataFrame:
     return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SCALAR_STATE])
 
 
-def distinct_results(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Each result once, though nodes may send it again."""
-    return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["batch_id"])
-
-
 def lease_sessions(stream: DataFrame, key: str, gap: str, watermark: str) -> DataFrame:
     """Times that a node was heard of without a silence longer than its lease, each once the watermark has passed its end."""
     sessions = stream.withWatermark("ts", watermark).groupBy(key, F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("beats"))
@@ -66,24 +63,57 @@ def ewma_stream(stream: DataFrame, key: str) -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(fold, f"{key} bigint, {schema}", schema, "update", GroupStateTimeout.NoTimeout)
 
 
-def release_in_order(stream: DataFrame, key: str) -> DataFrame:
-    """(key, id) of completed batches in unbroken order of ``place``: one that comes early waits for those before it.
+class InOrder(StatefulProcessor):
+    """Releases batches by unbroken ``place``. State: the next place, and a map of those that came early."""
 
-    The state holds the next place and the early arrivals of a run, which the queue's size bounds.
-    """
+    def __init__(self, key: str):
+        self.key = key
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.next = handle.getValueState("next", "place bigint")
+        self.early = handle.getMapState("early", "place bigint", "id bigint")
 
-    def release(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        following, places, ids = state.get if state.exists else (0, [], [])
-        waiting = dict(zip(places, ids))
-        for part in parts:
-            waiting.update(zip(part["place"].tolist(), part["id"].tolist()))
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+        following = self.next.get()[0] if self.next.exists() else 0
+        fresh: dict[int, int] = {}
+        for part in rows:
+            fresh.update(zip(part["place"].tolist(), part["id"].tolist()))
         out = []
-        waiting = {p: i for p, i in waiting.items() if p >= following}
-        while following in waiting:
-            out.append((following, waiting.pop(following)))
+        while True:
+            if following in fresh:
+                found = fresh.pop(following)
+            elif self.early.containsKey((following,)):
+                found = self.early.getValue((following,))[0]
+                self.early.removeKey((following,))
+            else:
+                break
+            out.append((following, found))
             following += 1
-        state.update((following, list(waiting), list(waiting.values())))
-        yield pd.DataFrame({key: [name[0]] * len(out), "place": [p for p, _ in out], "id": [i for _, i in out]})
+        for place, found in fresh.items():
+            if place > following:  # what was released before is a replay
+                self.early.updateValue((place,), (found,))
+        self.next.update((following,))
+        yield pd.DataFrame({self.key: [key[0]] * len(out), "place": [p for p, _ in out], "id": [i for _, i in out]})
 
-    state = "next bigint, places array<bigint>, ids array<bigint>"
-    return stream.groupBy(key).applyInPandasWithState(release, f"{key} bigint, place bigint, id bigint", state, "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def release_in_order(stream: DataFrame, key: str) -> DataFrame:
+    """(key, place, id) of completed batches in unbroken order of ``place``: one that comes early waits for those before it.
+
+    The state of a run has one entry for each batch that waits, so a change writes that entry and not all of them.
+    """
+    return stream.groupBy(key).transformWithStateInPandas(InOrder(key), f"{key} bigint, place bigint, id bigint", "append", "None")
+
+
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """The state store that the operators above need, for streams that start inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
