@@ -20,22 +20,10 @@ def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def clamp(x: Column, low, high) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
-
-
 def complex_of(re: Column, im: Column) -> Column:
     return F.struct(re.cast("double").alias("re"), im.cast("double").alias("im"))
 
 
-def complex_add(a: Column, b: Column) -> Column:
-    return complex_of(a["re"] + b["re"], a["im"] + b["im"])
-
-
-def complex_scale(a: Column, factor: Column) -> Column:
-    return complex_of(a["re"] * factor, a["im"] * factor)
-
-
 def modulus(a: Column) -> Column:
     return F.hypot(a["re"], a["im"])
 

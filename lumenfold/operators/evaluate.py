@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.expression import compile_expression
 from lumenfold.functions.numeric import complex_of, complex_sin, modulus, modulus_squared
-from lumenfold.plans.domain import Continuous, Domain, fixed_rectangular_dims, nested, rectangular
+from lumenfold.plans.domain import Continuous, Domain, nested, rectangular
 
 SCALAR, COMPLEX, BOTH = ("scalar", "full_scalar"), ("complex", "full_complex"), ("scalar", "full_scalar", "complex", "full_complex", "histograms")
 
@@ -86,7 +86,3 @@ def training_mismatches(batches: DataFrame) -> DataFrame:
     """Batches (batch_id, nr_samples, required, values) whose training values are missing, unasked for or of another number."""
     n = F.when(F.col("values").isNotNull(), F.size("values"))
     return batches.where((F.col("required") != F.col("values").isNotNull()) | (n != F.col("nr_samples"))).select("batch_id")
-
-
-def domain_matches(evaluator: Evaluator, continuous: int, depth: int) -> bool:
-    return fixed_rectangular_dims(evaluator.domain) == (continuous, depth)

@@ -155,16 +155,23 @@ def histogram_estimate(samples: Column) -> dict[str, Column]:
     return {"value": average, "error": F.when(samples > 0, F.sqrt(spread / samples)).otherwise(0.0)}
 
 
-def not_json_safe(values: Column) -> Column:
-    """Whether an array holds a number that JSON cannot."""
-    return F.exists(values, lambda x: ~is_finite(x))
+#: What stays of each kind of state: in full to go on with, persistent for histories, a digest for lists.
+PERSISTENT = {"scalar": SCALAR_STATE, "complex": COMPLEX_STATE, "full_scalar": ("processed",), "full_complex": ("processed",)}
+
 
+def persistent(states: DataFrame, keys: Sequence[str], kind: str) -> DataFrame:
+    """The compact form of states: sums as they are, of full fields only how many points they have."""
+    if kind in ("full_scalar", "full_complex"):
+        return states.groupBy(*keys).agg(F.count("*").alias("processed"))
+    return states.select(*keys, *PERSISTENT[kind])
 
-OBSERVABLES = ("scalar", "complex", "full_scalar", "full_complex", "histograms")
 
+def digest(states: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, count, nan_count, mean, stderr) of scalar states."""
+    e = scalar_estimate()
+    return finalise(states, {"mean": e["mean"], "stderr": e["stderr"]}).select(*keys, "count", "nan_count", "mean", "stderr")
 
-def merge_kind(a: str, b: str) -> str:
-    """States merge only with their own kind."""
-    if a not in OBSERVABLES or a != b:
-        raise ValueError(f"cannot merge {b} into {a}")
-    return a
+
+def not_json_safe(values: Column) -> Column:
+    """Whether an array holds a number that JSON cannot."""
+    return F.exists(values, lambda x: ~is_finite(x))

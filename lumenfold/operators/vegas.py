@@ -146,6 +146,8 @@ class Training:
     final_rate: float = 0.1
     ingested: int = 0
     updates: int = 0
+    #: (axis, bin, mass) of a window that is not full yet.
+    partial: tuple[tuple[int, int, float], ...] = ()
 
     def remaining(self) -> int:
         return max(0, self.target - self.ingested)
@@ -156,31 +158,28 @@ class Training:
     @classmethod
     def restore(cls, text: str) -> Training:
         raw = json.loads(text)
-        return cls(**{**raw, "grid": Grid.from_json(raw["grid"])})
+        return cls(**{**raw, "grid": Grid.from_json(raw["grid"]), "partial": tuple(map(tuple, raw["partial"]))})
 
     def step(self, index: Callable[[int, int], DataFrame], value: Callable[[DataFrame], Column]) -> Training:
-        """One window: sample, evaluate, sum per bin, move the grid if the window is full.
+        """The rest of a window, or of the target: sample, evaluate, sum per bin, move the grid if the window is full.
 
-        ``index`` gives the rows (sample_index) from one number up to another.
+        ``index`` gives the rows (sample_index) from one number up to another. What a window that is not full yet has summed
+        stays in the state, so stopping inside a window loses nothing.
         """
         n = TrainingWindow(self.target, self.window).budget(self.ingested, 0)
         if n <= 0:
             return self
-        after = self.ingested + n
-        grid = self.grid
-        if TrainingWindow(self.target, self.window).crossed(self.ingested, after):
-            points = sample(index(self.ingested, after), grid, self.seed)
-            mass = [[0.0] * grid.bins for _ in grid.edges]
-            heads = [0.0] * len(grid.branches)
-            for r in window_sums(points, value(points), len(grid.edges)).collect():  # bins x dims rows
-                if r["axis"] >= 0:
-                    mass[r["axis"]][r["bin"]] = r["mass"]
-                elif heads:
-                    heads[r["bin"]] = r["mass"]
-            rate = training_rate(self.initial_rate, self.final_rate, after, self.target)
-            edges = tuple(refine_edges(e, m, rate) for e, m in zip(grid.edges, mass))
-            grid = Grid(edges, refine_branches(grid.branches, heads, rate))
-        return replace(self, grid=grid, ingested=after, updates=self.updates + (grid is not self.grid))
+        after, grid = self.ingested + n, self.grid
+        points = sample(index(self.ingested, after), grid, self.seed)
+        cells = {(axis, b): m for axis, b, m in self.partial}
+        for r in window_sums(points, value(points), len(grid.edges)).collect():  # bins x dims rows
+            cells[r["axis"], r["bin"]] = cells.get((r["axis"], r["bin"]), 0.0) + r["mass"]
+        if not TrainingWindow(self.target, self.window).crossed(self.ingested, after):
+            return replace(self, ingested=after, partial=tuple((*k, m) for k, m in sorted(cells.items())))
+        rate = training_rate(self.initial_rate, self.final_rate, after, self.target)
+        edges = tuple(refine_edges(e, [cells.get((d, b), 0.0) for b in range(grid.bins)], rate) for d, e in enumerate(grid.edges))
+        heads = [cells.get((-1, b), 0.0) for b in range(len(grid.branches))]
+        return replace(self, grid=Grid(edges, refine_branches(grid.branches, heads, rate)), ingested=after, updates=self.updates + 1, partial=())
 
     def run(self, index: Callable[[int, int], DataFrame], value: Callable[[DataFrame], Column]) -> Training:
         state = self
@@ -189,7 +188,8 @@ class Training:
         return state
 
     def diagnostics(self) -> dict[str, float]:
-        return {"ingested": self.ingested, "updates": self.updates, "rate": training_rate(self.initial_rate, self.final_rate, self.ingested, self.target)}
+        left = self.window - self.ingested % self.window
+        return {"ingested": self.ingested, "updates": self.updates, "window_remaining": left, "rate": training_rate(self.initial_rate, self.final_rate, self.ingested, self.target)}
 
 
 def counted(spark: SparkSession) -> Callable[[int, int], DataFrame]:

@@ -1,11 +1,10 @@
 """Control rules of a run: batch sizes, how much to produce, training windows and rates, cursors.
 
-Rules that are asked for single values are functions of numbers; the ``_column`` forms are the same rules for rows.
+Rules over rows are columns, the ``_column`` forms; those that a driver asks before it plans a job are functions of numbers.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -19,19 +18,6 @@ EWMA_ALPHA = 0.2
 MAX_PAGE = 10_000
 
 
-def next_batch_size(size: int, ms_per_sample: float, target_ms: float, max_size: int) -> int:
-    """The size whose evaluation would take the target, at most four times more or less than now."""
-    if not (ms_per_sample > 0 and math.isfinite(ms_per_sample)):
-        return size
-    factor = min(max(target_ms / (ms_per_sample * size), RESIZE_LOW), RESIZE_HIGH)
-    return min(max(round(size * factor), MIN_BATCH_SIZE), max_size)
-
-
-def carried_batch_size(size: int, max_size: int) -> int:
-    """The first size of the next task."""
-    return min(max(round(size * CARRY_OVER), MIN_BATCH_SIZE), max_size)
-
-
 def next_batch_size_column(size: Column, ms_per_sample: Column, target_ms: float, max_size: int) -> Column:
     factor = F.least(F.greatest(target_ms / (ms_per_sample * size), F.lit(RESIZE_LOW)), F.lit(RESIZE_HIGH))
     resized = F.least(F.greatest(F.round(size * factor), F.lit(float(MIN_BATCH_SIZE))), F.lit(float(max_size)))
@@ -50,28 +36,12 @@ class QueueLimits:
     queue_buffer: float = 10.0
 
 
-def batches_to_produce(limits: QueueLimits, pending: int, open_: int, evaluators: int) -> int:
-    wanted = max(0, math.ceil(evaluators * limits.queue_buffer) - pending)
-    return max(0, min(limits.max_queue_size - open_, limits.max_batches_per_tick, wanted))
-
-
 def batches_to_produce_column(limits: QueueLimits, pending: Column, open_: Column, evaluators: Column) -> Column:
     none = F.lit(0).cast("bigint")
     wanted = F.greatest(none, F.ceil(evaluators * limits.queue_buffer) - pending)
     return F.greatest(none, F.least(limits.max_queue_size - open_, F.lit(limits.max_batches_per_tick).cast("bigint"), wanted)).cast("bigint")
 
 
-def split_samples(batches: int, batch_size: int, max_samples: int | None) -> list[int]:
-    """Batch sizes: full batches, or what may still be produced dealt evenly with the rest in the first."""
-    if batches <= 0 or max_samples == 0:
-        return []
-    if max_samples is None or max_samples >= batches * batch_size:
-        return [batch_size] * batches
-    n = min(batches, math.ceil(max_samples / batch_size))
-    base, rest = divmod(max_samples, n)
-    return [base + rest, *[base] * (n - 1)]
-
-
 def split_samples_column(batches: Column, batch_size: Column, max_samples: Column) -> Column:
     """As an array; a null ``max_samples`` sets no limit."""
     full = max_samples.isNull() | (max_samples >= batches * batch_size)
@@ -122,22 +92,5 @@ def training_rate_column(initial: float, final: float, ingested: Column, target:
 
 
 def page_limit(n: int | None, default: int = 500) -> int:
+    """Rows of a page that was asked for: 1 to ``MAX_PAGE``."""
     return min(max(default if n is None else n, 1), MAX_PAGE)
-
-
-def parse_cursor(text: str | None) -> tuple[int | None, int]:
-    """``id:level``; 0 stands for no snapshot yet."""
-    if not text:
-        return None, 0
-    head, _, tail = text.partition(":")
-    if not (head.isdigit() and (tail.isdigit() or not tail)):
-        raise ValueError(f"not a cursor: {text!r}")
-    return int(head) or None, int(tail or 0)
-
-
-def format_cursor(snapshot_id: int | None, level: int) -> str:
-    return f"{snapshot_id or 0}:{level}"
-
-
-def backoff_ms(failures: int, first: int = 50, most: int = 2000) -> int:
-    return min(most, first * 2 ** max(0, failures - 1))

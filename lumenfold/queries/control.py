@@ -11,7 +11,7 @@ from lumenfold.operators import queue, rolling
 from lumenfold.plans import control
 from lumenfold.plans.control import EWMA_ALPHA
 from lumenfold.queries.registry import AS_OF, BATCHES, NODES, RUNS, SNAPSHOTS, TASKS, batches, nodes, query, rounded, runs, snapshots, table, tasks
-from lumenfold.sources.state import batch_ids
+from lumenfold.sources.state import batch_ids, log_rows
 
 
 def _as_of():
@@ -145,7 +145,23 @@ def log_page_of_node(spark, sf_dir):
 SELECT id, level, (SELECT count(*) > 40 FROM p) AS has_more_older, (SELECT min(id) FROM a WHERE (SELECT count(*) > 40 FROM p)) AS next_before_id FROM a""")
 def log_answer(spark, sf_dir):
     """A page of logs with what is needed to ask for the next."""
-    return queue.log_answer(queue.log_page(_logs(spark, sf_dir), 40, level="user"), 40).select("id", "level", "has_more_older", "next_before_id")
+    n = control.page_limit(40)
+    return queue.log_answer(queue.log_page(_logs(spark, sf_dir), n, level="user"), n).select("id", "level", "has_more_older", "next_before_id")
+
+
+@query("""WITH l AS (SELECT conv_id * 100 + turn AS id, role AS source, CASE turn % 4 WHEN 0 THEN 'INFO' WHEN 1 THEN 'debug' WHEN 2 THEN 'WARN' ELSE 'noise' END AS level, conv_id, turn FROM conversations)
+SELECT id, source, CASE level WHEN 'noise' THEN 'noise' ELSE lower(level) END AS level, conv_id::VARCHAR AS conv, 'own' AS kind, CASE WHEN turn % 3 = 0 THEN NULL ELSE turn::VARCHAR END AS turn
+FROM l WHERE (source = 'user' AND level = 'WARN') OR (source <> 'user' AND level <> 'debug')""")
+def log_sink(spark, sf_dir):
+    """Log rows of a level policy, with the fields of their span under their own."""
+    turn = F.col("turn")
+    level = F.when(turn % 4 == 0, "INFO").when(turn % 4 == 1, "debug").when(turn % 4 == 2, "WARN").otherwise("noise")
+    text = lambda c: F.col(c).cast("string")
+    own = F.when(turn % 3 == 0, F.create_map(F.lit("kind"), F.lit("own"))).otherwise(F.create_map(F.lit("kind"), F.lit("own"), F.lit("turn"), text("turn")))
+    span = F.create_map(F.lit("kind"), F.lit("span"), F.lit("conv"), text("conv_id"))
+    events = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + turn).alias("id"), F.col("role").alias("source"), level.alias("level"), span.alias("span"), own.alias("fields"))
+    rows = log_rows(events, "info", {"user": "warn"})
+    return rows.select("id", "source", "level", *[F.col("fields")[k].alias(k) for k in ("conv", "kind", "turn")])
 
 
 @query(f"""WITH {BATCHES} SELECT id, created_at, total_eval_time_ms FROM b WHERE claimed_by_node_name = 'node-3' ORDER BY created_at DESC, id DESC LIMIT 64""")

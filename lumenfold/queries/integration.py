@@ -73,6 +73,22 @@ def expression_evaluator(spark, sf_dir):
     return evaluate.evaluate(rows, e).select("event_id", F.round("value", 6).alias("f"))
 
 
+@query("""WITH e AS (SELECT event_id, value / 100 AS x, (event_id % 10) / 10.0 AS y, event_id % 2 AS graph, event_id % 3 AS channel FROM events)
+SELECT event_id, 1.0::DOUBLE AS unit, round(sin(x) * exp(-x * x), 9) AS sine, round(x * y - 2 * y, 9) AS symbolic, round((1 + graph * 10 + channel) * x * y, 9) AS kernel FROM e""")
+def registered_integrands(spark, sf_dir):
+    """Integrands by their configuration, one of them a kernel from elsewhere over two discrete axes."""
+    kernel = lambda c, d: (1 + d[0] * 10 + d[1]) * c[0] * c[1]
+    specs = {
+        "unit": {"kind": "unit", "dims": 2}, "sine": {"kind": "sin_evaluator"}, "symbolic": {"kind": "symbolica", "text": "x*y - 2*y", "arguments": ["x", "y"]},
+        "kernel": {"kind": "external", "value": kernel, "axes": [("graph", 2), ("channel", 3)], "dims": 2},
+    }
+    i = F.col("event_id")
+    points = table(spark, sf_dir, "events").select("event_id", F.array(F.col("value") / 100, (i % 10) / 10.0).alias("continuous"), F.array(i % 2, i % 3).alias("discrete"))
+    for name, spec in specs.items():
+        points = evaluate.evaluate(points, evaluate.build(spec)).withColumnRenamed("value", name)
+    return rounded(points.select("event_id", *specs), 9)
+
+
 def _coordinates(points, digits=6):
     return points.select("sample_index", *[F.round(F.col("continuous")[d], digits).alias(f"x{d}") for d in range(3)], F.round("weight", digits).alias("weight"))
 

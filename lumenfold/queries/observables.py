@@ -78,6 +78,26 @@ def full_scalar_nan_positions(spark, sf_dir):
     return rounded(observe.full_scalar(e.select(F.col("event_id").alias("sample_index"), value.alias("value"), weight.alias("weight"))))
 
 
+@query("""WITH r AS (SELECT event_id AS sample_index, CASE WHEN event_id % 101 = 0 THEN 'nan'::DOUBLE ELSE value END * abs(event_id % 3 - 1.0) AS re, (event_id % 7) * abs(event_id % 3 - 1.0) AS im FROM events)
+SELECT sample_index, CASE WHEN isnan(re) THEN 0 ELSE round(re, 6) END AS re, CASE WHEN isnan(re) THEN 0 ELSE round(im, 6) END::DOUBLE AS im, isnan(re) AS is_nan FROM r""")
+def full_complex_nan_positions(spark, sf_dir):
+    i = F.col("event_id")
+    re = F.when(i % 101 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    rows = table(spark, sf_dir, "events").select(i.alias("sample_index"), complex_of(re, i % 7).alias("value"), (i % 3 - 1).cast("double").alias("weight"))
+    return rounded(observe.full_complex(rows))
+
+
+@query("""WITH v AS (SELECT user_id % 8 AS run_id, CASE WHEN event_id % 97 = 0 THEN 'nan'::DOUBLE ELSE value END AS v FROM events),
+s AS (SELECT run_id, count(*) AS processed, count(*) FILTER (NOT isnan(v)) AS n, count(*) FILTER (isnan(v)) AS nan_count, avg(v) FILTER (NOT isnan(v)) AS m, avg(v * v) FILTER (NOT isnan(v)) AS q FROM v GROUP BY 1)
+SELECT run_id, n AS count, nan_count, round(m, 6) AS mean, round(sqrt(greatest(q - m * m, 0) / n), 6) AS stderr, processed FROM s""")
+def observable_digests(spark, sf_dir):
+    """Digests of scalar states, beside what is kept of the full fields of the same samples."""
+    v = F.when(F.col("event_id") % 97 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("run_id"), F.col("event_id").alias("sample_index"), v.alias("value"), F.lit(1.0).alias("weight"))
+    states = observe.persistent(rows.groupBy("run_id").agg(*observe.scalar_partial(F.col("value"), F.col("weight"))), ["run_id"], "scalar")
+    return rounded(observe.digest(states, ["run_id"]).join(observe.persistent(rows, ["run_id"], "full_scalar"), "run_id"))
+
+
 @query("""WITH r AS (SELECT user_id AS batch_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value FROM events)
 SELECT batch_id, row_number() OVER (ORDER BY batch_id, i) - 1 AS position, value FROM r""")
 def full_merge_offsets(spark, sf_dir):

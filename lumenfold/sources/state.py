@@ -38,6 +38,10 @@ class StateStore:
         """What an upsert table would hold: the last row of each key."""
         return latest_per(self.read(table, **equal), keys, [F.desc(c) for c in order])
 
+    def snapshot(self, table: str, rows: DataFrame, json_columns: Sequence[str], partition_by: Sequence[str] = ("run_id",)) -> None:
+        """Appends snapshots whose ``json_columns`` are kept as VARIANT, so that paths of them can be read without a schema."""
+        self.append(table, rows.withColumns({c: F.parse_json(c) for c in json_columns}), partition_by)
+
     def checkpoint(self, table: str, rows: DataFrame, key: str = "run_id") -> None:
         """Replaces the rows of the keys that ``rows`` has, and no others."""
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(self.path(table))
@@ -66,21 +70,26 @@ def load_run_config(path: str, defaults: str | None = None) -> dict:
     return merge_config(tomllib.loads(Path(defaults).read_text()), spec) if defaults else spec
 
 
-def load_tasks(path: str) -> list[dict]:
-    """The tasks of a file: ``task`` first, then ``task_queue``."""
-    spec = tomllib.loads(Path(path).read_text())
-    one = spec.get("task", [])
-    tasks = [*(one if isinstance(one, list) else [one]), *spec.get("task_queue", [])]
-    if not tasks:
-        raise ValueError(f"no task in {path}")
-    return tasks
-
-
-def list_templates(folder: str) -> list[str]:
-    return sorted(p.name for p in Path(folder).glob("*.toml"))
-
-
 def load_template(folder: str, name: str) -> str:
     if "/" in name or "\\" in name or not name.endswith(".toml"):
         raise ValueError(f"not a template name: {name!r}")
     return (Path(folder) / name).read_text()
+
+
+LEVELS = ("trace", "debug", "info", "warn", "error")
+
+
+def log_rows(events: DataFrame, least: str = "info", sources: dict[str, str] | None = None) -> DataFrame:
+    """Log events (id, source, level, span, fields: maps of strings) as rows to append: a span's fields with the event's over them.
+
+    ``sources`` names other least levels for some sources; levels are taken in any case, unknown ones as info.
+    """
+    number = lambda level: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, LEVELS)), level), F.lit(0)), F.lit(3))
+    wanted = F.lit(least)
+    for source, level in (sources or {}).items():
+        wanted = F.when(F.col("source") == source, F.lit(level)).otherwise(wanted)
+    none = F.create_map().cast("map<string,string>")
+    span, own = F.coalesce("span", none), F.coalesce("fields", none)
+    over = F.map_concat(F.map_filter(span, lambda k, v: ~F.map_contains_key(own, k)), own)
+    level = F.lower("level")
+    return events.where(number(level) >= number(wanted)).withColumns({"level": level, "fields": over}).drop("span")

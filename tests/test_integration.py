@@ -2,13 +2,14 @@
 
 import json
 import math
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.functions.display import estimate_with_error, flatten_json, flatten_json_column, required_downsample_level
 from lumenfold.functions.numeric import complex_of, coprime_stride
-from lumenfold.operators import observe, panels, vegas
+from lumenfold.operators import generate, observe, panels, vegas
 from lumenfold.plans.control import TrainingWindow
 from lumenfold.plans.tasks import Source, parse_task, preflight, view_mode
 from lumenfold.queries import QUERIES
@@ -135,3 +136,52 @@ def test_first_k_of_a_key_are_cut_before_the_shuffle(spark):
     plan = QUERIES["completed_prefix"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     before = plan[plan.index("Exchange hashpartitioning") :]
     assert "WindowGroupLimit" in before and "row_number(), 16, Partial" in before
+
+
+def test_training_stops_inside_a_window_and_goes_on_exactly(spark):
+    value = lambda points: F.exp(-20 * (F.col("continuous")[0] - 0.3) * (F.col("continuous")[0] - 0.3))
+    index = vegas.counted(spark)
+    start = vegas.Training(vegas.Grid.uniform(2, 8), seed=1, target=3500, window=1000, initial_rate=0.7, final_rate=0.3)
+    whole = start.run(index, value)
+    assert (whole.ingested, whole.updates) == (3500, 3) and whole.partial and whole.diagnostics()["window_remaining"] == 500
+    # the same rows up to a target inside the second window, saved, read back, and on to the end
+    paused = replace(start, target=1400).run(index, value)
+    assert (paused.ingested, paused.updates) == (1400, 1) and sum(m for axis, _, m in paused.partial if axis == 0) > 0
+    resumed = vegas.Training.restore(replace(paused, target=3500).snapshot())
+    assert resumed.partial == paused.partial and resumed.grid == paused.grid
+    resumed = resumed.run(index, value)
+    assert resumed.updates == 3
+    for a, b in zip(resumed.grid.edges, whole.grid.edges):
+        assert a == pytest.approx(b, rel=0.02)  # rates follow the target that was known
+
+
+def test_snapshots_keep_json_as_variant(spark, tmp_path):
+    store = StateStore(spark, f"file://{tmp_path}")
+    rows = spark.createDataFrame([(1, 7, '{"grid": {"bins": 8}, "seed": null}'), (1, 9, '{"kind": "naive"}'), (2, 8, "[1]")], "run_id int, id long, sampler string")
+    store.snapshot("stages", rows, ["sampler"])
+    found = store.read("stages", run_id=1)
+    assert dict(found.dtypes)["sampler"] == "variant"
+    bins = found.select("id", F.try_variant_get("sampler", "$.grid.bins", "int").alias("bins"), F.is_variant_null(F.try_variant_get("sampler", "$.seed", "variant")).alias("no_seed"))
+    assert {tuple(r) for r in bins.collect()} == {(7, 8, True), (9, None, False)} or {tuple(r) for r in bins.collect()} == {(7, 8, True), (9, None, None)}
+
+
+def test_histogram_blocks_are_written_in_order_and_read_back(spark, tmp_path):
+    rows = [(k, n, b, float(b), b + 1.0, b * 1.5, 1e-12) for k in ("x", "y") for n in ("b", "a") for b in (2, 1, 3)]
+    bins = spark.createDataFrame(rows, "k string, name string, bin int, start double, stop double, value double, error double")
+    blocks = panels.hwu_blocks(bins, ["k"], F.col("name"), F.lit(False), F.lit(True))
+    panels.write_blocks(blocks, "k", f"file://{tmp_path}/out")
+    for k in ("x", "y"):
+        (path,) = (tmp_path / "out" / f"k={k}").glob("*.txt")
+        lines = path.read_text().splitlines()
+        heads = [line for line in lines if line.startswith("<histogram>")]
+        assert heads == [f'<histogram> 3 "{n} |X_AXIS@LIN |Y_AXIS@LOG |TYPE@HwU"' for n in "ab"]
+        numbers = [tuple(map(float, line.split())) for line in lines if line.startswith("  ")]
+        assert numbers == [(float(b), b + 1.0, b * 1.5, 1e-12) for _ in "ab" for b in (1, 2, 3)]
+
+
+def test_a_table_function_draws_the_points_of_the_column_form(spark):
+    batches = spark.createDataFrame([(1, 3, 5), (2, 0, 6), (3, None, 7), (4, 2, 5)], "batch_id long, nr_samples int, seed long")
+    key = lambda r: (r["batch_id"], r["sample_index"])
+    for dims in (1, 3):
+        drawn = {key(r): tuple(r) for r in generate.draw_batches(batches, dims).collect()}
+        assert drawn == {key(r): tuple(r) for r in generate.batch_points(batches.where("nr_samples is not null"), dims).collect()} and len(drawn) == 5
