@@ -21,6 +21,7 @@ library; input columns other than the id and text are not read.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -116,7 +117,7 @@ def _unsplit(path: str):
 def _parts(units, text: str, leaf: int) -> list[tuple[int, int, bytes]]:
     """(kind, run, payload) of a long text: the leaves of the text, or, if a unit is long, packed ids and the leaves of runs."""
     if max(map(len, units.cut(text)), default=0) <= leaf:
-        return [(_TEXT, -1, h.encode()) for h in halves(text, leaf)]
+        return [(_TEXT, -1, _sent(h.encode())) for h in halves(text, leaf)]
     out: list[tuple[int, int, bytes]] = []
     short: list[str] = []
     pending: list[bytes] = []
@@ -146,7 +147,7 @@ def _parts(units, text: str, leaf: int) -> list[tuple[int, int, bytes]]:
                 else:
                     close()
                     run = len(out)
-                    out += [(_RUN, run, h.encode()) for h in halves(piece[a:b], leaf)]
+                    out += [(_RUN, run, _sent(h.encode())) for h in halves(piece[a:b], leaf)]
     close()
     return out
 
@@ -182,13 +183,13 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF) -> Dat
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 kinds, payload = part.column("kind").to_pylist(), part.column("payload").to_pylist()
-                encoded = iter(units.encode([p.decode() for k, p in zip(kinds, payload) if k == _TEXT]))
+                encoded = iter(units.encode([zlib.decompress(p).decode() for k, p in zip(kinds, payload) if k == _TEXT]))
                 for i, kind in enumerate(kinds):
                     if kind == _TEXT:
                         payload[i] = _narrow(next(encoded), units)
                     elif kind == _RUN:
                         encode = encode or _unsplit(tokenizer_path)
-                        payload[i] = _narrow(tokens._pack(encode(payload[i].decode())), units)
+                        payload[i] = _narrow(tokens._pack(encode(zlib.decompress(payload[i]).decode())), units)
                 yield part.set_column(part.schema.get_field_index("payload"), "payload", pa.array(payload, pa.binary()))
         units.forget()
 
@@ -215,7 +216,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF) -> Dat
             if row["kind"] == _IDS:
                 packed.append(row["payload"])
                 continue
-            group.append(memoryview(row["payload"]).cast(_code(units)).tolist())
+            group.append(memoryview(zlib.decompress(row["payload"])).cast(_code(units)).tolist())
             if following is None or (following["kind"], following["run"]) != (row["kind"], row["run"]):
                 if row["kind"] == _TEXT:
                     joined = join_tree(group, units.bytes_of, lambda t: memoryview(units.encode([t])[0]).cast("I").tolist(), join_texts)
@@ -240,7 +241,12 @@ def _code(units) -> str:
 
 
 def _narrow(packed: bytes, units) -> bytes:
-    return array(_code(units), memoryview(packed).cast("I").tolist()).tobytes()
+    return _sent(array(_code(units), memoryview(packed).cast("I").tolist()).tobytes())
+
+
+def _sent(payload: bytes) -> bytes:
+    """Leaves are smaller than a shuffle's own compression can make them block by block."""
+    return zlib.compress(payload, 1)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
