@@ -4,8 +4,8 @@ Rules decide the urls they fit. The others are judged by their host: personalise
 proportion to their urls that a rule allows and follows links; distrust starts at hosts in proportion to their
 blocked urls and follows links backwards. A host is blocked where its distrust is more than ``THRESHOLD`` of the two.
 
-Host edges are the absolute links of a page, and a host and its parent domain both ways; they are counted per pair
-of hosts before anything is joined. Both walks advance in one join per step. What reaches a host without a way out
+Host edges are the absolute links of a page, and a host and its parent domain both ways, but for domains of a
+country's registry, which would join strangers; they are counted per pair of hosts before anything is joined. Both walks advance in one join per step. What reaches a host without a way out
 returns to the seeds: for a personalised walk that is the same as bringing the ranks to a sum of one at the end. After
 ``STEPS`` steps the ranks are within 2 * DAMPING ** STEPS of the fixed point on any graph. Pages of a host that has
 more than one in ``HEAVY_PART`` of all pages are judged by broadcast; there are fewer than ``HEAVY_PART`` such hosts.
@@ -33,6 +33,8 @@ HEAVY_PART = 1000
 CUT_EVERY = 10
 
 ALLOW, BLOCK = "allow", "block"
+# fixed values: labels under which countries' registries let names to anybody
+REGISTRIES = ("ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org")
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
 
@@ -82,14 +84,18 @@ def judged(pages: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def parents(hosts: DataFrame) -> DataFrame:
-    """(host, parent) for every step from each host up to its last two labels; an empty label ends the way."""
+    """(host, parent) for every step from each host up to its last two labels; an empty label ends the way.
+
+    A parent such as ``co.uk``, under which anybody has names, is nobody's: the way ends below it.
+    """
     labels = F.split("host", r"\.")
     empty = F.array_position(labels, "")
     full = F.when(empty > 0, empty - 1).otherwise(F.size(labels)).cast("int")
     steps = hosts.select(labels.alias("labels"), full.alias("full")).where("full >= 3")
     steps = steps.select("labels", F.explode(F.sequence(F.lit(1), F.col("full") - 2)).alias("at"))
     below = lambda at: F.array_join(F.slice("labels", at, F.size("labels")), ".")
-    return steps.select(below(F.col("at")).alias("host"), below(F.col("at") + 1).alias("parent"))
+    steps = steps.select(below(F.col("at")).alias("host"), below(F.col("at") + 1).alias("parent"))
+    return steps.where(~F.col("parent").rlike(rf"^({'|'.join(REGISTRIES)})\.[a-z]{{2}}$"))
 
 
 def host_edges(pages: DataFrame) -> DataFrame:

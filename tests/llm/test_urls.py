@@ -113,3 +113,9 @@ def test_deep_hosts_reach_their_domain(spark):
     got = {(r.src, r.dst) for r in urls.host_edges(frame).collect()}
     chain = ["a.b.c.d.example.com", "b.c.d.example.com", "c.d.example.com", "d.example.com", "example.com"]
     assert got == {e for a, b in zip(chain, chain[1:]) for e in ((a, b), (b, a))}
+
+
+def test_names_of_a_registry_are_strangers(spark):
+    hosts = spark.createDataFrame([("www.a.co.uk",), ("b.co.uk",), ("x.y.com",), ("co.uk",), ("s.com.au",), ("deep.www.a.org",)], "host string")
+    found = {tuple(r) for r in urls.parents(hosts).collect()}
+    assert found == {("www.a.co.uk", "a.co.uk"), ("x.y.com", "y.com"), ("deep.www.a.org", "www.a.org"), ("www.a.org", "a.org")}
