@@ -1,6 +1,6 @@
 """Prefix trie of conversations, rolled up by centroid decomposition of its parent edges.
 
-*Rebuilding.* Turns are dealt by ranges of (conversation, turn, role, text), numbered inside each range, and ranges hand on
+*Rebuilding.* Turns are dealt by ranges of (conversation, turn, role and text), numbered inside each range, and ranges hand on
 to the next how many turns of a conversation that crosses the border they had. A conversation of any length thus spans
 as many tasks as it needs. Every conversation c is then rebuilt: the first h turns of conversation c - c % 20, and its own
 turns after the first h, with h = crc32(c) % 4.
@@ -22,7 +22,8 @@ Whether a node lies below the centroid, and below which of its children, is one
 depth in any conversation through the node. Components of a weight of at most ``BOUND``, and so of as few nodes, are
 decomposed to the end inside a task; the larger ones are few by their weight, and are split by joins.
 
-Cases: a turn is ordered first if it is null, and equal turns are ordered by role and text; a null role or text is an empty
+Cases: a turn is ordered first if it is null, and equal turns are ordered by role and text (by ``TIE_CHARS`` characters of
+each, then by a hash of both whole); a null role or text is an empty
 one; repeated rows are turns of their own; rows without a conv_id belong to no conversation and are left out; a
 conversation that is rebuilt to nothing is a member of the root only; other columns are not read; an empty table gives no
 rows. Texts of any length are hashed and counted whole. ``ends_sha256`` is a hash of one sequence and so has to be
@@ -49,6 +50,8 @@ BOUND = 1 << 14
 SENT_ROWS = 1_000_000
 #: Parents of more children than this have them find their conv_id without a shuffle.
 MANY_CHILDREN = 128
+#: Characters of role and text that order equal turns, before a hash of both does.
+TIE_CHARS = 256
 WORDS = r"[^\x20\x09-\x0D]+"
 
 _SUMS = ("s1", "s2", "s3")
@@ -79,15 +82,17 @@ def _turn_hashes(depth: Column, digest: Column) -> list[Column]:
 def numbered_turns(conversations: DataFrame) -> DataFrame:
     """(conv_id, part, local, rank, digest, words): every turn with its number in the conversation, in its range, and the range."""
     spark = conversations.sparkSession
-    text = F.coalesce("text", F.lit(""))
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    digest = F.unhex(F.sha2(F.concat(F.length(role.cast("binary")).cast("string"), F.lit(":"), role, text).cast("binary"), 256))
+    words = F.size(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))).cast("bigint")
+    starts = [F.substring(role, 1, TIE_CHARS).alias("role"), F.substring(text, 1, TIE_CHARS).alias("start"), F.xxhash64(role, text).alias("tie")]
     turns = conversations.where("conv_id is not null").select(
-        F.col("conv_id").cast("bigint").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), F.monotonically_increasing_id().alias("row")
+        F.col("conv_id").cast("bigint").alias("conv_id"), "turn", *starts, digest.alias("digest"), words.alias("words"), F.monotonically_increasing_id().alias("row")
     )
-    order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
-    ranged = turns.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order, "row").sortWithinPartitions(*order)
-    digest = F.unhex(F.sha2(F.concat(F.length(F.col("role").cast("binary")).cast("string"), F.lit(":"), "role", "text").cast("binary"), 256))
-    words = F.size(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).cast("bigint")
-    narrow = ranged.select("conv_id", F.spark_partition_id().alias("part"), digest.alias("digest"), words.alias("words"))
+    # ranges are found from a sample of the order's columns, so these are short; the place in the scan parts equal rows
+    order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), *map(F.col, ("role", "start", "tie", "row"))]
+    ranged = turns.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    narrow = ranged.select("conv_id", F.spark_partition_id().alias("part"), "digest", "words")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, local = None, 0
