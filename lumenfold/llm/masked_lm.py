@@ -11,7 +11,8 @@ the corpus counts, so the probabilities of all words of the corpus sum to one. W
 with the corpus counts (``by_word``). Within a class, neighbours do not change the shares.
 
 Cases: a null or empty text has no tokens and score 0; repeated rows get a row each; equal texts have equal scores;
-an empty table gives no rows; other columns are not read; texts of any length are scored whole, in blocks.
+an empty table gives no rows; other columns are not read; texts of any length are scored whole, in blocks. Since tasks
+train on what the scan gives them, another cut of the same table gives other weights, and other scores.
 """
 
 from __future__ import annotations
