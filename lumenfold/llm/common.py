@@ -99,6 +99,16 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
             _remove(path)
 
 
+def settled() -> set[str]:
+    """The paths of tables that were settled and not yet released."""
+    return set(_settled)
+
+
+def release_paths(paths: set[str]) -> None:
+    for path in paths:
+        _remove(path)
+
+
 def columns(df: DataFrame) -> list[Column]:
     """The columns of ``df``, whatever their names hold."""
     return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
