@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on every document that the stage before kept, and returns a DataFrame;
 ``run`` writes it as Parquet in the shared folder and rereads it as the next stage's documents. All stages but the
-last return the columns of ``documents``.
+last return the columns of ``documents``. Tables that a stage writes for itself last until the next stage begins.
 
 Null texts: language ID passes what has no letters, the quality rules drop it. Rows without an id pass near
 deduplication unjudged. An empty table passes all stages. Columns beyond those of ``documents`` pass all but the last.
@@ -10,6 +10,9 @@ deduplication unjudged. An empty table passes all stages. Columns beyond those o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,37 +22,56 @@ from lumenfold.llm import common, jaccard, langid, packing, quality, secrets, to
 SHINGLE_WORDS = 5
 SIMILARITY = (4, 5)
 
+#: What the last stage wrote for itself.
+_left: set[str] = set()
+
+
+def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that removes what the one before wrote for itself: its rows have been written and reread by then."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.bound_batches(spark)
+        common.release_paths(_left)
+        before = common.settled()
+        rows = function(spark, docs, sf_dir)
+        _left.clear()
+        _left.update(common.settled() - before)
+        return rows
+
+    return run_stage
+
 
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the language models reject."""
-    common.bound_batches(spark)
     model = langid.fit(docs.select("doc_id", "lang", "text"))
     return common.unpacked(langid.identify(common.packed(docs), model).where("not langid_rejected"), docs)
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or are more likely bad than good."""
-    common.bound_batches(spark)
     return quality.keep(docs)
 
 
+@_stage
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of near copies."""
-    common.bound_batches(spark)
     return jaccard.keep_one(docs, SHINGLE_WORDS, SIMILARITY)
 
 
+@_stage
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in the texts; ``n_chars`` follows the new text."""
-    common.bound_batches(spark)
     rows = common.settle(secrets.scan(common.packed(docs)), "scanned")  # texts are scanned once
     text = secrets.redacted(F.col("text"), secrets.all_spans(secrets.thresholds(rows)))
     return common.unpacked(rows.withColumn("text", text), docs, n_chars=F.length("text").cast("bigint"))
 
 
+@_stage
 def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of at most 4096 tokens."""
-    common.bound_batches(spark)
     return packing.pack(docs, tokens.public_path("word_bpe_49k.json"))
 
 
