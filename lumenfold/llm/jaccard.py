@@ -219,8 +219,9 @@ def _linked(pairs: DataFrame, full: DataFrame, b: Bounds) -> DataFrame:
     """The pairs (x, y) whose sets are similar enough; only those with close sketches are settled and compared whole."""
     close = common.settle(_sides(pairs.distinct(), full, "bits").where(_close(b)).select("x", "y"), "pairs")
     inter = F.size(F.array_intersect("tokens_x", "tokens_y"))
-    compared = _sent(close.select(F.explode(F.array("x", "y")).alias("node")), 2 * close.count())
-    links = _sides(close, full.join(compared, "node", "left_semi"), "tokens").where(b.den * inter >= b.num * (F.col("nx") + F.col("ny") - inter)).select("x", "y")
+    n = close.count()
+    compared = _sent(close.select(F.explode(F.array("x", "y")).alias("node")), 2 * n)
+    links = _sides(_sent(close, n), full.join(compared, "node", "left_semi"), "tokens").where(b.den * inter >= b.num * (F.col("nx") + F.col("ny") - inter)).select("x", "y")
     links = common.settle(links, "links")
     common.release(close)
     return links
