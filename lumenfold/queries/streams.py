@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lumenfold.plans.control import EWMA_ALPHA
 from lumenfold.queries.registry import query, rounded, table
@@ -34,8 +35,11 @@ def _feed(spark: SparkSession, rows: DataFrame, name: str, run: Callable[[DataFr
     at = F.unix_micros("ts")
     low, high = rows.agg(F.min(at), F.max(at)).first()
     place = F.floor((at - (low or 0)) / (((high or 0) - (low or 0)) // slices + 1))
+    whole = f"{folder}-whole"  # the rows are made once, not for each slice; rows without a time arrive with the last
+    rows.withColumn("slice", F.coalesce(place, F.lit(slices - 1)).cast("int")).write.partitionBy("slice").parquet(whole)
+    cut = spark.read.schema(StructType([*rows.schema.fields, StructField("slice", IntegerType())])).parquet(whole)
     for k in range(slices):
-        rows.where(place == k).write.mode("append").parquet(folder)
+        cut.where(F.col("slice") == k).drop("slice").write.mode("append").parquet(folder)
         run(ingest.read_stream(spark, folder, rows.schema))
     if end is not None:
         closing = rows.agg((F.max("ts") + F.expr(f"interval {end}")).alias("ts"))

@@ -63,37 +63,57 @@ def ewma_stream(stream: DataFrame, key: str) -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(fold, f"{key} bigint, {schema}", schema, "update", GroupStateTimeout.NoTimeout)
 
 
+#: Runs share so many groups, so that a group's call is paid for once for many runs. Part of the state: restarts need the same.
+GROUPS = 1024
+#: Places of a run that wait in one entry of the state.
+CHUNK = 1024
+
+
 class InOrder(StatefulProcessor):
-    """Releases batches by unbroken ``place``. State: the next place, and a map of those that came early."""
+    """Releases batches by unbroken ``place`` for all runs of a group. State: each run's next place, and chunks of those that came early."""
 
     def __init__(self, key: str):
         self.key = key
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.next = handle.getValueState("next", "place bigint")
-        self.early = handle.getMapState("early", "place bigint", "id bigint")
+        self.next = handle.getMapState("next", "run bigint", "place bigint")
+        self.early = handle.getMapState("early", "run bigint, chunk bigint", "places array<bigint>, ids array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        following = self.next.get()[0] if self.next.exists() else 0
-        fresh: dict[int, int] = {}
+        arrived: dict[int, dict[int, int | None]] = {}
         for part in rows:
-            fresh.update(zip(part["place"].tolist(), part["id"].tolist()))
-        out = []
-        while True:
-            if following in fresh:
-                found = fresh.pop(following)
-            elif self.early.containsKey((following,)):
-                found = self.early.getValue((following,))[0]
-                self.early.removeKey((following,))
-            else:
-                break
-            out.append((following, found))
-            following += 1
+            for run, place, found, given in zip(part["run"].tolist(), part["place"].tolist(), part["id"].tolist(), part["given"].tolist()):
+                arrived.setdefault(run, {})[place] = found if given else None
+        out = [(None if key[0] < 0 else run, place, found) for run, fresh in arrived.items() for place, found in self._release(run, fresh)]
+        if out:
+            yield pd.DataFrame({n: pd.array(c, dtype="Int64") for n, c in zip((self.key, "place", "id"), zip(*out))})
+
+    def _release(self, run: int, fresh: dict[int, int | None]) -> Iterator[tuple[int, int | None]]:
+        before = (self.next.getValue((run,)) or (0,))[0]
+        chunks: dict[int, dict[int, int | None]] = {}
         for place, found in fresh.items():
-            if place > following:  # what was released before is a replay
-                self.early.updateValue((place,), (found,))
-        self.next.update((following,))
-        yield pd.DataFrame({self.key: [key[0]] * len(out), "place": [p for p, _ in out], "id": [i for _, i in out]})
+            if place >= before:  # what was released before is a replay
+                chunks.setdefault(place // CHUNK, {})[place] = found
+        following, at = before, before // CHUNK
+        while chunks:
+            # in the order of places, as far as the run is unbroken; other chunks only take up what came
+            number = at if following // CHUNK == at and at in chunks else min(chunks)
+            waiting = self.early.getValue((run, number))
+            rest = dict(zip(*waiting)) if waiting else {}
+            rest.update(chunks.pop(number))
+            while following in rest:
+                yield following, rest.pop(following)
+                following += 1
+            if rest:
+                places = sorted(rest)
+                self.early.updateValue((run, number), (places, [rest[p] for p in places]))
+            elif waiting:
+                self.early.removeKey((run, number))
+            if following // CHUNK > number:  # the next chunk may have waited for this one
+                at = following // CHUNK
+                chunks.setdefault(at, {})
+        if following > before:
+            self.next.updateValue((run,), (following,))
 
     def close(self) -> None:
         pass
@@ -102,9 +122,15 @@ class InOrder(StatefulProcessor):
 def release_in_order(stream: DataFrame, key: str) -> DataFrame:
     """(key, place, id) of completed batches in unbroken order of ``place``: one that comes early waits for those before it.
 
-    The state of a run has one entry for each batch that waits, so a change writes that entry and not all of them.
+    What waits is kept by run in chunks of ``CHUNK`` places, so a change writes the chunks that it falls on and not all of
+    the run. Batches without a place are never released; those without a run are a run of their own.
     """
-    return stream.groupBy(key).transformWithStateInPandas(InOrder(key), f"{key} bigint, place bigint, id bigint", "append", "None")
+    group = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(GROUPS))).cast("bigint")
+    none = F.lit(0).cast("bigint")
+    rows = stream.where("place is not null").select(
+        group.alias("group"), F.coalesce(key, none).alias("run"), "place", F.coalesce("id", none).alias("id"), F.col("id").isNotNull().alias("given")
+    )
+    return rows.groupBy("group").transformWithStateInPandas(InOrder(key), f"{key} bigint, place bigint, id bigint", "append", "None")
 
 
 @contextlib.contextmanager
