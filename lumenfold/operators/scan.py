@@ -107,17 +107,26 @@ def composed(
     place = F.row_number().over(Window.partitionBy(*keys, _BLOCK).orderBy(*order)) - 1
     numbered = cut.rows.withColumn("_i", place.cast("bigint"))
     states = _grouped(numbered, [*keys, _BLOCK], "_i", "_x", fold)
-    together = lambda s: F.reduce(F.slice(s, F.lit(2), F.size(s)), s[0], compose)
     size = -(-cut.n_rows // FAN)
     while size > 1:  # one key and block may hold all rows
-        states, size = _grouped(states, [*keys, _BLOCK], "_i", "_state", together), -(-size // FAN)
-    states = states.drop("_i").withColumnRenamed(_BLOCK, "_i")
-    size = cut.n_blocks + 1
+        states, size = _grouped(states, [*keys, _BLOCK], "_i", "_state", _together(compose)), -(-size // FAN)
+    states = states.drop("_i").select(*keys, F.col(_BLOCK).alias("_i"), F.col("_state").alias("state"))
+    return joined(states, keys, compose, cut.n_blocks + 1)
+
+
+def joined(states: DataFrame, keys: Sequence[str], compose: Callable[[Column, Column], Column], size: int) -> DataFrame:
+    """(keys, state): the composition of the states (keys, _i, state) of a key in the order of ``_i``, from 0 to below ``size``."""
+    states = states.select(*keys, "_i", F.col("state").alias("_state"))
+    size = max(size, 2)  # at least once
     while size > 1:
-        states, size = _grouped(states, list(keys), "_i", "_state", together), -(-size // FAN)
+        states, size = _grouped(states, list(keys), "_i", "_state", _together(compose)), -(-size // FAN)
     return states.select(*keys, F.col("_state").alias("state"))
 
 
+def _together(compose: Callable[[Column, Column], Column]) -> Callable[[Column], Column]:
+    return lambda s: F.reduce(F.slice(s, F.lit(2), F.size(s)), s[0], compose)
+
+
 def _grouped(rows: DataFrame, keys: list[str], place: str, value: str, fold: Callable[[Column], Column]) -> DataFrame:
     listed = F.array_sort(F.collect_list(F.struct(F.col(place).alias("at"), F.col(value).alias("v"))))
     lists = rows.groupBy(*keys, F.floor(F.col(place) / FAN).cast("bigint").alias("_next")).agg(F.transform(listed, lambda e: e["v"]).alias("_list"))

@@ -76,16 +76,10 @@ s AS (SELECT user_id, len(xs) AS n, list_reduce(list_transform(xs, lambda x: {{'
 SELECT user_id, round(r.m, 6) AS mean, round(r.v, 6) AS variance, n::BIGINT AS n FROM s""")
 def stream_ewma(spark, sf_dir):
     rows = _events(spark, sf_dir).select("event_id", "ts", "user_id", "value")
-    out = _folder(spark, "ewma")
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("micro_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/micro_batch_{number}")
-
-    state = _folder(spark, "ewma-state")
-    _feed(spark, rows, "metrics", lambda s: _drain(ingest.ewma_stream(s, "user_id").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state)))
-    last = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("micro_batch")))
-    found = spark.read.parquet(f"{out}/micro_batch_*").withColumn("_n", last).where("_n = 1")
-    return rounded(found.select("user_id", "mean", "variance", "n"))
+    sink = _folder(spark, "ewma")
+    done = _folder(spark, "ewma-state")
+    _feed(spark, rows, "metrics", lambda s: ingest.ewma_results(s, "user_id", sink, done))
+    return rounded(ingest.ewma_merged(spark, sink, "user_id"))
 
 
 @query("""WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events),

@@ -12,10 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lumenfold.operators import rolling
 from lumenfold.operators.observe import SCALAR_STATE, scalar_partial
-from lumenfold.operators.rolling import ewma_step
 
 
 def read_stream(spark: SparkSession, folder: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -46,21 +45,19 @@ def lease_sessions(stream: DataFrame, key: str, gap: str, watermark: str) -> Dat
     return sessions.select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "beats")
 
 
-def ewma_stream(stream: DataFrame, key: str) -> DataFrame:
-    """(key, mean, variance, n) after each micro-batch; observations of one are taken in the order of (ts, event_id)."""
+def ewma_results(stream: DataFrame, key: str, sink: str, checkpoint: str) -> None:
+    """What every micro-batch does to the averages of its keys, under its number: observations are taken in the order of (ts, event_id)."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        states = rolling.ewma_states(batch, [key], ["ts", "event_id"], "value")
+        states.withColumn("micro_batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{sink}/micro_batch_{number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    def fold(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mean, variance, n = state.get if state.exists else (None, 0.0, 0)
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        for x in rows["value"]:
-            if x == x and 0 <= x < float("inf"):
-                mean, variance = ewma_step(mean, variance, float(x))
-                n += 1
-        state.update((mean, variance, n))
-        yield pd.DataFrame({key: [name[0]], "mean": [mean], "variance": [variance], "n": [n]})
 
-    schema = "mean double, variance double, n bigint"
-    return stream.groupBy(key).applyInPandasWithState(fold, f"{key} bigint, {schema}", schema, "update", GroupStateTimeout.NoTimeout)
+def ewma_merged(spark: SparkSession, sink: str, key: str) -> DataFrame:
+    """(key, mean, variance, n) after all micro-batches, one after the other."""
+    return rolling.ewma_after(spark.read.parquet(f"{sink}/micro_batch_*"), [key], "micro_batch")
 
 
 #: Runs share so many groups, so that a group's call is paid for once for many runs. Part of the state: restarts need the same.

@@ -4,7 +4,9 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from lumenfold.operators import rolling
 from lumenfold.streaming import ingest
 
 
@@ -63,3 +65,26 @@ def test_release_in_order_over_a_stream(spark, tmp_path):
             stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     found = {tuple(r) for r in spark.read.schema("k bigint, place bigint, id bigint").parquet(out).collect()}
     assert found == {(None, 0, 1), (None, 1, None), (None, 2, 3), (5, 0, 7), (5, 1, 2**60 + 1)}
+
+
+def test_averages_after_micro_batches(spark, tmp_path):
+    """Keys that come in some micro-batches only, and values that are passed over; no row goes through Python."""
+    rnd = random.Random(8)
+    rows = [(i, i // 3, rnd.choice((1, 2, 3)) if i < 400 else 2, rnd.choice((-1.0, float("nan"), None, rnd.uniform(0, 9)))) for i in range(700)]
+    rows = [(i, t, k, v if k != 3 else -2.0) for i, t, k, v in rows] + [(1000, 0, None, 4.0)]
+    folder, sink, done = (f"file://{tmp_path}/{n}" for n in ("in", "sink", "done"))
+    schema = "event_id bigint, t bigint, k bigint, value double"
+    for part in (rows[:200], rows[200:450], rows[450:]):
+        spark.createDataFrame(part[::-1], schema).select("event_id", F.timestamp_seconds("t").alias("ts"), "k", "value").write.mode("append").parquet(folder)
+        ingest.ewma_results(ingest.read_stream(spark, folder, "event_id bigint, ts timestamp, k bigint, value double"), "k", sink, done)
+    after = ingest.ewma_merged(spark, sink, "k")
+    assert "Pandas" not in after._jdf.queryExecution().toString()
+    wanted = {k: (None, 0.0, 0) for k in (1, 2, 3, None)}
+    for _, _, k, v in rows:
+        if v is not None and v >= 0:
+            mean, variance, n = wanted[k]
+            wanted[k] = (*rolling.ewma_step(mean, variance, v), n + 1)
+    found = {r["k"]: (r["mean"], r["variance"], r["n"]) for r in after.collect()}
+    assert found.keys() == wanted.keys()
+    for k, (mean, variance, n) in wanted.items():
+        assert found[k] == ((pytest.approx(mean) if n else None), pytest.approx(variance), n)
