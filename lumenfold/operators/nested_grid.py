@@ -9,7 +9,7 @@ of the samples, and is sent to all tasks while its rows are at most ``SENT_ROWS`
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -69,6 +69,11 @@ def _check(domain: Domain, path: tuple, nodes: list[tuple]) -> None:
         _check(branch, (*path, index), nodes)
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once for a row, however often ``f`` takes it and in whatever lambda."""
+    return F.transform(F.array(value), f)[0]
+
+
 def draw(rows: DataFrame, grid: NestedGrid, seed: int) -> DataFrame:
     """``rows`` (sample_index, ...) with a point each: ``discrete`` (the path), ``continuous``, ``bins`` and ``weight``.
 
@@ -76,13 +81,13 @@ def draw(rows: DataFrame, grid: NestedGrid, seed: int) -> DataFrame:
     """
     index, kept = F.col("sample_index"), rows.columns
     order = F.array_sort(F.collect_list(F.struct("branch", "probability")))
-    nodes = grid.sent(grid.branches.groupBy(F.col("path").alias("_path")).agg(order.alias("_node")))
+    upto = lambda i: F.aggregate(F.slice("_node", F.lit(1), i + 1), F.lit(0.0), lambda s, b: s + b["probability"])
+    nodes = grid.branches.groupBy(F.col("path").alias("_path")).agg(order.alias("_node"))
+    nodes = grid.sent(nodes.withColumn("_upto", F.transform("_node", lambda _, i: upto(i))))
     out = rows.withColumns({"_path": F.array().cast("array<bigint>"), "_p": F.lit(1.0)})
     for level in range(grid.depth):
-        u = uniform(seed, index, level)
-        out = out.join(nodes, "_path", "left").withColumn("_u", u)
-        upto = lambda i: F.aggregate(F.slice("_node", F.lit(1), i + 1), F.lit(0.0), lambda s, b: s + b["probability"])
-        passed = F.size(F.filter(F.sequence(F.lit(0), F.size("_node") - 1), lambda i: upto(i) <= F.col("_u")))
+        passed = _once(uniform(seed, index, level), lambda u: F.size(F.filter("_upto", lambda s: s <= u)))
+        out = out.join(nodes, "_path", "left")
         out = out.withColumn("_b", F.when(F.col("_node").isNotNull(), F.element_at("_node", F.least(passed, F.size("_node") - 1) + 1)))
         out = out.withColumn("_p", F.col("_p") * F.coalesce("_b.probability", F.lit(1.0)))
         path = F.when(F.col("_b").isNull(), F.col("_path")).otherwise(F.concat("_path", F.array("_b.branch")))
@@ -91,14 +96,13 @@ def draw(rows: DataFrame, grid: NestedGrid, seed: int) -> DataFrame:
     leaf = grid.sent(grid.edges.groupBy(F.col("path").alias("_path")).agg(dims.alias("_edges")))
     out = out.join(leaf, "_path")
 
-    def place(e: Column, d: Column) -> Column:
-        n = F.size(e) - 1
-        y = uniform(seed, index, d + grid.depth) * n
-        k = F.floor(y).cast("int")
+    def place(e: Column, y: Column, k: Column) -> Column:
         width = F.element_at(e, k + 2) - F.element_at(e, k + 1)
-        return F.struct(k.cast("bigint").alias("bin"), (F.element_at(e, k + 1) + (y - k) * width).alias("x"), (n * width).alias("w"))
+        return F.struct(k.cast("bigint").alias("bin"), (F.element_at(e, k + 1) + (y - k) * width).alias("x"), ((F.size(e) - 1) * width).alias("w"))
 
-    out = out.withColumn("_at", F.transform("_edges", place))
+    drawn = lambda d, n: uniform(seed, index, d + grid.depth) * n
+    at = lambda e, d: _once(drawn(d, F.size(e) - 1), lambda y: place(e, y, F.floor(y).cast("int")))
+    out = out.withColumn("_at", F.transform("_edges", at))
     weight = F.aggregate("_at", 1 / F.col("_p"), lambda w, a: w * a["w"])
     return out.select(*kept, F.col("_path").alias("discrete"), F.transform("_at", lambda a: a["x"]).alias("continuous"), F.transform("_at", lambda a: a["bin"]).alias("bins"), weight.alias("weight"))
 

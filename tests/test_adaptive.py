@@ -37,6 +37,12 @@ def test_points_do_not_depend_on_partitions_and_fill_the_domain(spark):
     assert sum(r["weight"] for r in found.values()) / 6000 == pytest.approx(3, rel=0.05)
 
 
+def test_a_number_is_drawn_once_for_each_row(spark):
+    """Not for each branch or use: one expression for each level and one for the dimensions of a leaf."""
+    points = nested_grid.draw(spark.range(9).withColumnRenamed("id", "sample_index"), nested_grid.NestedGrid.uniform(spark, RAGGED, 4), 1)
+    assert points._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 3
+
+
 def test_partial_windows_add_up_and_refining_follows_the_mass(spark):
     grid = nested_grid.NestedGrid.uniform(spark, RAGGED, 8)
     rows = spark.range(4000).withColumnRenamed("id", "sample_index")
