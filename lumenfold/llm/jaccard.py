@@ -159,8 +159,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _survivors(sets: DataFrame, b: Bounds) -> DataFrame:
     """(node, key): one row's key for each set that may have a link."""
     tokens = sets.where(b.differ(F.col("n")) >= 1).select("node", F.explode("tokens").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
-    hits = tokens.join(shared, "token").distinct().groupBy("node").agg(F.count("*").alias("hits"))  # equal sets count once
+    of_token = Window.partitionBy("token")  # tokens are shuffled once; the rows of a frequent one spill
+    shared = tokens.select("node", "token", F.min("node").over(of_token).alias("lo"), F.max("node").over(of_token).alias("hi")).where("lo <> hi")
+    hits = shared.select("node", "token").distinct().groupBy("node").agg(F.count("*").alias("hits"))  # equal sets count once
     about = sets.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.max("n").alias("n"))
     return hits.join(about, "node").where(F.col("hits") >= b.first(b.need(F.col("n")))).select("node", "key")
 
@@ -185,8 +186,8 @@ def _signatures(full: DataFrame, b: Bounds, rare: int) -> DataFrame:
     """(sig, node, odd) of the survivors' sets (node, n, tokens), with the number of its window's tokens that are not frequent."""
     n, s = F.col("n"), F.col("s")
     tokens = full.select("node", "n", F.explode(F.slice("tokens", 1, b.window(n))).alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    known = tokens.join(shared, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"))
+    shared = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
+    known = shared.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"))
     lone = F.least(n, b.window(n)) - F.size(s)  # tokens that no other window has
     is_rare = lambda x: x["df"] <= rare
     known = known.select("node", "s", lone.alias("lone"), (b.window_lacks(n) - lone).alias("lacks")).where("lacks >= 0")

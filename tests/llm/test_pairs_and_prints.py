@@ -209,3 +209,10 @@ def test_words_beyond_the_vocabulary_have_their_own_counts(spark, tmp_path):
     members = [(words.encode(w)[0], k) for w, k in [*n.items(), *((w, 6) for w in words.ids)]]
     inside = np.bincount([words.classes[i] for i, _ in members], [np.exp(words.log_share[i]) * (k if i > masked_lm.VOCABULARY else 1) for i, k in members])
     assert inside[inside > 0] == pytest.approx(1, abs=1e-2)
+
+
+def test_tokens_are_counted_where_they_are_and_not_joined_with_their_counts(spark):
+    b = jaccard.Bounds(90, 100)
+    sets = spark.createDataFrame([(1, 1, 20, 5, [1, 2, 3]), (2, 2, 20, 6, [2, 3, 4])], "key bigint, doc_id bigint, n int, node bigint, tokens array<bigint>")
+    for rows in (jaccard._survivors(sets, b), jaccard._signatures(sets.select("node", "n", "tokens"), b, 8)):
+        assert not [line for line in rows._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line and "token" in line]
