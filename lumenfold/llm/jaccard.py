@@ -327,7 +327,8 @@ def keep_one(docs: DataFrame, words: int, least: tuple[int, int], rare: int = RA
     """``docs`` with one row of every component: the smallest id's, one without an id only if none has one.
 
     Rows with an empty set are in no component and all stay. Of rows with the same id and text, one stays, chosen by
-    a hash of all its columns. The decision is made on keys; the rows themselves move once.
+    a hash of all its columns. The decision is made on keys; up to ``SENT_ROWS`` of them go to the rows, which stay
+    where they are, and only beyond that the rows move, once.
     """
     rows = _rooted(docs, words, least, rare, few).where("root is not null")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
@@ -337,9 +338,11 @@ def keep_one(docs: DataFrame, words: int, least: tuple[int, int], rare: int = RA
     key = common.unused(docs, "key")
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     named = lambda wanted: keys.where(wanted).select(F.col("key").alias(key))
-    repeated = named("copies > 1 and not out")
-    kept = keyed.join(named("out or copies > 1"), key, "left_anti")
-    if not repeated.isEmpty():
+    again, gone = "copies > 1 and not out", "out or copies > 1"
+    n_again, n_gone = keys.agg(F.count_if(F.expr(again)), F.count_if(F.expr(gone))).first()
+    repeated = _sent(named(again), n_again)
+    kept = keyed.join(_sent(named(gone), n_gone), key, "left_anti")
+    if n_again:
         place = common.unused(docs, "place")
         order = Window.partitionBy(key).orderBy(F.xxhash64(*common.hashable(docs)))
         again = keyed.join(repeated, key, "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)

@@ -216,3 +216,18 @@ def test_tokens_are_counted_where_they_are_and_not_joined_with_their_counts(spar
     sets = spark.createDataFrame([(1, 1, 20, 5, [1, 2, 3]), (2, 2, 20, 6, [2, 3, 4])], "key bigint, doc_id bigint, n int, node bigint, tokens array<bigint>")
     for rows in (jaccard._survivors(sets, b), jaccard._signatures(sets.select("node", "n", "tokens"), b, 8)):
         assert not [line for line in rows._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line and "token" in line]
+
+
+def test_texts_are_not_moved_to_drop_copies(spark):
+    rows = near_copies(7, 60)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, c string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the keys of a large table are beyond it too
+    try:
+        kept = jaccard.keep_one(frame, 3, (90, 100))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        ids = sorted(r.doc_id for r in kept.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert ids == sorted({d for d, _, c in brute(rows, 3, 90, 100) if d is not None and d == c})
