@@ -50,6 +50,8 @@ LONGEST = 40
 SALTS = 16
 #: Logarithms are summed as whole multiples of 1 / _UNIT, so that the order of the rows does not matter.
 _UNIT = 2.0**32
+_ONES = np.ones(CLASSES, np.float32)
+_COLUMNS = np.arange(WIDTH)
 
 
 @dataclass
@@ -133,38 +135,58 @@ class Network:
         z -= z.max(axis=1, keepdims=True)
         return x, h, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
-    def log_of(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """The targets' log probabilities, as ``forward`` has them for all classes."""
+    def _small(self) -> bool:
+        """Whether no class score can leave the range of exponentials, as tanh is at most 1: then no maximum is needed."""
+        return float((np.abs(self.weights["w2"]).sum(0) + np.abs(self.weights["b2"])).max()) < 80
+
+    def _exponentials(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The targets' scores less what keeps exponentials in range, and the exponentials of all classes' scores."""
+        z = h @ self.weights["w2"]
+        z += self.weights["b2"]
+        if not self._small():
+            z -= z.max(axis=1, keepdims=True)
+        own = z[np.arange(len(z)), target]
+        return own, np.exp(z, out=z)
+
+    def _hidden(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = self.weights
-        h = w["embed"][near].reshape(len(near), -1) @ w["w1"]
+        x = w["embed"].take(near.ravel(), axis=0).reshape(len(near), -1)
+        h = x @ w["w1"]
         h += w["b1"]
-        z = np.tanh(h, out=h) @ w["w2"]
-        z += w["b2"]
-        z -= z.max(axis=1, keepdims=True)
-        own = z[np.arange(len(z)), target]
-        return own - np.log(np.exp(z, out=z).sum(axis=1))
+        return x, np.tanh(h, out=h)
+
+    def log_of(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """The targets' log probabilities, as ``forward`` has them for all classes."""
+        own, e = self._exponentials(self._hidden(near)[1], target)
+        return own - np.log(e @ _ONES)
 
     def train(self, near: np.ndarray, target: np.ndarray, squares: dict[str, np.ndarray]) -> None:
         """One step of Adagrad on a batch."""
         w, n = self.weights, len(target)
-        x = w["embed"][near].reshape(n, -1)
-        h = np.tanh(x @ w["w1"] + w["b1"])
-        dz = h @ w["w2"]
-        dz += w["b2"]
-        dz -= dz.max(axis=1, keepdims=True)
-        np.exp(dz, out=dz)
-        dz *= 1 / (n * dz.sum(axis=1, keepdims=True))
-        dz[np.arange(n), target] -= np.float32(1 / n)
-        dh = (dz @ w["w2"].T) * (1 - h * h)
+        x, h = self._hidden(near)
+        e = self._exponentials(h, target)[1]
+        total = e @ _ONES
+        e[np.arange(n), target] -= total
+        scale = (1 / (n * total))[:, None]  # rows of e times scale are the scores' gradients; only narrow factors are scaled
+        dh = e @ w["w2"].T
+        dh *= scale
+        dh *= 1 - h * h
+        h *= scale
         dx = (dh @ w["w1"].T).reshape(-1, WIDTH)
-        ids = near.ravel().astype(np.uint16)  # sorted by radix
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        rows, de = ids[first], np.add.reduceat(dx[order], first, axis=0)
-        for name, grad, at in (("w2", h.T @ dz, ...), ("b2", dz.sum(0), ...), ("w1", x.T @ dh, ...), ("b1", dh.sum(0), ...), ("embed", de, rows)):
-            squares[name][at] += grad * grad
-            w[name][at] -= RATE * grad / np.sqrt(squares[name][at] + 1e-8)
+        found = np.zeros(len(w["embed"]), bool)
+        found[near.ravel()] = True
+        rows = np.flatnonzero(found)  # the tokens of the batch; their gradients are summed by place in rows
+        place = np.empty(len(found), np.int64)
+        place[rows] = np.arange(0, len(rows) * WIDTH, WIDTH)
+        cells = place.take(near.ravel())[:, None] + _COLUMNS
+        de = np.bincount(cells.ravel(), dx.ravel(), len(rows) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
+        for name, grad in (("w2", h.T @ e), ("b2", scale[:, 0] @ e), ("w1", x.T @ dh), ("b1", dh.sum(0))):
+            squares[name] += grad * grad
+            w[name] -= RATE * grad / np.sqrt(squares[name] + 1e-8)
+        known = squares["embed"].take(rows, axis=0)
+        known += de * de
+        squares["embed"][rows] = known
+        w["embed"][rows] = w["embed"].take(rows, axis=0) - RATE * de / np.sqrt(known + 1e-8)
 
 
 def neighbours(row: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -231,3 +231,28 @@ def test_texts_are_not_moved_to_drop_copies(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert ids == sorted({d for d, _, c in brute(rows, 3, 90, 100) if d is not None and d == c})
+
+
+def test_a_step_follows_the_gradient(spark):
+    words = masked_lm.Words({}, np.arange(1 + masked_lm.VOCABULARY + masked_lm.BUCKETS) % masked_lm.CLASSES, None, np.full(masked_lm.CLASSES, 1 / masked_lm.CLASSES))
+    rng = np.random.default_rng(3)
+    near, target = rng.integers(0, 40, (64, 2 * masked_lm.SIDE)), rng.integers(0, masked_lm.CLASSES, 64)
+    for bias in (0, 200):  # scores of 200 leave the range of single exponentials
+        net = masked_lm.Network(words)
+        net.weights["b2"] += np.float32(bias)
+        net.weights = {k: v.astype(np.float64) for k, v in net.weights.items()}
+        loss = lambda: -net.forward(near)[2][np.arange(64), target].mean()
+        assert net.log_of(near, target) == pytest.approx(net.forward(near)[2][np.arange(64), target], abs=1e-4)
+        slopes = {}
+        for name, at in (("embed", (int(near[0, 0]), 1)), ("w1", (3, 5)), ("b1", (4,)), ("w2", (6, int(target[0]))), ("b2", (int(target[1]),))):
+            own, up = net.weights[name][at], []
+            for d in (1e-5, -1e-5):
+                net.weights[name][at] = own + d
+                up.append(loss())
+            net.weights[name][at] = own
+            slopes[name] = (at, (up[0] - up[1]) / 2e-5)
+        squares = {k: np.zeros_like(v) for k, v in net.weights.items()}
+        net.train(near, target, squares)
+        for name, (at, slope) in slopes.items():
+            assert np.sqrt(squares[name][at]) == pytest.approx(abs(slope), rel=1e-2, abs=1e-6), name
+        assert not squares["embed"][50:].any()
